@@ -71,12 +71,18 @@ def class_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred")
     def weighted(c: str) -> Column:
         return _ratio(F.sum(F.col(c) * F.col("support")), total)
 
+    def line(name: str, p: Column, r: Column, f: Column) -> Column:
+        zero = F.lit(0.0)
+        values = {"precision": p, "recall": r, "f1": f}
+        scores = [F.coalesce(v, zero).alias(k) for k, v in values.items()]
+        return F.struct(F.lit(name).alias("class"), *scores, total.alias("support"))
+
     accuracy = _ratio(F.sum("tp"), total)
     summary = per_class.agg(
         F.array(
-            F.struct(F.lit("accuracy").alias("class"), accuracy.alias("precision"), accuracy.alias("recall"), accuracy.alias("f1"), total.alias("support")),
-            F.struct(F.lit("macro avg"), F.avg("precision"), F.avg("recall"), F.avg("f1"), total),
-            F.struct(F.lit("weighted avg"), weighted("precision"), weighted("recall"), weighted("f1"), total),
+            line("accuracy", accuracy, accuracy, accuracy),
+            line("macro avg", F.avg("precision"), F.avg("recall"), F.avg("f1")),
+            line("weighted avg", weighted("precision"), weighted("recall"), weighted("f1")),
         ).alias("rows")
     ).select(F.inline("rows"))
     return per_class.drop("tp").unionByName(summary)

@@ -27,6 +27,7 @@ from seacast.functions.direction import weather_ratios
 from seacast.models.metrics import binary_metrics, class_report, confusion_matrix, regression_metrics
 from seacast.operators.split import balanced_weights, split_stratified, stratified_folds
 from seacast.schemas import MEASURES
+from seacast.session import stored
 
 # The model's weather features (wind direction is collected but not used).
 BASE_FEATURES = [m for m in MEASURES if m != "wind_direction_dominant"]
@@ -98,27 +99,33 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def train_weather_model(df: DataFrame, keys: Sequence[str], label: str = "annulation_binary", features: Sequence[str] = tuple(WEATHER_FEATURES), estimator=None):
+def _one_row(df: DataFrame) -> DataFrame:
+    """A one-row result computed now, so that it does not repeat its training input later."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def train_weather_model(
+    df: DataFrame, keys: Sequence[str], label: str = "annulation_binary", features: Sequence[str] = tuple(WEATHER_FEATURES), estimator=None
+):
     """Stratified split, fit on train, metrics on test. Returns model and one-row metrics."""
-    parts = split_stratified(df, label, keys).cache()
-    try:
-        model = fit_model(parts.where("split = 'train'"), features, estimator or forest(label))
-        scored = model.transform(parts.where("split = 'test'"))
-        return model, binary_metrics(scored, label, "prediction")
-    finally:
-        parts.unpersist()
+    parts = split_stratified(stored(df, "training"), label, keys)
+    model = fit_model(parts.where("split = 'train'"), features, estimator or forest(label))
+    scored = model.transform(parts.where("split = 'test'"))
+    return model, _one_row(binary_metrics(scored, label, "prediction"))
 
 
-def compare_models(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+def compare_models(
+    df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], names: Sequence[str] | None = None
+) -> DataFrame:
     """Test metrics of each classifier, one row per model, best accuracy first."""
-    parts = split_stratified(df, label, keys)
+    parts = split_stratified(stored(df.select(*keys, *features, label), "training"), label, keys)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     rows = None
     for name, estimator in classifiers(label).items():
         if names is not None and name not in names:
             continue
         scored = fit_model(train, features, estimator).transform(test)
-        row = binary_metrics(scored, label, "prediction").withColumn("model", F.lit(name))
+        row = _one_row(binary_metrics(scored, label, "prediction")).withColumn("model", F.lit(name))
         rows = row if rows is None else rows.unionByName(row)
     return rows.orderBy(F.desc("accuracy"), "model")
 
@@ -152,7 +159,8 @@ def param_maps(estimator, grid: Mapping[str, Sequence[Any]], draws: int | None =
 def search(train: DataFrame, features: Sequence[str], estimator, grid, label: str, keys: Sequence[str],
            scoring: str = "accuracy", folds: int = 5, draws: int | None = None, seed: int = 42, parallelism: int = 4):
     """Cross-validated search; ``draws`` makes it a random search. Returns the fitted CrossValidatorModel."""
-    vectors = assembler(features).transform(stratified_folds(train, label, keys, folds, seed))
+    rows = stored(train.select(*keys, *features, label), "search")
+    vectors = assembler(features).transform(stratified_folds(rows, label, keys, folds, seed))
     validator = CrossValidator(
         estimator=estimator, estimatorParamMaps=param_maps(estimator, grid, draws, seed),
         evaluator=scorer(label, scoring), numFolds=folds, foldCol="fold", parallelism=parallelism,
@@ -171,7 +179,8 @@ def search_scores(spark, model) -> DataFrame:
 
 def cross_val_scores(df: DataFrame, features: Sequence[str], estimator, label: str, keys: Sequence[str], scoring: str = "accuracy", folds: int = 5):
     """Score of each fold of one estimator."""
-    vectors = assembler(features).transform(stratified_folds(df, label, keys, folds))
+    rows_in = stored(df.select(*keys, *features, label), "folds")
+    vectors = assembler(features).transform(stratified_folds(rows_in, label, keys, folds))
     evaluator = scorer(label, scoring)
     rows = []
     for fold in range(folds):

@@ -60,3 +60,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    For frames that iterative work reads many times: each pass then reads only its columns,
+    and a lost executor re-reads files instead of recomputing the lineage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
