@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The note grammar.
-HEAD = r"(?Ud)^(.*?)\b(Vent|Mer)\b"
+# The note grammar. ``(?=[VM])`` spares the word-border test elsewhere.
+HEAD = r"(?Ud)^(.*?)(?=[VM])\b(Vent|Mer)\b"
 WIND_PART = r"(?Ud)(Vent.*?)(?=Mer\b)"
 SEA_PART = r"(?Ud)(Mer\s*:?.*)$"
-TEMPERATURE = r"(?Ud)(\d+)°"
-SKY = r"(?Ud)\d+°\s*(.*)"
+TEMPERATURE_SKY = r"(?Ud)(\d+)°\s*(.*)"
 WIND = r"(?Ud)Vent\s*:?\s*([A-Z]{1,3})?\s*(\d+)\s*Nds/?(\d+)\s*Bft"
 SEA = (
     r"(?Ud)Mer\s*:?\s*([^\d]+)?\s*(\d+[.,]?\d*)/?(\d+[.,]?\d*)?m?\s*(\d+)?°?\s*(\d+)?s?"
@@ -63,10 +62,19 @@ def unglue(text: Column) -> Column:
     return F.regexp_replace(text, GLUED, "$1 $2")
 
 
+def note_groups(head: Column, wind: Column, sea: Column) -> Column:
+    """The group arrays of the three parts."""
+    return F.struct(
+        extract_groups(head, TEMPERATURE_SKY, 2).alias("head_groups"),
+        extract_groups(wind, WIND, 3).alias("wind_groups"),
+        extract_groups(sea, SEA, 5).alias("sea_groups"),
+    )
+
+
 def note_fields(
-    head: Column, wind_groups: Column, sea_groups: Column, trim_state: bool = False
+    head_groups: Column, wind_groups: Column, sea_groups: Column, trim_state: bool = False
 ) -> dict[str, Column]:
-    """The typed fields from the head and the group arrays of the wind and sea parts.
+    """The typed fields from the group arrays.
 
     The sea-state group is greedy, so a blank before the height stays in the value;
     ``trim_state=True`` removes it so that the ordinal coding recognises the state.
@@ -77,8 +85,8 @@ def note_fields(
 
     state = group(sea_groups, 1)
     return {
-        "temperature": decimal_comma(extract(head, TEMPERATURE)),
-        "ciel": F.when(head.rlike(TEMPERATURE), F.regexp_extract(head, SKY, 1)),
+        "temperature": decimal_comma(group(head_groups, 1)),
+        "ciel": F.get(head_groups, F.lit(2)),
         "vent": group(wind_groups, 1),
         "vent_noeud": decimal_comma(group(wind_groups, 2)),
         "vent_beaufort": decimal_comma(group(wind_groups, 3)),

@@ -39,7 +39,8 @@ def calendar_columns(df: DataFrame) -> dict[str, Column]:
     if "date" in df.columns:
         out["mois"] = F.month(F.col("date").try_cast("date"))
     if "heure" in df.columns:
-        out["heure_num"] = F.hour(F.col("heure").cast("string").try_cast("time"))
+        text = F.concat(F.lit("2000-01-01 "), F.col("heure").cast("string"))
+        out["heure_num"] = F.hour(text.try_cast("timestamp_ntz"))
     return out
 
 

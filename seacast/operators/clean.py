@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seacast.functions.notes import SEA, WIND, extract_groups, note_fields, note_parts
+from seacast.functions.notes import note_fields, note_groups, note_parts
 from seacast.functions.timefeat import date_part, parse_crossing_time, time_part
 from seacast.schemas import CLEAN_CROSSINGS
 
@@ -13,16 +13,16 @@ UNKNOWN_NOTE = "?"
 
 
 def parse_notes(df: DataFrame, note: str = "meteo", trim_state: bool = False) -> DataFrame:
-    """Adds the typed fields of the free-text note in one projection chain."""
+    """Adds the typed fields of the free-text note.
+
+    The regex results pass through a one-element ``inline``: a later filter on a field then
+    stops above it, instead of being pushed below and running every regex a second time.
+    """
     parts = df.withColumns(note_parts(F.col(note)))
-    groups = parts.withColumns(
-        {
-            "note_wind": extract_groups(F.col("note_wind"), WIND, 3),
-            "note_sea": extract_groups(F.col("note_sea"), SEA, 5),
-        }
-    )
-    fields = note_fields(F.col("note_head"), F.col("note_wind"), F.col("note_sea"), trim_state)
-    return groups.withColumns(fields).drop("note_head", "note_wind", "note_sea")
+    groups = note_groups(F.col("note_head"), F.col("note_wind"), F.col("note_sea"))
+    once = parts.select(*df.columns, F.inline(F.array(groups)))
+    fields = note_fields(F.col("head_groups"), F.col("wind_groups"), F.col("sea_groups"), trim_state)
+    return once.withColumns(fields).drop("head_groups", "wind_groups", "sea_groups")
 
 
 def parse_times(df: DataFrame, time: str = "horaire") -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seacast.operators.ordered import running_totals
 from seacast.operators.profile import numeric_columns
 
-# Beyond this many columns the pair expressions give way to per-batch Gram sums.
-PLAIN_COLUMNS = 40
+# Beyond this many columns (10 pairs) the generated aggregate outgrows what the JIT compiles,
+# and the pair expressions give way to per-batch Gram sums.
+PLAIN_COLUMNS = 5
 
 
 def pair_corr(x: Column, y: Column) -> Column:
@@ -164,10 +165,15 @@ def collinear_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshold:
 def target_corr(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Signed correlation of each numeric column with the target, highest first."""
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c != target]
-    y = F.col(target).cast("double")
-    row = df.agg(*[pair_corr(F.col(c).cast("double"), y).alias(f"p{i}") for i, c in enumerate(cols)])
-    items = [F.struct(F.lit(c).alias("variable"), F.col(f"p{i}").alias("corr")) for i, c in enumerate(cols)]
-    return _as_rows(items, row).orderBy(F.desc_nulls_last("corr"), "variable")
+    if len(cols) <= 2 * PLAIN_COLUMNS:
+        y = F.col(target).cast("double")
+        row = df.agg(*[pair_corr(F.col(c).cast("double"), y).alias(f"p{i}") for i, c in enumerate(cols)])
+        items = [F.struct(F.lit(c).alias("variable"), F.col(f"p{i}").alias("corr")) for i, c in enumerate(cols)]
+        out = _as_rows(items, row)
+    else:
+        pairs = corr_pairs(df, [*cols, target]).where(F.col("var_b") == target)
+        out = pairs.select(F.col("var_a").alias("variable"), "corr")
+    return out.orderBy(F.desc_nulls_last("corr"), "variable")
 
 
 def target_corr_top(df: DataFrame, target: str, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
@@ -207,12 +213,17 @@ def prune_plan(df: DataFrame, target: str, threshold: float = 0.90) -> DataFrame
 
     Of each pair above the threshold the feature less correlated with the target goes; on a
     tie the earlier one goes. Every pair is judged on its own: a feature already marked still
-    competes, so the result does not depend on the order of the pairs. The matrix has one row
-    per column pair, whatever the table's length.
+    competes, so the result does not depend on the order of the pairs. One pass computes the
+    matrix of features and target; it has one row per column pair, whatever the table's
+    length, and is kept as such.
     """
     cols = [c for c in numeric_columns(df) if c != target]
-    strength = target_corr(df, target, cols).select("variable", F.abs("corr").alias("strength"))
-    pairs = corr_pairs(df, cols).where(F.abs("corr") > threshold)
+    matrix = corr_pairs(df, [*cols, target])
+    matrix = df.sparkSession.createDataFrame(matrix.collect(), matrix.schema)
+    strength = matrix.where(F.col("var_b") == target).select(
+        F.col("var_a").alias("variable"), F.abs("corr").alias("strength")
+    )
+    pairs = matrix.where((F.col("var_b") != target) & (F.abs("corr") > threshold))
     judged = pairs.join(
         strength.withColumnsRenamed({"variable": "var_a", "strength": "a"}), "var_a"
     ).join(strength.withColumnsRenamed({"variable": "var_b", "strength": "b"}), "var_b")

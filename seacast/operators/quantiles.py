@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def order_statistics(
-    df: DataFrame, values: dict[str, Column], ranks: dict[str, set[int]], bounds: dict[str, tuple], bins: int = 1024
+    df: DataFrame, values: dict[str, Column], ranks: dict[str, set[int]], bounds: dict[str, tuple], bins: int = 4096
 ) -> dict[tuple[str, int], float]:
     """The value at each wanted 0-based rank of each named numeric column.
 
-    ``bounds`` holds the (min, max) of the column. NaN counts as null.
+    ``bounds`` holds a lower and an upper bound of the column's values. NaN counts as null.
     """
     found: dict[tuple[str, int], float] = {}
     wanted = {}

@@ -17,19 +17,21 @@ from seacast.functions.direction import lookup
 from seacast.operators.quantiles import order_statistics
 
 
+HASH_BOUNDS = (0, 2**60 - 1)
+
+
 def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
     """Position of a row in the seeded order: 60 bits of ``md5('key|...|seed')``."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _cuts(df: DataFrame, place: Column, wanted: Sequence[int]) -> dict[int, int]:
+def _cuts(df: DataFrame, place: Column, wanted: Sequence[int], bounds: tuple = HASH_BOUNDS) -> dict[int, int]:
     """The place at each wanted 1-based position."""
-    low, high = df.agg(F.min(place), F.max(place)).first()
     ranks = {w - 1 for w in wanted if w > 0}
     if not ranks:
         return {}
-    found = order_statistics(df, {"h": place}, {"h": ranks}, {"h": (low, high)})
+    found = order_statistics(df, {"h": place}, {"h": ranks}, {"h": bounds})
     return {rank + 1: value for (_, rank), value in found.items()}
 
 
@@ -40,17 +42,19 @@ def split_exact(
 
     ``mode='time'`` cuts along the (unique, numeric or date) key itself instead of its hash.
     """
+    bounds = HASH_BOUNDS
     if mode == "hash":
         place = hash_order(keys, seed)
     elif mode == "time":
         kind = df.schema[keys[0]].dataType.simpleString()
         place = F.unix_date(keys[0]).cast("long") if kind == "date" else F.unix_micros(F.col(keys[0]).cast("timestamp"))
+        bounds = tuple(df.agg(F.min(place), F.max(place)).first())
     else:
         raise ValueError(f"mode must be 'hash' or 'time', got {mode!r}")
     n = df.count()
     n_train = int(n * train)
     n_val = n_train + int(n * val)
-    cuts = _cuts(df, place, [n_train, n_val]) if n else {}
+    cuts = _cuts(df, place, [n_train, n_val], bounds) if n else {}
     lowest = F.lit(-(2**63))
     first = F.lit(cuts[n_train]) if n_train in cuts else lowest
     second = F.lit(cuts[n_val]) if n_val in cuts else lowest
@@ -72,15 +76,11 @@ def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
 def _class_places(df: DataFrame, label: str, keys: Sequence[str], seed: int):
     """Per class: size, place column and bounds. Classes are few."""
     place = hash_order(keys, seed)
-    rows = (
-        df.groupBy(F.col(label).cast("string").alias("c"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
-        .collect()
-    )
+    rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     if any(r["c"] is None for r in rows):
         raise ValueError(f"{label} holds nulls")
     sizes = {r["c"]: r["n"] for r in rows}
-    bounds = {r["c"]: (r["low"], r["high"]) for r in rows}
+    bounds = dict.fromkeys(sizes, HASH_BOUNDS)
     values = {c: F.when(F.col(label).cast("string") == c, place) for c in sizes}
     return place, sizes, bounds, values
 
