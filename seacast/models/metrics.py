@@ -36,8 +36,9 @@ def binary_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred"
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """``label, prediction, n`` for the pairs that occur."""
-    return df.groupBy(F.col(y_true).alias("label"), F.col(y_pred).alias("prediction")).agg(
+    """``label, prediction, n`` for the pairs that occur; predictions take the label's type."""
+    kind = df.schema[y_true].dataType
+    return df.groupBy(F.col(y_true).alias("label"), F.col(y_pred).cast(kind).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -26,6 +26,20 @@ def run_record(
     ).select(*[F.col(f.name).cast(f.dataType) for f in MODEL_RUNS.fields])
 
 
+def append_run(record: DataFrame, path: str) -> DataFrame:
+    """Adds a record to the run table and returns the table."""
+    record.write.mode("append").parquet(path)
+    return record.sparkSession.read.schema(MODEL_RUNS).parquet(path)
+
+
+def promote(runs: DataFrame, version: str) -> DataFrame:
+    """The run table with the newest run of ``version`` as the only active one."""
+    newest = runs.where(F.col("version") == version).agg(F.max("run_at")).first()[0]
+    if newest is None:
+        raise ValueError(f"no run of version {version!r}")
+    return runs.withColumn("active", (F.col("version") == version) & (F.col("run_at") == F.lit(newest)))
+
+
 def leader_board(runs: DataFrame, by: str = "accuracy") -> DataFrame:
     return runs.orderBy(F.desc(by), "version")
 

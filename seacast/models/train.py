@@ -23,8 +23,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seacast.functions.direction import weather_ratios
+from seacast.functions.direction import lookup, weather_ratios
 from seacast.models.metrics import binary_metrics, class_report, confusion_matrix, regression_metrics
+from seacast.operators.encode import fit_vocabulary
 from seacast.operators.split import balanced_weights, split_stratified, stratified_folds
 from seacast.schemas import MEASURES
 from seacast.session import stored
@@ -191,20 +192,32 @@ def cross_val_scores(df: DataFrame, features: Sequence[str], estimator, label: s
 
 def eval_classification(train: DataFrame, test: DataFrame, features: Sequence[str], estimator, label: str, keys: Sequence[str],
                         grid=None, search_type: str = "grid", scoring: str = "accuracy", cv: int = 5, draws: int = 10) -> dict[str, Any]:
-    """Fit (with or without a search) and report on the test rows."""
+    """Fit (with or without a search) and report on the test rows.
+
+    A text label is coded by its sorted training classes; the report shows the class names.
+    """
     if search_type not in ("grid", "random"):
         raise ValueError(f"search_type must be 'grid' or 'random', got {search_type!r}")
+    classes = None
+    if train.schema[label].dataType.simpleString() == "string":
+        classes = [c for c in fit_vocabulary(train, [label])[label] if c is not None]
+        codes = {c: i for i, c in enumerate(classes)}
+        train, test = (df.withColumn(label, lookup(F.col(label), codes)) for df in (train, test))
     if grid is None:
         model = estimator.fit(assembler(features).transform(train))
         cv_results = cross_val_scores(train, features, estimator, label, keys, scoring, cv)
     else:
         found = search(train, features, estimator, grid, label, keys, scoring, cv, draws if search_type == "random" else None)
         model, cv_results = found.bestModel, search_scores(train.sparkSession, found)
-    scored = model.transform(assembler(features).transform(test))
+    scored = model.transform(assembler(features).transform(test)).withColumn("prediction", F.col("prediction").cast("int"))
+    report = class_report(scored, label, "prediction")
+    if classes is not None:
+        names = {str(i): c for i, c in enumerate(classes)}
+        report = report.withColumn("class", F.coalesce(lookup(F.col("class"), names), F.col("class")))
     return {
         "best_params": {p.name: v for p, v in model.extractParamMap().items()},
-        "accuracy": scorer(label, "accuracy").evaluate(scored),
-        "classification_report": class_report(scored, label, "prediction"),
+        "accuracy": scorer(label, "accuracy").evaluate(scored.withColumn("prediction", F.col("prediction").cast("double"))),
+        "classification_report": report,
         "confusion_matrix": confusion_matrix(scored, label, "prediction"),
         "cv_results": cv_results,
         "best_model": model,

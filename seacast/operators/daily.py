@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seacast.functions.direction import SEA_STATES, sea_ordinal
 
-SLOT_TEXT = {"vent": "vent", "ciel": "ciel", "mer": "mer", "ligne": "ligne"}
+# The columns whose values are counted per day; their place is the slot number.
+SLOTS = ["vent", "ciel", "mer", "ligne", "houle_dominante"]
+NUMBER_SLOTS = ["houle_dominante"]
 
 
 def order_key(ts: str, row_id: str) -> Column:
@@ -36,32 +38,32 @@ def daily_rollup(
     if sea not in ("lexical", "ordinal"):
         raise ValueError(f"sea must be 'lexical' or 'ordinal', got {sea!r}")
     order = order_key("horaire", "crossing_id") if order is None else order
-    null_text, null_number = F.lit(None).cast("string"), F.lit(None).cast("double")
     slots = [
-        F.struct(F.lit(slot).alias("slot"), F.col(col).alias("text"), null_number.alias("number"))
-        for slot, col in SLOT_TEXT.items()
-    ]
-    slots.append(
         F.struct(
-            F.lit("houle_dominante").alias("slot"),
-            null_text.alias("text"),
-            F.col("houle_dominante").alias("number"),
+            F.lit(number).alias("slot"),
+            (F.lit(None).cast("string") if col in NUMBER_SLOTS else F.col(col)).alias("text"),
+            (F.col(col) if col in NUMBER_SLOTS else F.lit(None).cast("double")).alias("number"),
         )
-    )
+        for number, col in enumerate(SLOTS)
+    ]
     rows = df.where(F.col(day).isNotNull()).withColumn("_order", order)
     expanded = rows.select(
         F.col(day).alias("_day"),
         F.inline(F.array(*slots)),
         "annulation", "vent_noeud", "houle_max", "houle", "houle_periode", "temperature", "_order",
     )
-    once = F.col("slot") == "vent"
+
+    def in_slot(col: str) -> Column:
+        return F.col("slot") == SLOTS.index(col)
+
+    once = in_slot("vent")
 
     def only_once(col: str) -> Column:
         return F.when(once, F.col(col))
 
     counted = expanded.groupBy("_day", "slot", "text", "number").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("slot") == "ligne", F.col("_order"))).alias("first_at"),
+        F.min(F.when(in_slot("ligne") & F.col("text").isNotNull(), F.col("_order"))).alias("first_at"),
         F.count(only_once("annulation")).alias("n_target"),
         F.sum(only_once("annulation")).alias("s_target"),
         F.max(only_once("vent_noeud")).alias("vent_noeud"),
@@ -74,15 +76,15 @@ def daily_rollup(
         F.max(only_once("temperature")).alias("t_max"),
     )
 
-    def mode(slot: str, value: str) -> Column:
+    def mode(col: str, value: str) -> Column:
         """Most frequent non-null value, the smallest one on a tie."""
-        usable = (F.col("slot") == slot) & F.col(value).isNotNull()
+        usable = in_slot(col) & F.col(value).isNotNull()
         return F.min(F.when(usable, F.struct(-F.col("n"), F.col(value)))).getField(value)
 
     if sea == "lexical":
-        sea_state = F.max(F.when(F.col("slot") == "mer", F.col("text")))
+        sea_state = F.max(F.when(in_slot("mer"), F.col("text")))
     else:
-        rank = F.when(F.col("slot") == "mer", F.nullif(sea_ordinal(F.col("text")).cast("int"), F.lit(-1)))
+        rank = F.when(in_slot("mer"), F.nullif(sea_ordinal(F.col("text")).cast("int"), F.lit(-1)))
         states = F.array(*[F.lit(s) for s in SEA_STATES])
         sea_state = F.get(states, F.max(rank))
     return counted.groupBy(F.col("_day").alias(day)).agg(

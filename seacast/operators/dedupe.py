@@ -28,7 +28,7 @@ def duplicate_rows(
     hot key is split by the adaptive skew join.
     """
     keys = list(subset) if subset is not None else [c for c in df.columns if c not in order]
-    rank = F.struct(*order)
+    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     kept = {"first": F.min(rank), "last": F.max(rank), False: F.lit(None)}
     if keep not in kept:
         raise ValueError(f"keep must be 'first', 'last' or False, got {keep!r}")

@@ -167,10 +167,9 @@ def inspect(df: DataFrame, date: str, target: str) -> DataFrame:
 
 def majority_value(df: DataFrame, col: str, order: Sequence[str]) -> DataFrame:
     """The most frequent non-null value; a tie goes to the value seen first. No value, no row."""
+    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     counts = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(col)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
+        df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_first"))
     )
     best = counts.agg(F.min(F.struct(-F.col("_n"), F.col("_first"), F.col(col).alias("value"))).alias("_best"))
     return best.where(F.col("_best").isNotNull()).select("_best.value")

@@ -38,12 +38,13 @@ def order_statistics(
         if not wanted:
             return found
         brackets = sorted({(name, low, high) for (name, _), (low, high, _) in wanted.items()})
-        rows = []
+        rows, touched = [], F.lit(False)
         for number, (name, low, high) in enumerate(brackets):
             value = values[name]
             share = (value - F.lit(low)) / (F.lit(high) - F.lit(low))
             place = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
             inside = value.between(F.lit(low), F.lit(high))
+            touched = touched | inside
             rows.append(
                 F.when(
                     inside,
@@ -51,7 +52,8 @@ def order_statistics(
                 )
             )
         counts = (
-            df.select(F.explode(F.array(*rows)).alias("r"))
+            df.where(touched)
+            .select(F.explode(F.array(*rows)).alias("r"))
             .where(F.col("r").isNotNull())
             .groupBy("r.bracket", "r.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("r.v").alias("low"), F.max("r.v").alias("high"))

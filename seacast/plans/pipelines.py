@@ -60,9 +60,9 @@ def train_days(days: DataFrame, day: str = "jour"):
     return train_weather_model(weather_features(days, day), [day])
 
 
-def train_crossings(table: DataFrame, keys: Sequence[str], target: str = "annulation"):
+def train_crossings(table: DataFrame, keys: Sequence[str], target: str = "annulation", trees: int = 200, depth: int | None = None):
     """Crossing-grain fusion model: all non-target, non-key columns, 200 deep trees."""
     encoded = dummies(table).fillna(0)
     matrix = model_matrix(encoded, target, keys)
     features = [c for c in matrix.columns if c != target and c not in keys]
-    return train_weather_model(matrix, keys, target, features, forest(target, trees=200, depth=None, min_split=2))
+    return train_weather_model(matrix, keys, target, features, forest(target, trees=trees, depth=depth, min_split=2))

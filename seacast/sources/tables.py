@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from seacast.operators.profile import numeric_columns
+from seacast.operators.lines import EXTRACT_GROUPS, LINE_GROUPS, fan_out_lines
 from seacast.schemas import CLEAN_CROSSINGS, RAW_CROSSINGS, SOURCE_NAMES, WEATHER_LANDED
 
 # The texts a sheet or CSV reader takes as missing.
@@ -85,8 +86,11 @@ def monthly_rows(df: DataFrame, date: str = "date") -> DataFrame:
 
 def monthly_manifest(rows: DataFrame, date: str = "date") -> DataFrame:
     """First date, last date and rows of each month."""
+    day = F.col(date).cast("date")
     return rows.groupBy("year", "month").agg(
-        F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n")
+        F.date_format(F.min(day), "yyyy-MM-dd").alias("first_date"),
+        F.date_format(F.max(day), "yyyy-MM-dd").alias("last_date"),
+        F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -112,18 +116,39 @@ def write_consolidated(df: DataFrame, path: str, run_date: str, date: str = "dat
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest consolidation run; only its partition is read."""
+    """The newest consolidation run; only its partition is read.
+
+    The newest run is found in the file listing, without a job.
+    """
     table = spark.read.parquet(path)
-    newest = table.agg(F.max("run_date")).first()[0]
-    if newest is None:
+    runs = [match.group(1) for f in table.inputFiles() if (match := re.search(r"/run_date=([^/]+)/", f))]
+    if not runs:
         raise FileNotFoundError(f"no consolidated run below {path}")
-    return table.where(F.col("run_date") == newest).drop("run_date", "year")
+    return table.where(F.col("run_date").cast("string") == max(runs)).drop("run_date", "year")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_line_extracts(
+    df: DataFrame, root: str, names: Sequence[str] = tuple(EXTRACT_GROUPS), groups: Mapping[str, Sequence[str]] = LINE_GROUPS
+) -> DataFrame:
+    """All line-group extracts as CSV in one pass, one folder per group; returns rows per group.
+
+    A name without a group is left out and does not stop the others.
+    """
+    known = [n for n in names if n in groups]
+    fan_out_lines(df, known, groups).write.mode("overwrite").partitionBy("line_group").csv(root, header=True)
+    written = df.sparkSession.read.csv(root, header=True)
+    return written.groupBy("line_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corrupt_rows(landed: DataFrame) -> DataFrame:
+    """File and text of the malformed rows of :func:`read_monthly`."""
+    return landed.where(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
+
+
 def export_train_test(
     df: DataFrame, root: str, features: Sequence[str], target: str, target_name: str = "log_buy_price",
     log_target: bool = False, drop_cols: Sequence[str] = (), split: str = "split",
@@ -158,7 +183,3 @@ def preprocessing_metadata(processed: DataFrame, numeric: DataFrame, reduced: Da
         names(reduced.columns).alias("reduced_columns"),
         F.lit(target if target in processed.columns else None).cast("string").alias("target_column"),
     )
-
-
-def numeric_shape(df: DataFrame) -> tuple[int, int]:
-    return len(df.columns), len(numeric_columns(df))

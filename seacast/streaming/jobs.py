@@ -35,8 +35,8 @@ def score_stream(model: PipelineModel, requests: DataFrame, out: str, checkpoint
 def _merge_batch(out: str, date: str, order: list[str]):
     """foreachBatch body: adds the first row of each date that the table lacks.
 
-    Only the months of the batch are read back. A replayed batch finds its dates present and
-    adds nothing, so the merge is idempotent.
+    Only the months of the batch are read back (their list is bounded by the calendar). A
+    replayed batch finds its dates present and adds nothing, so the merge is idempotent.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -46,9 +46,14 @@ def _merge_batch(out: str, date: str, order: list[str]):
         rows = rows.withColumns({"year": F.year(date), "month": F.month(date)})
         path = spark._jvm.org.apache.hadoop.fs.Path(out)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(out).select("year", "month", date)
-            rows = rows.join(known, ["year", "month", date], "left_anti")
-        rows.write.mode("append").partitionBy("year", "month").parquet(out)
+            rows = rows.persist()
+            month_no = F.col("year") * 12 + F.col("month")
+            months = [r[0] for r in rows.select(month_no).distinct().collect()]
+            known = spark.read.parquet(out).where(month_no.isin(months)).select("year", "month", date)
+            rows.join(known, ["year", "month", date], "left_anti").write.mode("append").partitionBy("year", "month").parquet(out)
+            rows.unpersist()
+        else:
+            rows.write.partitionBy("year", "month").parquet(out)
 
     return merge
 
