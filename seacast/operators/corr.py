@@ -94,22 +94,29 @@ def _gram_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, col: str) -> DataFrame:
-    """``value, rank`` of a column: rows with equal values share their mean rank.
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``variable, value, rank``: rows with equal values of a column share their mean rank.
 
     Equal values are counted first, so a value that fills a third of the table is one row of
-    the running total.
+    the running total. All columns share one ordering.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = running_totals(counts, [F.col("value")], {"upto": F.col("n")})
-    return upto.select("value", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    slots = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
+    counts = (
+        df.select(F.inline(slots))
+        .where(F.col("value").isNotNull())
+        .groupBy("variable", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = running_totals(counts, [F.col("value")], {"upto": F.col("n")}, ["variable"])
+    return upto.select("variable", "value", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
 def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    ranks = average_ranks(df, cols)
     out = df
     for c in cols:
-        ranks = average_ranks(df, c).withColumnsRenamed({"value": f"_v_{c}", "rank": f"_r_{c}"})
-        out = out.join(ranks, F.col(c) == F.col(f"_v_{c}"), "left")
+        of_column = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        out = out.join(of_column, F.col(c) == F.col(f"_v_{c}"), "left")
     return out.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
 
 

@@ -15,12 +15,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _literal(value) -> str:
+    return f"{value}L" if isinstance(value, int) else f"{value!r}D"
+
+
+def _bin(col: str, low, high, bins: int) -> str:
+    """Bin number of a value between the bounds; monotone in the value, last bin closed."""
+    share = f"({col} - {_literal(low)}) / ({_literal(high)} - {_literal(low)})"
+    return f"CAST(least(floor({share} * {bins}), {bins - 1}L) AS INT)"
+
+
 def order_statistics(
     df: DataFrame, values: dict[str, Column], ranks: dict[str, set[int]], bounds: dict[str, tuple], bins: int = 4096
 ) -> dict[tuple[str, int], float]:
     """The value at each wanted 0-based rank of each named numeric column.
 
     ``bounds`` holds a lower and an upper bound of the column's values. NaN counts as null.
+    The values pass through a one-element ``inline``, so that an expensive expression runs
+    once per row and pass however often its result is compared.
     """
     found: dict[tuple[str, int], float] = {}
     wanted = {}
@@ -30,6 +42,8 @@ def order_statistics(
             raise ValueError(f"{name} holds an infinite value")
         for rank in name_ranks:
             wanted[(name, rank)] = (low, high, 0)
+    places = {name: f"v{i}" for i, name in enumerate(values)}
+    rows = df.select(F.inline(F.array(F.struct(*[values[n].alias(c) for n, c in places.items()]))))
     while True:
         for key, (low, high, _) in list(wanted.items()):
             if low == high:
@@ -38,22 +52,14 @@ def order_statistics(
         if not wanted:
             return found
         brackets = sorted({(name, low, high) for (name, _), (low, high, _) in wanted.items()})
-        rows, touched = [], F.lit(False)
-        for number, (name, low, high) in enumerate(brackets):
-            value = values[name]
-            share = (value - F.lit(low)) / (F.lit(high) - F.lit(low))
-            place = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
-            inside = value.between(F.lit(low), F.lit(high))
-            touched = touched | inside
-            rows.append(
-                F.when(
-                    inside,
-                    F.struct(F.lit(number).alias("bracket"), place.alias("bin"), value.alias("v")),
-                )
-            )
+        inside = [f"{places[n]} BETWEEN {_literal(low)} AND {_literal(high)}" for n, low, high in brackets]
+        hits = [
+            f"CASE WHEN {test} THEN named_struct('bracket', {i}, 'bin', {_bin(places[n], low, high, bins)}, 'v', {places[n]}) END"
+            for i, (test, (n, low, high)) in enumerate(zip(inside, brackets))
+        ]
         counts = (
-            df.where(touched)
-            .select(F.explode(F.array(*rows)).alias("r"))
+            rows.where(" OR ".join(inside))
+            .select(F.expr(f"explode(array({', '.join(hits)}))").alias("r"))
             .where(F.col("r").isNotNull())
             .groupBy("r.bracket", "r.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("r.v").alias("low"), F.max("r.v").alias("high"))

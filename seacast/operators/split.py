@@ -26,6 +26,18 @@ def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+PLACE = "_place"
+
+
+def _placed(df: DataFrame, keys: Sequence[str], seed: int, cols: Sequence[str]) -> DataFrame:
+    """``cols`` and the place of each row.
+
+    The place passes through a one-element ``inline``, so that comparisons on it neither move
+    below it nor repeat the digest.
+    """
+    return df.select(*cols, F.inline(F.array(F.struct(hash_order(keys, seed).alias(PLACE)))))
+
+
 def _cuts(df: DataFrame, place: Column, wanted: Sequence[int], bounds: tuple = HASH_BOUNDS) -> dict[int, int]:
     """The place at each wanted 1-based position."""
     ranks = {w - 1 for w in wanted if w > 0}
@@ -44,22 +56,23 @@ def split_exact(
     """
     bounds = HASH_BOUNDS
     if mode == "hash":
-        place = hash_order(keys, seed)
+        rows, place = _placed(df, keys, seed, df.columns), F.col(PLACE)
     elif mode == "time":
         kind = df.schema[keys[0]].dataType.simpleString()
         place = F.unix_date(keys[0]).cast("long") if kind == "date" else F.unix_micros(F.col(keys[0]).cast("timestamp"))
+        rows = df
         bounds = tuple(df.agg(F.min(place), F.max(place)).first())
     else:
         raise ValueError(f"mode must be 'hash' or 'time', got {mode!r}")
     n = df.count()
     n_train = int(n * train)
     n_val = n_train + int(n * val)
-    cuts = _cuts(df, place, [n_train, n_val], bounds) if n else {}
+    cuts = _cuts(rows, place, [n_train, n_val], bounds) if n else {}
     lowest = F.lit(-(2**63))
     first = F.lit(cuts[n_train]) if n_train in cuts else lowest
     second = F.lit(cuts[n_val]) if n_val in cuts else lowest
     part = F.when(place <= first, F.lit("train")).when(place <= second, F.lit("val")).otherwise(F.lit("test"))
-    return df.withColumn(out, part)
+    return rows.withColumn(out, part).drop(PLACE)
 
 
 def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -74,50 +87,50 @@ def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
 
 
 def _class_places(df: DataFrame, label: str, keys: Sequence[str], seed: int):
-    """Per class: size, place column and bounds. Classes are few."""
-    place = hash_order(keys, seed)
+    """Rows with their place, and per class its size, bounds and place column. Classes are few."""
+    placed = _placed(df, keys, seed, df.columns)
     rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
     if any(r["c"] is None for r in rows):
         raise ValueError(f"{label} holds nulls")
     sizes = {r["c"]: r["n"] for r in rows}
     bounds = dict.fromkeys(sizes, HASH_BOUNDS)
-    values = {c: F.when(F.col(label).cast("string") == c, place) for c in sizes}
-    return place, sizes, bounds, values
+    values = {c: F.when(F.col(label).cast("string") == c, F.col(PLACE)) for c in sizes}
+    return placed, sizes, bounds, values
 
 
 def split_stratified(
     df: DataFrame, label: str, keys: Sequence[str], test: float = 0.2, seed: int = 42, out: str = "split"
 ) -> DataFrame:
     """Train/test with ceil(n*test) test rows shared out over the classes."""
-    place, sizes, bounds, values = _class_places(df, label, keys, seed)
+    placed, sizes, bounds, values = _class_places(df, label, keys, seed)
     n = sum(sizes.values())
     shares = largest_remainder(sizes, math.ceil(n * test)) if n else {}
     ranks = {c: {k - 1} for c, k in shares.items() if k > 0}
-    found = order_statistics(df, values, ranks, bounds) if ranks else {}
+    found = order_statistics(placed, values, ranks, bounds) if ranks else {}
     cuts = {c: found[(c, k - 1)] for c, k in shares.items() if k > 0}
     cut = lookup(F.col(label).cast("string"), cuts) if cuts else F.lit(None).cast("long")
-    return df.withColumn(out, F.when(place <= cut, F.lit("test")).otherwise(F.lit("train")))
+    return placed.withColumn(out, F.when(F.col(PLACE) <= cut, F.lit("test")).otherwise(F.lit("train"))).drop(PLACE)
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold number 0..k-1; each class is cut into k parts of equal size (plus or minus one row)."""
-    place, sizes, bounds, values = _class_places(df, label, keys, seed)
+    placed, sizes, bounds, values = _class_places(df, label, keys, seed)
     ranks = {c: {n * i // k - 1 for i in range(1, k)} - {-1} for c, n in sizes.items()}
-    found = order_statistics(df, values, ranks, bounds)
+    found = order_statistics(placed, values, ranks, bounds)
     fold = F.lit(0)
     for i in range(1, k):
         cuts = {c: found[(c, n * i // k - 1)] for c, n in sizes.items() if n * i // k > 0}
-        above = place > F.coalesce(lookup(F.col(label).cast("string"), cuts), F.lit(-1).cast("long"))
+        above = F.col(PLACE) > F.coalesce(lookup(F.col(label).cast("string"), cuts), F.lit(-1).cast("long"))
         fold = fold + above.cast("int")
-    return df.withColumn(out, fold)
+    return placed.withColumn(out, fold).drop(PLACE)
 
 
 def sample_exact(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, when there are fewer) by the seeded order."""
-    place = hash_order(keys, seed)
     if n >= df.count():
         return df
-    return df.where(place <= F.lit(_cuts(df, place, [n])[n]))
+    placed = _placed(df, keys, seed, df.columns)
+    return placed.where(F.col(PLACE) <= F.lit(_cuts(placed, F.col(PLACE), [n])[n])).drop(PLACE)
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
