@@ -115,6 +115,13 @@ def train_weather_model(
     return model, _one_row(binary_metrics(scored, label, "prediction"))
 
 
+def logistic_baseline(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], test: float = 0.25) -> DataFrame:
+    """Test metrics of one logistic regression, one row."""
+    parts = split_stratified(stored(df.select(*keys, *features, label), "training"), label, keys, test)
+    model = fit_model(parts.where("split = 'train'"), features, LogisticRegression(labelCol=label, maxIter=100))
+    return _one_row(binary_metrics(model.transform(parts.where("split = 'test'")), label, "prediction"))
+
+
 def compare_models(
     df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], names: Sequence[str] | None = None
 ) -> DataFrame:

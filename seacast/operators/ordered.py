@@ -50,7 +50,9 @@ def fill_both_ways(
 ) -> DataFrame:
     """Forward fill, then backward fill, of ``cols`` along the unique ``order``.
 
-    Per range only the first and last known value of each column travel on.
+    Per range only the first and last known value of each column travel on. A row with no
+    known value before it takes the first one of its own range, else of a later range, so
+    every window only looks back and runs in linear time.
     """
     keys = list(partition_cols)
     rank = F.struct(*order)
@@ -60,24 +62,16 @@ def fill_both_ways(
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"_first_{c}") for c in cols],
     )
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    own_and_later = Window.partitionBy(*keys).orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, 0)
     carried = known.select(
         *keys,
         PART,
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_down_{c}") for c in cols],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_up_{c}") for c in cols],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(own_and_later).alias(f"_up_{c}") for c in cols],
     )
-    inside = Window.partitionBy(*keys, PART).orderBy(*order)
-    back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = parts.join(F.broadcast(carried) if not keys else carried, [*keys, PART])
     filled = {
-        c: F.coalesce(
-            F.last(c, ignorenulls=True).over(back),
-            F.col(f"_down_{c}"),
-            F.first(c, ignorenulls=True).over(ahead),
-            F.col(f"_up_{c}"),
-        )
-        for c in cols
+        c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_down_{c}"), F.col(f"_up_{c}")) for c in cols
     }
     return joined.withColumns(filled).select(*df.columns)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seacast.functions.direction import weather_ratios
-from seacast.models.train import WEATHER_FEATURES, forest, train_weather_model
+from seacast.models.train import WEATHER_FEATURES, forest, logistic_baseline, train_weather_model
 from seacast.operators.align import align, daily_weather_merge
 from seacast.operators.clean import clean_crossings, reorganize
 from seacast.operators.daily import binarise, daily_rollup
 from seacast.operators.dedupe import consolidate
-from seacast.operators.encode import dummies, model_matrix, preprocess_crossings
+from seacast.operators.encode import drop_prefixed, dummies, model_matrix, preprocess_crossings
 from seacast.operators.ordered import fill_both_ways
 from seacast.operators.select import downcast
 from seacast.sources.payload import flatten_payloads, read_payloads
@@ -66,3 +66,16 @@ def train_crossings(table: DataFrame, keys: Sequence[str], target: str = "annula
     matrix = model_matrix(encoded, target, keys)
     features = [c for c in matrix.columns if c != target and c not in keys]
     return train_weather_model(matrix, keys, target, features, forest(target, trees=trees, depth=depth, min_split=2))
+
+
+def logistic_before_after(clean: DataFrame, keys: Sequence[str], target: str = "annulation", test: float = 0.25) -> DataFrame:
+    """Logistic baseline on all encoded features, and again without the wide column families."""
+    full = model_matrix(preprocess_crossings(clean), target, keys).fillna(0)
+    rows = None
+    for name, table in (("full", full), ("reduced", drop_prefixed(full))):
+        features = [c for c in table.columns if c != target and c not in keys]
+        row = logistic_baseline(table, features, target, keys, test).withColumns(
+            {"features": F.lit(name), "n_features": F.lit(len(features))}
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows

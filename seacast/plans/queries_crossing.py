@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seacast.functions.direction import compass_degrees, mistral, sea_ordinal
+from seacast.functions.notes import unglue
 from seacast.functions.solar import calendar, day_night_minutes, solar_day as sun_table
 from seacast.functions.timefeat import in_range
 from seacast.operators import clean, daily, lines
@@ -12,6 +13,8 @@ from seacast.operators.align import align, daily_weather_merge as merge_days
 from seacast.operators.encode import direction_columns
 from seacast.plans.adapters import WEATHER_SHIFTED_DAYS, adapted, table, with_views
 from seacast.plans.queries import query, r6
+from seacast.session import scratch_path
+from seacast.sources.tables import write_line_extracts
 
 # Range of the flagship query: dates both sides share.
 FIRST_DAY, LAST_DAY = "1995-06-01", "2001-06-30"
@@ -149,6 +152,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_orderdate AS D
   CASE WHEN o_orderkey % 4 IN (0, 1) THEN strftime(o_orderdate, '%H:%M:%S') END AS heure FROM t WHERE horaire IS NOT NULL"""
 )
 def parse_times(spark: SparkSession, sf: str) -> DataFrame:
+    # By key: padded, unpadded, unreadable, or no time text at all (such rows are dropped).
     time = F.col("o_orderdate")
     text = (
         F.when(F.col("o_orderkey") % 4 == 0, F.date_format(time, "dd/MM/yyyy HH:mm"))
@@ -158,6 +162,16 @@ def parse_times(spark: SparkSession, sf: str) -> DataFrame:
     return clean.parse_times(table(spark, sf, "orders").withColumn("horaire", text)).select("o_orderkey", "date", "heure")
 
 
+@query(
+    with_views(
+        ["raw_notes"],
+        r"SELECT l_orderkey, l_linenumber, l_partkey, regexp_replace(meteo, '([a-zé])(\d)', '\1 \2', 'g') AS meteo FROM raw_notes",
+    )
+)
+def unglued_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return adapted(spark, sf, "raw_notes").select("l_orderkey", "l_linenumber", "l_partkey", unglue(F.col("meteo")).alias("meteo"))
+
+
 # --- lines ------------------------------------------------------------------
 
 
@@ -180,6 +194,18 @@ def line_group_fanout(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("crossing_id", "ligne", "line_group")
 
 
+@query(
+    with_views(
+        ["crossings"],
+        f", members(line_group, line) AS (VALUES {_MEMBERS}) SELECT line_group, count(*) AS n FROM crossings JOIN members ON line = ligne GROUP BY line_group",
+    )
+)
+def line_extracts(spark: SparkSession, sf: str) -> DataFrame:
+    """All extracts written in one pass and counted from the files."""
+    df = adapted(spark, sf, "crossings").drop("horaire")
+    return write_line_extracts(df, scratch_path(spark, "lines"), [*GROUPS, "no-such-group"], GROUPS)
+
+
 # --- directions and sea -----------------------------------------------------
 
 _DEGREES = "CASE vent " + " ".join(

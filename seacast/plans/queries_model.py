@@ -8,8 +8,8 @@ from pyspark.ml.regression import LinearRegression
 
 from seacast.models import metrics, runs, train
 from seacast.operators import corr
-from seacast.operators.encode import model_matrix
-from seacast.plans import pipelines
+from seacast.operators.encode import model_matrix, preprocess_crossings
+from seacast.plans import lifecycles
 from seacast.plans.adapters import adapted, table, with_views
 from seacast.plans.queries import query, r6
 from seacast.schemas import MEASURES
@@ -145,14 +145,14 @@ def or_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = pipelines.training_days(adapted(spark, sf, "crossings"), adapted(spark, sf, "weather"))
+    days = lifecycles.training_days(adapted(spark, sf, "crossings"), adapted(spark, sf, "weather"))
     return days.select("jour", "annulation_binary", *MEASURES)
 
 
 @query()
 def rf_score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Day-grain forest trained on the merged days, then every weather day scored."""
-    model, _ = pipelines.train_days(training_days(spark, sf))
+    model, _ = lifecycles.train_days(training_days(spark, sf))
     return train.score(model, adapted(spark, sf, "weather"))
 
 
@@ -160,7 +160,7 @@ def rf_score_batch(spark: SparkSession, sf: str) -> DataFrame:
 def rf_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Test metrics of the day-grain forest as a run record."""
     days = training_days(spark, sf)
-    _, row = pipelines.train_days(days)
+    _, row = lifecycles.train_days(days)
     return runs.run_record(row, "v2", "weather", days.count(), len(train.WEATHER_FEATURES)).drop("run_at")
 
 
@@ -168,7 +168,7 @@ def rf_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def rf_crossings(spark: SparkSession, sf: str) -> DataFrame:
     """Crossing-grain forest on the encoded matrix (balanced weights), test metrics."""
     df = adapted(spark, sf, "crossings").drop("horaire", "jour")
-    matrix = model_matrix(pipelines.preprocess_crossings(df), keys=["crossing_id"]).fillna(0)
+    matrix = model_matrix(preprocess_crossings(df), keys=["crossing_id"]).fillna(0)
     weighted = train.balanced_weights(matrix, "annulation")
     features = [c for c in matrix.columns if c not in ("crossing_id", "annulation")]
     estimator = train.forest("annulation", trees=20, weight="weight")
@@ -176,16 +176,22 @@ def rf_crossings(spark: SparkSession, sf: str) -> DataFrame:
     return row
 
 
+@query()
+def logistic_before_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Logistic baseline with and without the wide column families."""
+    return lifecycles.logistic_before_after(adapted(spark, sf, "crossings").drop("horaire", "jour"), ["crossing_id"])
+
+
 @query()
 def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    days = pipelines.weather_features(training_days(spark, sf))
+    days = lifecycles.weather_features(training_days(spark, sf))
     return train.compare_models(days, train.WEATHER_FEATURES, "annulation_binary", ["jour"], ["logistic", "tree", "svm"])
 
 
 @query()
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validated logistic regression over two strengths, recall of class 1."""
-    days = pipelines.weather_features(training_days(spark, sf))
+    days = lifecycles.weather_features(training_days(spark, sf))
     estimator = LogisticRegression(labelCol="annulation_binary", maxIter=20, standardization=False)
     grid = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}
     found = train.search(days, train.WEATHER_FEATURES, estimator, grid, "annulation_binary", ["jour"], "recall", folds=3, draws=2)
@@ -194,7 +200,7 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fold_scores(spark: SparkSession, sf: str) -> DataFrame:
-    days = pipelines.weather_features(training_days(spark, sf))
+    days = lifecycles.weather_features(training_days(spark, sf))
     estimator = LogisticRegression(labelCol="annulation_binary", maxIter=20)
     return train.cross_val_scores(days, train.WEATHER_FEATURES, estimator, "annulation_binary", ["jour"], folds=3)
 
@@ -248,7 +254,7 @@ def pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """Weather requests land as JSON files and are scored as a stream."""
-    model, _ = pipelines.train_days(training_days(spark, sf))
+    model, _ = lifecycles.train_days(training_days(spark, sf))
     landing = scratch_path(spark, "requests")
     adapted(spark, sf, "weather").select(*MEASURES).write.json(landing)
     from seacast.streaming.jobs import read_requests

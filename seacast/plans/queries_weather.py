@@ -10,13 +10,13 @@ from seacast.operators import dedupe
 from seacast.operators.align import attach_label
 from seacast.operators.daily import binarise, daily_max
 from seacast.operators.ordered import fill_both_ways as fill_gaps
-from seacast.operators.select import downcast_plan as plan_types
+from seacast.operators.select import downcast, downcast_plan as plan_types
 from seacast.plans.adapters import adapted, table, with_views
 from seacast.plans.queries import query, r6
 from seacast.schemas import MARINE_MEASURES, MEASURES, WEATHER_MEASURES
 from seacast.session import scratch_path
 from seacast.sources.payload import flatten_payloads
-from seacast.sources.tables import read_latest, write_consolidated, write_monthly
+from seacast.sources.tables import read_latest, union_files as union_tables, write_consolidated, write_monthly
 from seacast.streaming.jobs import consolidate_stream
 
 _M = ", ".join(MEASURES)
@@ -237,6 +237,24 @@ def downcast_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan_types(table(spark, sf, "lineitem"))
 
 
+@query(
+    """SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(l_extendedprice AS FLOAT) AS l_extendedprice,
+  CAST(l_discount AS FLOAT) AS l_discount FROM lineitem"""
+)
+def downcast_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return downcast(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"))
+
+
+@query(
+    """SELECT o_orderkey AS k, o_totalprice AS price, CAST(NULL AS DOUBLE) AS value FROM orders
+UNION ALL SELECT event_id, NULL, value FROM events"""
+)
+def union_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two tables with the outer union of their columns."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return union_tables([orders, table(spark, sf, "events").select(F.col("event_id").alias("k"), "value")])
+
+
 # --- filling ----------------------------------------------------------------
 
 

@@ -218,7 +218,7 @@ def test_text_labels_are_coded(spark):
 
 
 def test_crossing_grain_fusion(spark):
-    from seacast.plans.pipelines import train_crossings
+    from seacast.plans.lifecycles import train_crossings
 
     df = weather_rows(spark).select("id", F.col("annulation_binary").alias("annulation"), "wave_height_max", F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("ligne"))
     model, row = train_crossings(df, ["id"], trees=5, depth=5)

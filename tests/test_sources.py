@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seacast.plans import pipelines
+from seacast.plans import lifecycles
 from seacast.schemas import MEASURES, WEATHER_PAYLOAD
 from seacast.session import checkpointed, scratch_path, stored
 from seacast.sources import tables
@@ -51,7 +51,7 @@ def test_landing_to_consolidated(spark):
     landing = text_file(spark, "payloads", lines)
     assert read_payloads(spark, landing).count() == 2
     root = scratch_path(spark, "raw")
-    manifest = {(r["year"], r["month"]): (r["first_date"], r["last_date"], r["n"]) for r in pipelines.collect_weather(spark, landing, root).collect()}
+    manifest = {(r["year"], r["month"]): (r["first_date"], r["last_date"], r["n"]) for r in lifecycles.collect_weather(spark, landing, root).collect()}
     assert manifest == {(2024, 1): ("2024-01-30", "2024-01-31", 2), (2024, 2): ("2024-02-01", "2024-02-01", 2)}
 
 
@@ -62,7 +62,7 @@ def test_monthly_files_first_row_wins(spark, tmp_path):
     (tmp_path / "2024" / "meteo_2024_01_01-au-01_31.csv").write_text(f"{header}\n2024-01-01,1.0{rest}\n2024-01-02,2.0{rest}\n2024-01-01,9.0{rest}\n")
     (tmp_path / "2024" / "meteo_2024_02_01-au-02_28.csv").write_text(f"{header}\n2024-01-02,5.0{rest}\n2024-02-01,3.0{rest}\n")
     (tmp_path / "2024" / "other.csv").write_text(f"{header}\n2030-01-01,1.0{rest}\n")
-    out = pipelines.consolidate_weather(spark, str(tmp_path))
+    out = lifecycles.consolidate_weather(spark, str(tmp_path))
     assert sorted((str(r["date"]), r["wave_height_max"]) for r in out.collect()) == [("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-02-01", 3.0)]
     assert dict(out.dtypes)["wave_height_max"] == "float"
     with pytest.raises(FileNotFoundError):
@@ -86,7 +86,7 @@ def test_raw_log_and_na_texts(spark):
         "01/02/2024 08:30,A,NA,18° Clair Vent : NW 25 Nds/6 Bft Mer : belle0.5/0.9m 270° 5s,B1,Cap_01",
         "01/02/2024 09:30,A,houle,18° Clair Vent : NW 25 Nds/6 Bft Mer : belle0.5/0.9m 270° 5s,B1,Cap_02",
     ]
-    out = pipelines.crossing_table(spark, text_file(spark, "log", lines)).orderBy("horaire").collect()
+    out = lifecycles.crossing_table(spark, text_file(spark, "log", lines)).orderBy("horaire").collect()
     assert [(r["annulation"], r["annulation_motif"]) for r in out] == [(0, None), (1, "houle")]
 
 
