@@ -28,10 +28,17 @@ ACCENTED, BARE = _latin_table()
 COMBINING = "[\\u0300-\\u036f]"
 
 
-@F.pandas_udf(T.StringType())
-def _strip_marks(values: pd.Series) -> pd.Series:
-    """Decompose, then remove the combining marks U+0300 to U+036F."""
-    return values.str.normalize("NFD").str.replace(r"[̀-ͯ]", "", regex=True)
+def _strip_marks():
+    """Arrow UDF: decompose, then remove the combining marks U+0300 to U+036F.
+
+    Made on demand, so that the function travels with the job and the workers need no package.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def strip(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+
+    return strip
 
 
 def normalize_text(text: Column, full: bool = False) -> Column:
@@ -42,7 +49,7 @@ def normalize_text(text: Column, full: bool = False) -> Column:
     """
     lowered = F.lower(text)
     if full:
-        plain = _strip_marks(lowered)
+        plain = _strip_marks()(lowered)
     else:
         plain = F.regexp_replace(F.translate(lowered, ACCENTED, BARE), COMBINING, "")
     return F.when(lowered.isin("true", "false"), text).otherwise(plain)
