@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import exthash, mixing, quality
+from seacast.llm import exthash, mixing, quality, superkmer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,19 @@ x AS (SELECT *, CAST(epochs * size + greatest(0, least(CAST(floor(target) AS BIG
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, list(a) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM u),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM g WHERE len(g) = 13),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM m WHERE f < doc_id),
+r AS (SELECT doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN a END, ' ' ORDER BY i) AS kept
+  FROM u LEFT JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmer.substring_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
