@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import exthash, mixing, quality, superkmer
+from seacast.llm import exthash, mixing, quality, suffixdup, superkmer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,9 @@ FROM d LEFT JOIN r USING (doc_id)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = superkmer.substring_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdup.suffix_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
