@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import exthash, mixing, quality, suffixdup, superkmer
+from seacast.llm import cutting, exthash, mixing, quality, suffixdup, superkmer, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +122,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdup.suffix_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = tokenfile.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), spaces=True, end_id=0)
+    return tokenfile.read_tokens(folder, manifest)
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), spaces=False, end_id=1)
