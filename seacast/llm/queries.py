@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import cutting, exthash, mixing, quality, suffixdup, superkmer, tokenfile
+from seacast.llm import cutting, exthash, mixing, ordermin, quality, suffixdup, superkmer, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), spaces=False, end_id=1)
+
+
+@query()
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
