@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import cutting, exthash, mixing, ordermin, quality, suffixdup, superkmer, tokenfile
+from seacast.llm import chat, cutting, exthash, mixing, ordermin, quality, suffixdup, superkmer, tokenfile, warc
+from seacast.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +139,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+#: Every 97th page's record is damaged in the replica; the audit has to find these and no others.
+@query("""
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS payload_sha256,
+  page_id % 97 <> 13 AS intact, false AS left_damaged, page_id % 97 = 13 AS right_damaged FROM pages
+""")
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    audit, left, right = warc.audited_archive(spark, pages, F.col("page_id") % 97 == 13)
+    audit = stored(audit, "audit")
+    good = audit.withColumn("folder", F.when(F.col("left_damaged"), F.lit(right)).otherwise(F.lit(left)))
+    payloads = warc.read_records(good).select("page_id", "file", "offset", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("payload_sha256"))
+    return payloads.join(audit.select("file", "offset", "intact", "left_damaged", "right_damaged"), ["file", "offset"]).drop("file", "offset")
+
+
+@query(r"""
+WITH r AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS t FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
+h AS (SELECT r.*, perspective, '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
+    ELSE 'user name=' || regexp_replace(replace(speaker, '<|', '< |'), '[\r\n]+', ' ', 'g') END || chr(10) AS head
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, head || t || '<|im_end|>' || chr(10) AS piece FROM h),
+o AS (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, t
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)
+SELECT conv_id, perspective, turn, speaker, piece, start, CASE WHEN speaker = perspective THEN CAST(start + length(head) AS BIGINT) END AS mask_start,
+  CASE WHEN speaker = perspective THEN CAST(start + length(head) + length(t) + 10 AS BIGINT) END AS mask_end FROM o
+""")
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
