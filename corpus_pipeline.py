@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seacast.llm import exthash, mixing, quality
+from seacast.llm import cutting, exthash, mixing, ordermin, quality
 from seacast.session import stored
 
 
@@ -19,12 +20,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exthash.one_row_per_key(kept).where("kept").select(docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return ordermin.kept_documents(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents repeated by epoch, the one at each budget cut to its first words."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("mixing", mix)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return cutting.pack(docs, public_tokenizers.path("word_bpe_49k.json"), spaces=False, end_id=1)
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("exact dedup", exact_dedup), ("minhash near dedup", near_dedup),
+    ("mixing", mix), ("packing", packing),
+]
 
 #: Near-duplicate classes and packing are not expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
