@@ -115,8 +115,6 @@ def day_night_minutes(
     local_day = F.col(ts).cast("date")
     days, count = calendar(df, local_day)
     sun = solar_day(days, "jour", **place).withColumnRenamed("jour", "_day")
-    if count <= BROADCAST_DAYS:
-        sun = F.broadcast(sun)
     local = F.col(ts).cast("timestamp")
     summer = F.to_utc_timestamp(local, time_zone)
     winter = summer + F.expr("INTERVAL 1 HOUR")

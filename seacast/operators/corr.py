@@ -12,18 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seacast.operators.ordered import running_totals
 from seacast.operators.profile import numeric_columns
-
-# Beyond this many columns (10 pairs) the generated aggregate outgrows what the JIT compiles,
-# and the pair expressions give way to per-batch Gram sums.
-PLAIN_COLUMNS = 5
-
-
-def pair_corr(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson aggregate; null for a constant or empty pair."""
-    x_in, y_in = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.stddev_pop(x_in) * F.stddev_pop(y_in)
-    return F.try_divide(F.covar_pop(x, y), spread)
-
+from seacast.operators.quantiles import clean_double
 
 def _as_rows(items: list[Column], row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*items)))
@@ -36,29 +25,19 @@ def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "
         return _spearman_pairs(df, cols)
     if method != "pearson":
         raise ValueError(f"method must be 'pearson' or 'spearman', got {method!r}")
-    if len(cols) > PLAIN_COLUMNS:
-        return _gram_pairs(df, cols)
-    pairs = list(combinations(cols, 2))
-    row = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
-        *[pair_corr(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    )
-    items = [
-        F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"p{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _as_rows(items, row)
+    return _gram_pairs(df, cols, *np.triu_indices(len(cols), 1))
 
 
-def _gram_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson for wide tables from per-batch Gram sums.
+def _gram_pairs(df: DataFrame, cols: list[str], left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """Pairwise-complete Pearson of the column pairs (left, right) from per-batch Gram sums; NaN counts as null.
 
-    Each Arrow batch adds to k x k sums in its task; a task emits k(k+1)/2 rows once, so the
-    shuffle depends on the width and the number of tasks only. Values are centred on the
-    column means first.
+    Each Arrow batch adds to k x k sums in its task; a task emits one row per pair once, so the
+    shuffle depends on the pairs and the number of tasks only. Values are centred on the column
+    means first. A constant or empty pair gives null.
     """
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    values = df.select(*[clean_double(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = values.agg(*[F.avg(c).alias(c) for c in values.columns]).first()
     shift = np.array([0.0 if m is None else m for m in means])
-    upper = np.triu_indices(len(cols), 1)
 
     def gram(batches):
         total = None
@@ -71,21 +50,20 @@ def _gram_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
             )
             total = sums if total is None else total + sums
         if total is not None:
-            picked = [t[upper] for t in total]
-            yield pd.DataFrame(dict(zip(["n", "sx", "sy", "sxx", "syy", "sxy"], picked)) | {"i": upper[0], "j": upper[1]})
+            picked = [t[left, right] for t in total]
+            yield pd.DataFrame(dict(zip(["n", "sx", "sy", "sxx", "syy", "sxy"], picked)) | {"i": left, "j": right})
 
     schema = "n double, sx double, sy double, sxx double, syy double, sxy double, i int, j int"
     sums = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        .mapInPandas(gram, schema)
+        values.mapInPandas(gram, schema)
         .groupBy("i", "j")
         .agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
     )
     n = F.col("n")
-    spread = F.sqrt(
-        F.greatest(n * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
-        * F.greatest(n * F.col("syy") - F.col("sy") * F.col("sy"), F.lit(0.0))
-    )
+    # What rounding leaves of the spread of a constant column is far below this share of its squares.
+    wide = {v: n * F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") for v in "xy"}
+    none = (wide["x"] <= n * F.col("sxx") * 1e-12) | (wide["y"] <= n * F.col("syy") * 1e-12)
+    spread = F.when(~none, F.sqrt(F.greatest(wide["x"], F.lit(0.0)) * F.greatest(wide["y"], F.lit(0.0))))
     names = F.array(*[F.lit(c) for c in cols])
     return sums.select(
         F.get(names, F.col("i")).alias("var_a"),
@@ -100,7 +78,7 @@ def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Equal values are counted first, so a value that fills a third of the table is one row of
     the running total. All columns share one ordering.
     """
-    slots = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
+    slots = F.array(*[F.struct(F.lit(c).alias("variable"), clean_double(c).alias("value")) for c in cols])
     counts = (
         df.select(F.inline(slots))
         .where(F.col("value").isNotNull())
@@ -121,7 +99,7 @@ def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    data = df.select(*[clean_double(c).alias(c) for c in cols])
     holes = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     if not any(holes.values()):
         return corr_pairs(_ranked(data, cols), cols)
@@ -144,7 +122,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str =
             )
         )
     )
-    spread = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])
+    spread = df.agg(*[F.stddev_pop(clean_double(c)).alias(f"s{i}") for i, c in enumerate(cols)])
     diagonal = _as_rows(
         [
             F.struct(
@@ -172,14 +150,9 @@ def collinear_pairs(df: DataFrame, cols: Sequence[str] | None = None, threshold:
 def target_corr(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Signed correlation of each numeric column with the target, highest first."""
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c != target]
-    if len(cols) <= 2 * PLAIN_COLUMNS:
-        y = F.col(target).cast("double")
-        row = df.agg(*[pair_corr(F.col(c).cast("double"), y).alias(f"p{i}") for i, c in enumerate(cols)])
-        items = [F.struct(F.lit(c).alias("variable"), F.col(f"p{i}").alias("corr")) for i, c in enumerate(cols)]
-        out = _as_rows(items, row)
-    else:
-        pairs = corr_pairs(df, [*cols, target]).where(F.col("var_b") == target)
-        out = pairs.select(F.col("var_a").alias("variable"), "corr")
+    every = np.arange(len(cols))
+    pairs = _gram_pairs(df, [*cols, target], every, np.full(len(cols), len(cols)))
+    out = pairs.select(F.col("var_a").alias("variable"), "corr")
     return out.orderBy(F.desc_nulls_last("corr"), "variable")
 
 

@@ -215,10 +215,27 @@ def rate_by_group_flag(df: DataFrame, group: str, names: list[str], flags: list[
     return joined.select("name", "flag", "value", F.coalesce("_rate", F.lit(0.0)).alias("rate"))
 
 
+def crosstab_cells(df: DataFrame, row: str, col: str) -> DataFrame:
+    """Row-normalised cross-tab in long form, over all values: ``row, col, share`` of each pair that occurs.
+
+    The shares of a row sum to 1; a pair that does not occur has no row (its share is 0).
+    """
+    known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    cells = known.groupBy(row, col).agg(F.count(F.lit(1)).alias("_c"))
+    totals = cells.groupBy(F.col(row).alias("_row")).agg(F.sum("_c").alias("_n"))
+    return cells.join(totals, F.col(row) == F.col("_row")).select(row, col, (F.col("_c") / F.col("_n")).alias("share"))
+
+
 def crosstab_share(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
-    """Row-normalised cross-tab: share of each ``col`` value per ``row`` value, absent cell 0."""
+    """Row-normalised cross-tab: share of each ``col`` value per ``row`` value, absent cell 0.
+
+    One column per listed value. A row that has a value outside the list ends the query with an
+    error, so the shares always sum to 1; :func:`crosstab_cells` needs no list.
+    """
     counts = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count(F.when(F.col(col) == v, 1)).alias(f"_c{i}") for i, v in enumerate(values)],
     )
-    return counts.select(row, *[(F.col(f"_c{i}") / F.col("_n")).alias(f"{col}_{v}") for i, v in enumerate(values)])
+    listed = sum((F.col(f"_c{i}") for i in range(len(values))), F.lit(0))
+    total = F.when(listed == F.col("_n"), F.col("_n")).otherwise(F.raise_error(F.lit(f"{col} has values that are not listed")).cast("bigint"))
+    return counts.select(row, *[(F.col(f"_c{i}") / total).alias(f"{col}_{v}") for i, v in enumerate(values)])

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, functions as F
 
-from seacast.functions.direction import compass_degrees, direction_parts, lookup, mistral, sea_ordinal
+from seacast.functions.direction import compass_degrees, direction_parts, mistral, sea_ordinal
 from seacast.functions.solar import day_night_minutes
 from seacast.functions.timefeat import calendar_columns
 from seacast.operators.profile import numeric_columns
-from seacast.operators.quantiles import exact_quantiles
+from seacast.operators.ordered import running_totals
+from seacast.operators.quantiles import clean_double, exact_quantiles
 
 NOMINAL = ["ligne", "bateau", "ciel", "capitaine"]
 REDUCED_PREFIXES = ("ciel_", "bateau_", "capitaine_")
-# One output column per category: a wider vocabulary belongs in a sparse vector
-# (StringIndexer and OneHotEncoder), not in a table of columns.
-MAX_CATEGORIES = 5_000
+# Columns of a dense one-hot table at most, by default; :func:`one_hot_sparse` has no such bound.
+DENSE_COLUMNS = 5_000
 
 
-def fit_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str | None]]:
-    """Sorted categories of each column, null last, from one distinct pass."""
-    slots = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
-    rows = df.select(F.inline(slots)).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {list(cols)}: encode as a sparse vector instead")
+def fit_vocabulary(df: DataFrame, cols: Sequence[str], limit: int = DENSE_COLUMNS) -> dict[str, list[str | None]]:
+    """Sorted categories of each column, null last, from one distinct pass.
+
+    They become column names, so more than ``limit`` of them is an error that points to the sparse form.
+    """
+    slots = F.array(*[F.struct(F.lit(i).alias("i"), F.col(quoted(c)).cast("string").alias("v")) for i, c in enumerate(cols)])
+    rows = df.select(F.inline(slots)).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} categories in {list(cols)}: use one_hot_sparse")
     out: dict[str, list[str | None]] = {c: [] for c in cols}
     for i, value in sorted(((r["i"], r["v"]) for r in rows), key=lambda p: (p[0], p[1] is None, p[1] or "")):
         out[cols[i]].append(value)
@@ -43,9 +47,42 @@ def one_hot(
     for col, categories in vocabulary.items():
         kept = [c for c in categories if c is not None or null_category]
         for category in kept[1:] if drop_first else kept:
-            same = F.col(col).cast("string").eqNullSafe(F.lit(category))
+            same = F.col(quoted(col)).cast("string").eqNullSafe(F.lit(category))
             flags.append(same.cast("int").alias(f"{col}_{'nan' if category is None else category}"))
-    return df.select(*[c for c in df.columns if c not in vocabulary], *flags)
+    return df.select(*[quoted(c) for c in df.columns if c not in vocabulary], *flags)
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it when it may hold dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def category_codes(df: DataFrame, col: str) -> DataFrame:
+    """``category, code``: the distinct values of a column as text, numbered from 0 in their order; null has none.
+
+    The numbers come from running totals over ranges, so a vocabulary of any size stays distributed.
+    """
+    values = df.select(F.col(quoted(col)).cast("string").alias("category")).where(F.col("category").isNotNull()).distinct()
+    counted = running_totals(values, [F.col("category")], {"upto": F.lit(1)})
+    return counted.select("category", (F.col("upto") - 1).cast("int").alias("code"))
+
+
+def with_codes(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
+    """``df`` with the code of a column's value; null for null and for unknown values."""
+    table = codes.select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+    joined = df.join(table, F.col(quoted(col)).cast("string") == F.col("_category"), "left")
+    return joined.withColumn(out, F.col("_code")).drop("_category", "_code")
+
+
+def one_hot_sparse(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
+    """``df`` with a sparse 0/1 vector over all categories of ``codes`` but the first; null, unknown and the first are all zero."""
+    size = codes.agg(F.max("code")).first()[0] or 1
+    coded = with_codes(df, col, codes, "_at")
+    # The encoder leaves out its last number: there go null, unknown values and the first category.
+    place = F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(size).cast("double")
+    numbers = df.sparkSession.range(size + 1).select(F.col("id").cast("double").alias("_place"))
+    encoder = OneHotEncoder(inputCols=["_place"], outputCols=[out], dropLast=True).fit(numbers)
+    return encoder.transform(coded.withColumn("_place", place)).drop("_at", "_place")
 
 
 def dummies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -56,25 +93,24 @@ def dummies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Median and interquartile range per column; a zero range counts as 1."""
+    """Median and interquartile range per column; a zero range counts as 1, a column without values stays as it is."""
     out = {}
     for col, q in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items():
-        if q[0.5] is not None:
-            out[col] = (q[0.5], (q[0.75] - q[0.25]) or 1.0)
+        out[col] = (0.0, 1.0) if q[0.5] is None else (q[0.5], (q[0.75] - q[0.25]) or 1.0)
     return out
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column; a zero deviation counts as 1."""
     row = df.agg(
-        *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s{i}") for i, c in enumerate(cols)]
+        *[F.struct(F.avg(clean_double(c)).alias("m"), F.stddev_pop(clean_double(c)).alias("s")).alias(f"s{i}") for i, c in enumerate(cols)]
     ).first()
     return {c: (row[i]["m"], row[i]["s"] or 1.0) for i, c in enumerate(cols) if row[i]["m"] is not None}
 
 
 def scale(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> DataFrame:
     """(x - center) / scale with the learned pair of each column."""
-    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fitted.items()})
+    return df.withColumns({c: (clean_double(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fitted.items()})
 
 
 def fit_preprocess(df: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] | None = None):
@@ -95,10 +131,8 @@ def apply_preprocess(df: DataFrame, fitted) -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Sorted classes to 0..k-1."""
-    classes = [c for c in fit_vocabulary(df, [col])[col] if c is not None]
-    codes = {c: i for i, c in enumerate(classes)}
-    return df.withColumn(out, lookup(F.col(col).cast("string"), codes))
+    """Sorted classes to 0..k-1, by a join with the table of classes; null stays null."""
+    return with_codes(df, col, category_codes(df, col), out)
 
 
 def crossing_features(df: DataFrame) -> DataFrame:
@@ -134,17 +168,17 @@ def preprocess_crossings(df: DataFrame, vocabulary: Mapping[str, Sequence[str |
 
 def drop_prefixed(df: DataFrame, prefixes: Sequence[str] = REDUCED_PREFIXES) -> DataFrame:
     """Without the columns of the named families."""
-    return df.drop(*[c for c in df.columns if c.startswith(tuple(prefixes))])
+    return df.select(*[quoted(c) for c in df.columns if not c.startswith(tuple(prefixes))])
 
 
 def model_tables(df: DataFrame, vocabulary=None) -> dict[str, DataFrame]:
     """The processed, numeric and reduced tables."""
     processed = preprocess_crossings(df, vocabulary)
-    numeric = processed.select(*numeric_columns(processed, with_bool=True))
+    numeric = processed.select(*[quoted(c) for c in numeric_columns(processed, with_bool=True)])
     return {"processed": processed, "numeric": numeric, "reduced": drop_prefixed(numeric)}
 
 
 def model_matrix(df: DataFrame, target: str = "annulation", keys: Sequence[str] = ()) -> DataFrame:
     """Numeric features, then the target (and the row keys for joining back)."""
     features = [c for c in numeric_columns(df) if c != target and c not in keys]
-    return df.select(*keys, *features, target)
+    return df.select(*[quoted(c) for c in (*keys, *features, target)])

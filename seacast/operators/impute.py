@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seacast.functions.text import replace_values, to_number
 from seacast.operators.profile import modes, numeric_columns, string_columns
-from seacast.operators.quantiles import exact_quantiles
+from seacast.operators.quantiles import clean_double, exact_quantiles
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
@@ -23,7 +23,8 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, strategy: s
     if strategy == "median":
         values = medians(df, cols)
     elif strategy == "mean":
-        values = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+        row = df.agg(*[F.avg(clean_double(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        values = {c: row[i] for i, c in enumerate(cols)}
     elif strategy == "zero":
         values = dict.fromkeys(cols, 0.0)
     else:
@@ -32,8 +33,10 @@ def impute_numeric(df: DataFrame, cols: Sequence[str] | None = None, strategy: s
 
 
 def _fill(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:
-    """Coalesce per column in one projection; integers widen to double where needed."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
+    """Coalesce per column in one projection; integers widen to double where needed, NaN counts as null."""
+    fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    known = {c: F.when(~F.isnan(c), F.col(c)) if c in fractions else F.col(c) for c in values}
+    return df.withColumns({c: F.coalesce(known[c], F.lit(v)) for c, v in values.items() if v is not None})
 
 
 def impute_categorical(df: DataFrame, cols: Sequence[str] | None = None, fill: str = "missing") -> DataFrame:
@@ -77,18 +80,20 @@ def clean_data(
     modes (``binary_cols``), replace then median (``floor_col``, ``floor_replace``), medians
     (``numeric_median_cols``), values below a limit to null then median (``rent_col``,
     ``rent_invalid_below``). All medians come from one set of passes unless a column is
-    treated by two steps; then the later step sees the earlier one's result.
+    treated by two steps; then the later step sees the earlier one's result. Statistics that are
+    passed in are only applied: they are not changed, and a column they do not know is left as it is.
     """
-    stats = dict(stats or {})
+    learn = stats is None
+    stats = {k: dict(v) if isinstance(v, Mapping) else v for k, v in (stats or {}).items()}
     if config.get("drop_na_threshold") is not None:
-        if "cols_to_drop" not in stats:
+        if learn:
             stats["cols_to_drop"] = high_na_columns(df, config["drop_na_threshold"])
-        df = df.drop(*stats["cols_to_drop"])
+        df = df.drop(*stats.get("cols_to_drop", []))
     binary = [c for c in config.get("binary_cols", []) if c in df.columns]
     if binary:
-        if "bin_modes" not in stats:
+        if learn:
             stats["bin_modes"] = fit_modes(df, binary)
-        df = impute_mode(df, binary, stats["bin_modes"])
+        df = impute_mode(df, binary, stats.get("bin_modes", {}))
 
     steps: list[tuple[str, str | None, str, dict]] = []
     if config.get("floor_col") in df.columns:
@@ -116,12 +121,13 @@ def clean_data(
                 value = F.when(value >= F.lit(float(how["below"])), value)
             casts[col] = value
         df = df.withColumns(casts)
-        missing = [s for s in level if s[0] not in stats or (s[1] is not None and s[1] not in stats[s[0]])]
+        missing = level if learn else []
         learned = medians(df, [s[2] for s in missing])
         for key, sub, col, _ in missing:
             if sub is None:
                 stats[key] = learned[col]
             else:
                 stats.setdefault(key, {})[sub] = learned[col]
-        df = _fill(df, {col: stats[key] if sub is None else stats[key][sub] for key, sub, col, _ in level})
+        values = {col: stats.get(key) if sub is None else stats.get(key, {}).get(sub) for key, sub, col, _ in level}
+        df = _fill(df, values)
     return df, stats

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from seacast.operators.quantiles import exact_quantiles
+from seacast.operators.quantiles import clean_double, exact_quantiles
 
 # Texts that stand for a missing value.
 MISSING_TEXTS = ["", "na", "NA", "null", "NULL"]
@@ -126,16 +126,16 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles and maximum per numeric column."""
+    """Count, mean, standard deviation, minimum, quartiles and maximum per numeric column; NaN counts as null."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     row = df.agg(
         *[
             F.struct(
-                F.count(F.col(c)).alias("n"),
-                F.avg(F.col(c)).alias("mean"),
-                F.stddev_samp(F.col(c)).alias("std"),
-                F.min(F.col(c)).cast("double").alias("min"),
-                F.max(F.col(c)).cast("double").alias("max"),
+                F.count(clean_double(c)).alias("n"),
+                F.avg(clean_double(c)).alias("mean"),
+                F.stddev_samp(clean_double(c)).alias("std"),
+                F.min(clean_double(c)).alias("min"),
+                F.max(clean_double(c)).alias("max"),
             ).alias(f"s{i}")
             for i, c in enumerate(cols)
         ]
@@ -189,12 +189,12 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 40) -> DataFrame:
-    """Equal-width histogram per numeric column, last bin closed; empty bins are left out.
+    """Equal-width histogram per numeric column, last bin closed; empty bins are left out. NaN counts as null.
 
     One pass finds the ranges, a second one counts all columns' bins in a hash aggregate.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    values = {c: F.col(c).cast("double") for c in cols}
+    values = {c: clean_double(c) for c in cols}
     row = df.agg(*[F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias(f"s{i}") for i, v in enumerate(values.values())]).first()
     items = []
     for i, (c, v) in enumerate(values.items()):

@@ -1,9 +1,9 @@
 """Exact-size splits and samples without sorting the table.
 
-Rows are ordered by a seeded hash of their key. Only the hash values at the cut ranks are
-looked up (histogram narrowing); the split itself is then a comparison per row, with no
-shuffle. The order uses 60 bits of the md5 digest of a unique key; two rows share
-such a value with a chance of about 1e-18 per pair.
+Rows are ordered by a seeded md5 digest of their key, then by the key. Only the digests at the
+cut ranks are looked up; the split itself is then a comparison per row, with no shuffle. The
+look-up narrows down the first 52 bits; where several rows share those of a cut, their whole
+digests and keys decide.
 """
 
 from __future__ import annotations
@@ -16,35 +16,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seacast.functions.direction import lookup
 from seacast.operators.quantiles import order_statistics
 
+#: Stands for a null part of a key; classes that a stratified split takes.
+NO_VALUE, MAX_CLASSES = "\x00", 10_000
 
-HASH_BOUNDS = (0, 2**60 - 1)
+PLACE, TEXT = "_place", "_text"
 
 
-def hash_order(keys: Sequence[str], seed: int = 42) -> Column:
-    """Position of a row in the seeded order: 60 bits of ``md5('key|...|seed')``."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-PLACE = "_place"
+def hash_text(keys: Sequence[str], seed: int = 42) -> Column:
+    """The seeded order as text: the md5 of ``key|...|seed`` and that text itself."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit(NO_VALUE)) for k in keys]
+    text = F.concat_ws("|", *parts, F.lit(str(seed)))
+    return F.concat(F.md5(text), text)
 
 
 def _placed(df: DataFrame, keys: Sequence[str], seed: int, cols: Sequence[str]) -> DataFrame:
-    """``cols`` and the place of each row.
+    """``cols``, the order text of each row and its first 52 bits.
 
-    The place passes through a one-element ``inline``, so that comparisons on it neither move
+    The text passes through a one-element ``inline``, so that comparisons on it neither move
     below it nor repeat the digest.
     """
-    return df.select(*cols, F.inline(F.array(F.struct(hash_order(keys, seed).alias(PLACE)))))
+    texts = df.select(*cols, F.inline(F.array(F.struct(hash_text(keys, seed).alias(TEXT)))))
+    return texts.withColumn(PLACE, F.conv(F.substring(TEXT, 1, 13), 16, 10).cast("long"))
 
 
-def _cuts(df: DataFrame, place: Column, wanted: Sequence[int], bounds: tuple = HASH_BOUNDS) -> dict[int, int]:
-    """The place at each wanted 1-based position."""
-    ranks = {w - 1 for w in wanted if w > 0}
-    if not ranks:
-        return {}
-    found = order_statistics(df, {"h": place}, {"h": ranks}, {"h": bounds})
-    return {rank + 1: value for (_, rank), value in found.items()}
+def _cut_texts(rows: DataFrame, values: dict[str, Column], wanted: dict[str, set[int]], sizes: dict[str, int]) -> dict[tuple[str, int], str | None]:
+    """The order text at each 0-based rank of each class; None for a rank below 0.
+
+    The rows that share the first bits of a cut are one, but for a collision of 52 bits or a key
+    that is there twice; the latter are counted by text, so their number does not matter.
+    """
+    found = order_statistics(rows, values, {c: {r for r in ranks if r >= 0} for c, ranks in wanted.items()}, sizes)
+    out: dict[tuple[str, int], str | None] = {(c, r): None for c, ranks in wanted.items() for r in ranks}
+    if not found:
+        return out
+    at = {(c, place.value) for (c, _), place in found.items()}
+    tests = F.coalesce(*[F.when(values[c] == v, F.lit(i)) for i, (c, v) in enumerate(sorted(at))])
+    ties: dict[tuple[str, int], list] = {}
+    number = sorted(at)
+    for r in rows.select(tests.alias("i"), TEXT).where("i IS NOT NULL").groupBy("i", TEXT).count().collect():
+        ties.setdefault(number[r["i"]], []).append((r[TEXT], r["count"]))
+    for (c, rank), place in found.items():
+        left = place.index
+        for text, n in sorted(ties[c, place.value]):
+            if left < n:
+                out[c, rank] = text
+                break
+            left -= n
+    return out
+
+
+def _upto(cut: str | None) -> Column:
+    return F.lit(False) if cut is None else F.col(TEXT) <= F.lit(cut)
 
 
 def split_exact(
@@ -52,27 +74,29 @@ def split_exact(
 ) -> DataFrame:
     """Adds the part of each row: int(n*train) train, int(n*val) val, the rest test.
 
-    ``mode='time'`` cuts along the (unique, numeric or date) key itself instead of its hash.
+    ``mode='time'`` cuts along the (unique, numeric or date) key itself instead of its hash; there a
+    row without a key is an error, because it has no place.
     """
-    bounds = HASH_BOUNDS
     if mode == "hash":
         rows, place = _placed(df, keys, seed, df.columns), F.col(PLACE)
     elif mode == "time":
         kind = df.schema[keys[0]].dataType.simpleString()
         place = F.unix_date(keys[0]).cast("long") if kind == "date" else F.unix_micros(F.col(keys[0]).cast("timestamp"))
         rows = df
-        bounds = tuple(df.agg(F.min(place), F.max(place)).first())
     else:
         raise ValueError(f"mode must be 'hash' or 'time', got {mode!r}")
-    n = df.count()
-    n_train = int(n * train)
-    n_val = n_train + int(n * val)
-    cuts = _cuts(rows, place, [n_train, n_val], bounds) if n else {}
-    lowest = F.lit(-(2**63))
-    first = F.lit(cuts[n_train]) if n_train in cuts else lowest
-    second = F.lit(cuts[n_val]) if n_val in cuts else lowest
-    part = F.when(place <= first, F.lit("train")).when(place <= second, F.lit("val")).otherwise(F.lit("test"))
-    return rows.withColumn(out, part).drop(PLACE)
+    n, known = rows.agg(F.count(F.lit(1)), F.count(place)).first()
+    if known < n:
+        raise ValueError(f"{n - known} rows have no {keys[0]}")
+    ranks = [int(n * train) - 1, int(n * train) + int(n * val) - 1]
+    if mode == "hash":
+        cuts = _cut_texts(rows, {"h": place}, {"h": set(ranks)}, {"h": n})
+        first, second = (_upto(cuts["h", r]) for r in ranks)
+    else:
+        found = order_statistics(rows, {"h": place}, {"h": {r for r in ranks if r >= 0}}, {"h": n})
+        first, second = (place <= F.lit(found["h", r].value) if r >= 0 else F.lit(False) for r in ranks)
+    part = F.when(first, F.lit("train")).when(second, F.lit("val")).otherwise(F.lit("test"))
+    return rows.withColumn(out, part).drop(PLACE, TEXT)
 
 
 def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -86,56 +110,61 @@ def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
     return shares
 
 
+def _class_sizes(df: DataFrame, label: str) -> dict[str, int]:
+    """Rows of each class. More than ``MAX_CLASSES`` are an error: the cuts of a class are literals of the plan."""
+    rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    return {r["c"]: r["n"] for r in rows}
+
+
 def _class_places(df: DataFrame, label: str, keys: Sequence[str], seed: int):
-    """Rows with their place, and per class its size, bounds and place column. Classes are few."""
+    """Rows with their order text, and per class its size and place column."""
     placed = _placed(df, keys, seed, df.columns)
-    rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if any(r["c"] is None for r in rows):
+    sizes = _class_sizes(df, label)
+    if None in sizes:
         raise ValueError(f"{label} holds nulls")
-    sizes = {r["c"]: r["n"] for r in rows}
-    bounds = dict.fromkeys(sizes, HASH_BOUNDS)
-    values = {c: F.when(F.col(label).cast("string") == c, F.col(PLACE)) for c in sizes}
-    return placed, sizes, bounds, values
+    return placed, sizes, {c: F.when(F.col(label).cast("string") == c, F.col(PLACE)) for c in sizes}
 
 
 def split_stratified(
     df: DataFrame, label: str, keys: Sequence[str], test: float = 0.2, seed: int = 42, out: str = "split"
 ) -> DataFrame:
     """Train/test with ceil(n*test) test rows shared out over the classes."""
-    placed, sizes, bounds, values = _class_places(df, label, keys, seed)
+    placed, sizes, values = _class_places(df, label, keys, seed)
     n = sum(sizes.values())
     shares = largest_remainder(sizes, math.ceil(n * test)) if n else {}
-    ranks = {c: {k - 1} for c, k in shares.items() if k > 0}
-    found = order_statistics(placed, values, ranks, bounds) if ranks else {}
-    cuts = {c: found[(c, k - 1)] for c, k in shares.items() if k > 0}
-    cut = lookup(F.col(label).cast("string"), cuts) if cuts else F.lit(None).cast("long")
-    return placed.withColumn(out, F.when(F.col(PLACE) <= cut, F.lit("test")).otherwise(F.lit("train"))).drop(PLACE)
+    found = _cut_texts(placed, values, {c: {k - 1} for c, k in shares.items()}, sizes) if shares else {}
+    cuts = {c: found[c, k - 1] for c, k in shares.items() if k > 0}
+    cut = lookup(F.col(label).cast("string"), cuts) if cuts else F.lit(None).cast("string")
+    return placed.withColumn(out, F.when(F.col(TEXT) <= cut, F.lit("test")).otherwise(F.lit("train"))).drop(PLACE, TEXT)
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 42, out: str = "fold") -> DataFrame:
     """Fold number 0..k-1; each class is cut into k parts of equal size (plus or minus one row)."""
-    placed, sizes, bounds, values = _class_places(df, label, keys, seed)
-    ranks = {c: {n * i // k - 1 for i in range(1, k)} - {-1} for c, n in sizes.items()}
-    found = order_statistics(placed, values, ranks, bounds)
+    placed, sizes, values = _class_places(df, label, keys, seed)
+    found = _cut_texts(placed, values, {c: {n * i // k - 1 for i in range(1, k)} for c, n in sizes.items()}, sizes) if sizes else {}
     fold = F.lit(0)
     for i in range(1, k):
-        cuts = {c: found[(c, n * i // k - 1)] for c, n in sizes.items() if n * i // k > 0}
-        above = F.col(PLACE) > F.coalesce(lookup(F.col(label).cast("string"), cuts), F.lit(-1).cast("long"))
+        cuts = {c: found[c, n * i // k - 1] for c, n in sizes.items() if n * i // k > 0}
+        above = F.col(TEXT) > F.coalesce(lookup(F.col(label).cast("string"), cuts), F.lit("")) if cuts else F.lit(True)
         fold = fold + above.cast("int")
-    return placed.withColumn(out, fold).drop(PLACE)
+    return placed.withColumn(out, fold).drop(PLACE, TEXT)
 
 
 def sample_exact(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, when there are fewer) by the seeded order."""
-    if n >= df.count():
+    size = df.count()
+    if n >= size:
         return df
     placed = _placed(df, keys, seed, df.columns)
-    return placed.where(F.col(PLACE) <= F.lit(_cuts(placed, F.col(PLACE), [n])[n])).drop(PLACE)
+    cut = _cut_texts(placed, {"h": F.col(PLACE)}, {"h": {n - 1}}, {"h": size})["h", n - 1] if n > 0 else None
+    return placed.where(_upto(cut)).drop(PLACE, TEXT)
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Weight n / (k * n_class) of each row, from the few class counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("string")).count().collect() if r[0] is not None}
-    n = sum(counts.values())
-    weights = {c: n / (len(counts) * size) for c, size in counts.items()}
-    return df.withColumn(out, lookup(F.col(label).cast("string"), weights))
+    """Weight n / (k * n_class) of each row, joined from the table of class counts; null for a null class."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    n, k = counts.agg(F.sum("_size"), F.count(F.lit(1))).first()
+    weights = counts.select("_class", (F.lit(n or 0) / (F.lit(k) * F.col("_size"))).alias(out))
+    return df.drop(out).join(weights, F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
