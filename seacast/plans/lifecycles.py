@@ -1,4 +1,4 @@
-"""The reference lifecycles as compositions of operators."""
+"""End-to-end lifecycles as compositions of operators."""
 
 from __future__ import annotations
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from seacast.operators.lines import EXTRACT_GROUPS, LINE_GROUPS, fan_out_lines
 from seacast.schemas import CLEAN_CROSSINGS, RAW_CROSSINGS, SOURCE_NAMES, WEATHER_LANDED
+from seacast.session import stored
 
 # The texts a sheet or CSV reader takes as missing.
 NA_TEXTS = [
@@ -26,8 +26,14 @@ def na_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_raw_crossings(spark: SparkSession, path: str) -> DataFrame:
-    """The landed crossing log (CSV with header), canonical names, missing texts as null."""
-    df = spark.read.csv(path, schema=RAW_CROSSINGS, header=True, multiLine=False)
+    """The landed crossing log (CSV with header, columns found by name), canonical names, missing texts as null."""
+    lines = _lines(spark, path, "*")
+    headers, is_header = _headers(lines, RAW_CROSSINGS.names[0])
+    layouts = [r[0] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if not layouts:
+        raise FileNotFoundError(f"no crossing log with a header at {path}")
+    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
+    df = _by_header(rows, sorted(layouts), RAW_CROSSINGS).drop("_corrupt_record", "_file", "_block", "_row")
     return na_to_null(df).withColumnsRenamed(SOURCE_NAMES)
 
 
@@ -37,30 +43,89 @@ def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CLEA
     return spark.read.csv(path, schema=full, header=True, enforceSchema=True).drop(INDEX)
 
 
-def read_monthly(spark: SparkSession, root: str, schema: T.StructType = WEATHER_LANDED) -> DataFrame:
-    """All ``meteo_*.csv`` files below ``root`` with the columns that give their row order.
+def _by_header(lines: DataFrame, layouts: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Lines with the header of their file to the columns of ``schema``, each found by its name in that header.
 
-    Unreadable files are skipped; a malformed row keeps its text in ``_corrupt_record``.
-    Sorting by ``_file, _block, _row`` gives file-then-line order. No file is an error.
+    A column that a header lacks is null, one that the schema lacks is left out. A malformed line, and
+    one of a file without header, keeps its text in ``_corrupt_record``.
     """
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = (
-        spark.read.schema(full)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "meteo_*.csv")
-        .option("ignoreCorruptFiles", True)
-        .csv(root)
-    )
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no meteo_*.csv below {root}")
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+    corrupt = "_corrupt_record"
+    kinds = {f.name: f.dataType for f in schema.fields}
+    parsed = []
+    for layout in layouts:
+        names = header_names(layout)
+        known = [n if n in kinds and n not in names[:i] else None for i, n in enumerate(names)]
+        columns = [f"`{n}` {kinds[n].simpleString()}" if n else f"_unknown{i} string" for i, n in enumerate(known)]
+        ddl = ", ".join([*columns, f"{corrupt} string"])
+        row = F.from_csv("value", F.lit(ddl), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+        cells = [(row[n] if n in names else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()]
+        parsed.append(F.when(F.col("_header") == layout, F.struct(*cells, row[corrupt].alias(corrupt))))
+    lost = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in kinds.items()], F.col("value").alias(corrupt))
+    return lines.select(F.coalesce(*parsed, lost).alias("_cells"), "_file", "_block", "_row").select("_cells.*", "_file", "_block", "_row")
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line."""
+    return [n.strip().strip('"') for n in header.lstrip("\ufeff").split(",")]
+
+
+def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """All lines of the matching files below ``path`` with the columns that give their order; unreadable files are skipped."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(path)
+    return text.select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
-    )
+    )
+
+
+def _headers(lines: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """(file, header) of the files whose header names the column ``key``, and the test for such a line."""
+    names = F.transform(F.split("value", ","), lambda n: F.btrim(n, F.lit('" \ufeff')))
+    is_header = F.array_contains(names, key)
+    return lines.where(is_header).groupBy("_file").agg(F.min_by("value", F.struct("_block", "_row")).alias("_header")), is_header
+
+
+#: Different headers that one read takes.
+MAX_LAYOUTS = 200
+
+#: Names of monthly files: landed by a collector, or written by :func:`write_monthly`.
+MONTHLY_FILES = "{meteo_,part-}*.csv"
+
+
+def read_monthly(spark: SparkSession, root: str, schema: T.StructType = WEATHER_LANDED, key: str = "date") -> DataFrame:
+    """All monthly CSV files below ``root`` with the columns that give their row order.
+
+    Columns are found by the names in each file's own header, whatever their order; missing ones are
+    null. Unreadable files are skipped; a malformed row, and every row of a file without a header
+    that names ``key``, keeps its text in ``_corrupt_record`` (:func:`skipped_files` counts both).
+    Sorting by ``_file, _block, _row`` gives file-then-line order. No file with a header is an error.
+    """
+    lines = _lines(spark, root, MONTHLY_FILES)
+    headers, is_header = _headers(lines, key)
+    layouts = [r[0] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if not layouts:
+        raise FileNotFoundError(f"no monthly file with a header below {root}")
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers below {root}")
+    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
+    return _by_header(rows, sorted(layouts), schema)
+
+
+def skipped_files(spark: SparkSession, root: str, schema: T.StructType = WEATHER_LANDED, key: str = "date") -> DataFrame:
+    """``file, lines, has_header, unknown, missing`` of the files that :func:`read_monthly` cannot take whole.
+
+    ``unknown`` and ``missing`` are the columns that the file has beyond the schema and lacks of it.
+    """
+    lines = _lines(spark, root, MONTHLY_FILES)
+    headers, _ = _headers(lines, key)
+    names = F.transform(F.split("_header", ","), lambda n: F.btrim(n, F.lit('" \ufeff')))
+    wanted = F.array(*[F.lit(n) for n in schema.names])
+    counted = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("lines")).join(headers, "_file", "left")
+    report = counted.select(
+        F.col("_file").alias("file"), "lines", F.col("_header").isNotNull().alias("has_header"),
+        F.array_except(names, wanted).alias("unknown"), F.array_except(wanted, names).alias("missing"),
+    )
+    return report.where(~F.col("has_header") | (F.size("unknown") > 0) | (F.size("missing") > 0))
 
 
 MONTHLY_ORDER = ["_file", "_block", "_row"]
@@ -97,15 +162,16 @@ def monthly_manifest(rows: DataFrame, date: str = "date") -> DataFrame:
 def write_monthly(df: DataFrame, root: str, date: str = "date", save_json: bool = False) -> DataFrame:
     """Date-sorted CSV (and JSON) per calendar month below ``root``; returns the manifest.
 
-    The rows are range-partitioned by date, so a month with very many rows is written by
-    several tasks as several files.
+    The months of ``df`` are replaced, all others stay; the same call again gives the same files. The
+    input is evaluated once, into a written stage. The rows are range-partitioned by date, so a month
+    with very many rows is written by several tasks as several files.
     """
     rows = monthly_rows(df, date)
-    ordered = rows.repartitionByRange("year", "month", date).sortWithinPartitions("year", "month", date)
-    ordered.write.mode("overwrite").partitionBy("year", "month").csv(f"{root}/csv", header=True)
-    if save_json:
-        ordered.write.mode("overwrite").partitionBy("year", "month").json(f"{root}/json")
-    return monthly_manifest(rows, date)
+    ordered = stored(rows.repartitionByRange("year", "month", date).sortWithinPartitions("year", "month", date), "monthly")
+    for kind in ("csv", "json") if save_json else ("csv",):
+        months = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month")
+        months.format(kind).option("header", True).save(f"{root}/{kind}")
+    return monthly_manifest(ordered, date)
 
 
 def write_consolidated(df: DataFrame, path: str, run_date: str, date: str = "date") -> DataFrame:
@@ -118,13 +184,13 @@ def write_consolidated(df: DataFrame, path: str, run_date: str, date: str = "dat
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest consolidation run; only its partition is read.
 
-    The newest run is found in the file listing, without a job.
+    The newest run is an aggregate of the partition column, which reads no data column.
     """
     table = spark.read.parquet(path)
-    runs = [match.group(1) for f in table.inputFiles() if (match := re.search(r"/run_date=([^/]+)/", f))]
-    if not runs:
+    newest = table.agg(F.max(F.col("run_date").cast("string"))).first()[0] if "run_date" in table.columns else None
+    if newest is None:
         raise FileNotFoundError(f"no consolidated run below {path}")
-    return table.where(F.col("run_date").cast("string") == max(runs)).drop("run_date", "year")
+    return table.where(F.col("run_date").cast("string") == newest).drop("run_date", "year")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -139,9 +205,9 @@ def write_line_extracts(
     A name without a group is left out and does not stop the others.
     """
     known = [n for n in names if n in groups]
-    fan_out_lines(df, known, groups).write.mode("overwrite").partitionBy("line_group").csv(root, header=True)
-    written = df.sparkSession.read.csv(root, header=True)
-    return written.groupBy("line_group").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(fan_out_lines(df, known, groups), "extracts")
+    rows.write.mode("overwrite").partitionBy("line_group").csv(root, header=True)
+    return rows.groupBy("line_group").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corrupt_rows(landed: DataFrame) -> DataFrame:
@@ -164,9 +230,9 @@ def export_train_test(
 def write_predictions(scored: DataFrame, root: str, stem: str) -> DataFrame:
     """Scored rows as CSV below ``predictions_<stem>``; returns path and row count."""
     path = f"{root}/predictions_{stem}"
-    write_csv(scored, path)
-    written = scored.sparkSession.read.csv(path, header=True)
-    return written.agg(F.lit(path).alias("output"), F.count(F.lit(1)).alias("n_predictions"))
+    seen = Observation("predictions")
+    write_csv(scored.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return scored.sparkSession.createDataFrame([(path, seen.get["n"])], "output string, n_predictions bigint")
 
 
 def preprocessing_metadata(processed: DataFrame, numeric: DataFrame, reduced: DataFrame, source: str, target: str = "annulation") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,7 +34,8 @@ def score_stream(model: PipelineModel, requests: DataFrame, out: str, checkpoint
 
 
 def _merge_batch(out: str, date: str, order: list[str]):
-    """foreachBatch body: adds the first row of each date that the table lacks.
+    """foreachBatch body: adds the first row of each date that the table lacks. Dates are parsed first, so two texts of
+    one date are one date; a row without a readable date is left out.
 
     Only the months of the batch are read back (their list is bounded by the calendar). A
     replayed batch finds its dates present and adds nothing, so the merge is idempotent.
@@ -41,19 +43,21 @@ def _merge_batch(out: str, date: str, order: list[str]):
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = keep_first(batch, [date], order).drop(*order)
-        rows = rows.withColumn(date, F.col(date).try_cast("date")).where(F.col(date).isNotNull())
-        rows = rows.withColumns({"year": F.year(date), "month": F.month(date)})
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.persist()
-            month_no = F.col("year") * 12 + F.col("month")
-            months = [r[0] for r in rows.select(month_no).distinct().collect()]
-            known = spark.read.parquet(out).where(month_no.isin(months)).select("year", "month", date)
-            rows.join(known, ["year", "month", date], "left_anti").write.mode("append").partitionBy("year", "month").parquet(out)
-            rows.unpersist()
-        else:
-            rows.write.partitionBy("year", "month").parquet(out)
+        dated = batch.withColumn(date, F.col(date).cast("string").try_cast("date")).where(F.col(date).isNotNull())
+        rows = keep_first(dated, [date], order).drop(*order).withColumns({"year": F.year(date), "month": F.month(date)})
+        try:
+            table = spark.read.parquet(out)
+        except AnalysisException as none:  # nothing is written yet
+            if none.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            rows.write.mode("append").partitionBy("year", "month").parquet(out)
+            return
+        rows = rows.persist()
+        month_no = F.col("year") * 12 + F.col("month")
+        months = [r[0] for r in rows.select(month_no).distinct().collect()]
+        known = table.where(month_no.isin(months)).select("year", "month", date)
+        rows.join(known, ["year", "month", date], "left_anti").write.mode("append").partitionBy("year", "month").parquet(out)
+        rows.unpersist()
 
     return merge
 
