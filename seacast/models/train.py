@@ -21,11 +21,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seacast.functions.direction import lookup, weather_ratios
 from seacast.models.metrics import binary_metrics, class_report, confusion_matrix, regression_metrics
 from seacast.operators.encode import fit_vocabulary
+from seacast.operators.quantiles import clean_double, order_statistics
 from seacast.operators.split import balanced_weights, split_stratified, stratified_folds
 from seacast.schemas import MEASURES
 from seacast.session import stored
@@ -257,26 +258,40 @@ def evaluate_regression(train: DataFrame, test: DataFrame, features: Sequence[st
 def knn_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, block_rows: int = 20_000) -> DataFrame:
     """Exact majority vote of the k nearest training rows (Euclidean).
 
-    Both sides are cut into hash blocks of bounded size; each block pair returns only the k
-    best training rows per test row, and these are merged per test row. Equal distances go
-    to the smaller training key, equal votes to the smaller label.
+    Training rows are cut into cells of about ``block_rows`` rows along the first feature, at exact
+    quantiles. A test row first meets its own cell; the distance to its k-th neighbour there bounds
+    how far, on that feature alone, any nearer row can be, so it then meets only the other cells
+    within that reach. A cell or a group of test rows that is larger than a block (many equal values)
+    is split by key. Equal distances go to the smaller training key, equal votes to the smaller label.
+    A null or NaN feature has no distance and is an error: impute first.
     """
-    n_train_blocks = max(1, math.ceil(train.count() / block_rows))
-    n_test_blocks = max(1, math.ceil(test.count() / block_rows))
-
-    def block(n):
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-
-    cols = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
-    left = test.select(
-        F.col(key).alias("key"), *cols, block(n_test_blocks).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_train_blocks - 1))).alias("a"),
-    )
-    right = train.select(
-        F.col(key).alias("train_key"), F.col(label).cast("int").alias("label"), *cols, block(n_train_blocks).alias("a"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_test_blocks - 1))).alias("b"),
-    )
     names = [f"f{i}" for i in range(len(features))]
+    values = [clean_double(f).alias(n) for f, n in zip(features, names)]
+    holes = F.count_if(F.array_contains(F.transform(F.array(*names), lambda v: v.isNull()), True))
+    trains = train.select(F.col(key).alias("train_key"), F.col(label).cast("int").alias("label"), *values)
+    tests = test.select(F.col(key).alias("key"), *values)
+    (n, lost), (_, open_) = (d.agg(F.count(F.lit(1)), holes).first() for d in (trains, tests))
+    if lost or open_:
+        raise ValueError(f"{lost} training and {open_} test rows lack a feature")
+    if not n:
+        raise ValueError("no training row")
+    wanted = {n * i // -(-n // block_rows) for i in range(1, -(-n // block_rows))}
+    found = order_statistics(trains, {"f": F.col("f0")}, {"f": wanted}, {"f": n})
+    cuts = sorted({place.value for place in found.values()})
+
+    def cell(value: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= value))
+
+    def blocks(df: DataFrame) -> Column:
+        """Blocks of the row's cell ``c``; there are as many cells as blocks of training rows."""
+        sizes = {r[0]: r[1] for r in df.groupBy("c").count().collect()}
+        return F.array(*[F.lit(-(-sizes.get(c, 1) // block_rows)) for c in range(len(cuts) + 1)])[F.col("c")]
+
+    def part(name: str, of: Column) -> Column:
+        return F.pmod(F.xxhash64(name), of).cast("int")
+
+    in_cells = trains.withColumn("c", cell(F.col("f0")))
+    train_blocks = blocks(in_cells)
 
     def nearest(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
         trains = trains.sort_values("train_key")
@@ -312,11 +327,27 @@ def knn_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label:
         return pd.concat(found)
 
     kind, train_kind = test.schema[key].dataType.simpleString(), train.schema[key].dataType.simpleString()
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
-        nearest, f"key {kind}, train_key {train_kind}, label int, dist double"
-    )
-    nearest_first = Window.partitionBy("key").orderBy("dist", "train_key")
-    voters = pairs.withColumn("_place", F.row_number().over(nearest_first)).where(F.col("_place") <= k)
+
+    def met(rows: DataFrame) -> DataFrame:
+        """The k best training rows of each test row from each block of the cells ``c`` that it is given."""
+        test_blocks = blocks(rows)
+        left = rows.withColumn("b", part("key", test_blocks)).withColumn("a", F.explode(F.sequence(F.lit(0), train_blocks - 1)))
+        right = in_cells.withColumn("a", part("train_key", train_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), test_blocks - 1)))
+        return left.groupBy("c", "a", "b").cogroup(right.groupBy("c", "a", "b")).applyInPandas(
+            nearest, f"key {kind}, train_key {train_kind}, label int, dist double"
+        )
+
+    def best(pairs: DataFrame) -> DataFrame:
+        nearest_first = Window.partitionBy("key").orderBy("dist", "train_key")
+        return pairs.withColumn("_place", F.row_number().over(nearest_first)).where(F.col("_place") <= k).drop("_place")
+
+    own = stored(best(met(tests.withColumn("c", cell(F.col("f0"))))), "own-cell")
+    reach = own.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("dist")) * (1 + 1e-9)).alias("r"))
+    placed = tests.join(reach, "key", "left").withColumn("own", cell(F.col("f0")))
+    low = F.when(F.col("r").isNull(), 0).otherwise(cell(F.col("f0") - F.col("r")))
+    high = F.when(F.col("r").isNull(), len(cuts)).otherwise(cell(F.col("f0") + F.col("r")))
+    others = placed.withColumn("c", F.explode(F.sequence(low, high))).where("c <> own").drop("own", "r")
+    voters = best(own.unionByName(met(others)) if cuts else own)
     votes = voters.groupBy("key", "label").agg(F.count(F.lit(1)).alias("votes"))
     return (
         votes.groupBy("key")

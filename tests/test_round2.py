@@ -186,3 +186,21 @@ def test_empty_sinks(spark):
     none = spark.createDataFrame([], "ligne string, x int")
     assert tables.write_predictions(none, scratch_path(spark, "sink"), "a").first()["n_predictions"] == 0
     assert tables.write_line_extracts(none, scratch_path(spark, "lines")).count() == 0
+
+
+def test_knn_refuses_missing_features_and_meets_few_cells(spark):
+    from seacast.models import train
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0.0, rng.gauss(0, 3)]), rng.gauss(0, 1), rng.randrange(3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    old, new = df.where("id < 300"), df.where("id >= 300")
+    votes = {}
+    for i, a, b, _ in rows[300:]:
+        near = sorted(((a - c) ** 2 + (b - d) ** 2, j, y) for j, c, d, y in rows[:300])[:5]
+        count = {y: sum(1 for x in near if x[2] == y) for _, _, y in near}
+        votes[i] = min(count, key=lambda y: (-count[y], y))
+    for block in (7, 60, 1000):
+        assert {r.id: r.prediction for r in train.knn_vote(old, new, ["a", "b"], "y", "id", 5, block).collect()} == votes
+    with pytest.raises(ValueError, match="lack a feature"):
+        train.knn_vote(old, new.withColumn("a", F.when(F.col("id") > 350, F.col("a"))), ["a", "b"], "y", "id")
