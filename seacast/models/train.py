@@ -55,7 +55,7 @@ def forest(label: str, trees: int = 100, depth: int | None = 10, min_split: int
 
 
 def classifiers(label: str, seed: int = 42) -> dict[str, Any]:
-    """The distributed classifiers of the model comparison (kNN is :func:`knn_vote`)."""
+    """The trained classifiers of the model comparison (:func:`compare_models` adds :func:`knn_vote`)."""
     return {
         "logistic": LogisticRegression(labelCol=label, maxIter=100),
         "forest": forest(label, seed=seed),
@@ -126,14 +126,17 @@ def logistic_baseline(df: DataFrame, features: Sequence[str], label: str, keys:
 def compare_models(
     df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], names: Sequence[str] | None = None
 ) -> DataFrame:
-    """Test metrics of each classifier, one row per model, best accuracy first."""
+    """Test metrics of each classifier and of the nearest-neighbour vote (``knn``), one row per model, best accuracy first."""
     parts = split_stratified(stored(df.select(*keys, *features, label), "training"), label, keys)
     train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
     rows = None
-    for name, estimator in classifiers(label).items():
+    for name, estimator in [*classifiers(label).items(), ("knn", None)]:
         if names is not None and name not in names:
             continue
-        scored = fit_model(train, features, estimator).transform(test)
+        if estimator is None:
+            scored = knn_vote(train, test, features, label, keys[0]).join(test.select(keys[0], label), keys[0])
+        else:
+            scored = fit_model(train, features, estimator).transform(test)
         row = _one_row(binary_metrics(scored, label, "prediction")).withColumn("model", F.lit(name))
         rows = row if rows is None else rows.unionByName(row)
     return rows.orderBy(F.desc("accuracy"), "model")

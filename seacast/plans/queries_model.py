@@ -185,7 +185,7 @@ def logistic_before_after(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     days = lifecycles.weather_features(training_days(spark, sf))
-    return train.compare_models(days, train.WEATHER_FEATURES, "annulation_binary", ["jour"], ["logistic", "tree", "svm"])
+    return train.compare_models(days, train.WEATHER_FEATURES, "annulation_binary", ["jour"])
 
 
 @query()
