@@ -191,34 +191,45 @@ def components(edges: DataFrame) -> DataFrame:
         known = state
 
 
-def candidates(nodes: DataFrame, roots: DataFrame | None, lo: int, hi: int, turn: int, similarity: float) -> DataFrame:
+def buckets(nodes: DataFrame, sketches: int) -> DataFrame:
+    """(r, key, text_id, n) of the texts that share a sketch with another text."""
+    keyed = F.posexplode(F.array(*[F.col(f"s{i}") for i in range(sketches)])).alias("r", "key")
+    rows = nodes.where("n_shingles > 0").select("text_id", F.col("n_shingles").alias("n"), keyed)
+    more = rows.groupBy("r", "key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
+    return stored(rows.join(more, ["r", "key"]), "buckets")
+
+
+def sequences(shared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(text_id, shingles) of the texts in buckets; one document of each is read again."""
+    wanted = nodes.join(shared.select("text_id").distinct(), "text_id", "left_semi")
+    where = wanted.select("text_id", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    texts = docs.join(where, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("tag") == F.col("_tag"))).select("text_id", "text").dropDuplicates(["text_id"])
+    return stored(texts.mapInArrow(Sequences(size), "text_id string, shingles binary"), "sequences")
+
+
+def candidates(shared: DataFrame, roots: DataFrame | None, lo: int, hi: int, turn: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of texts that share one of the sketches lo..hi - 1 and are not linked yet.
 
     In each bucket every text meets the bucket's first text, found by a map-side minimum, and the next
     one in the order of the turn; a bucket of any size gives about two pairs a text.
     """
-    labelled = nodes.withColumn("comp", F.col("text_id")) if roots is None else (
-        nodes.join(roots, nodes.text_id == roots.node, "left").withColumn("comp", F.coalesce("root", "text_id")).drop("node", "root")
-    )
-    sketches = F.posexplode(F.array(*[F.col(f"s{i}") for i in range(lo, hi)])).alias("r", "key")
-    rows = labelled.where("n_shingles > 0").select("text_id", F.col("n_shingles").alias("n"), "comp", sketches)
-    rows = rows.withColumn("turn", F.xxhash64("text_id", "r", F.lit(turn)))
-    first = rows.groupBy("r", "key").agg(F.min(F.struct("turn", "text_id", "n", "comp")).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("r", "key", "f")
+    rows = shared.where((F.col("r") >= lo) & (F.col("r") < hi)).withColumn("turn", F.xxhash64("text_id", "r", F.lit(turn)))
+    if roots is None:
+        rows = rows.withColumn("comp", F.col("text_id"))
+    else:
+        rows = rows.join(roots, rows.text_id == roots.node, "left").withColumn("comp", F.coalesce("root", "text_id")).drop("node", "root")
+    first = rows.groupBy("r", "key").agg(F.min(F.struct("turn", "text_id", "n", "comp")).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     # Buckets of one component have nothing left to link and go out here.
-    shared = stored(rows.join(first, ["r", "key"]), "buckets")
-    star = shared.select(F.col("f.text_id").alias("a"), F.col("text_id").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.comp").alias("ca"), F.col("comp").alias("cb"))
-    ordered = shared.select("r", "key", "turn", "text_id", "n", "comp").repartitionByRange("r", "key", "turn").sortWithinPartitions("r", "key", "turn", "text_id")
+    open_ = rows.join(first.where("x <> y").select("r", "key", "f"), ["r", "key"])
+    star = open_.select(F.col("f.text_id").alias("a"), F.col("text_id").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.comp").alias("ca"), F.col("comp").alias("cb"))
+    ordered = open_.select("r", "key", "turn", "text_id", "n", "comp").repartitionByRange("r", "key", "turn").sortWithinPartitions("r", "key", "turn", "text_id")
     ring = ordered.mapInArrow(neighbours, "a string, b string, na bigint, nb bigint, ca string, cb string")
     pairs = star.unionByName(ring).where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def judged(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The similar ones of the pairs; texts are read again for those in pairs only."""
-    wanted = pairs.select(F.col("a").alias("text_id")).union(pairs.select("b")).distinct()
-    where = nodes.join(wanted, "text_id", "left_semi").select("text_id", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    texts = docs.join(where, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("tag") == F.col("_tag"))).select("text_id", "text").dropDuplicates(["text_id"])
-    found = stored(texts.mapInArrow(Sequences(size), "text_id string, shingles binary"), "sequences")
+def judged(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The similar ones of the pairs."""
     left, right = (found.select(F.col("text_id").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "left"), ("b", "right")))
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(Judge(similarity), "a string, b string"), "links")
 
@@ -245,11 +256,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
         F.min("n_shingles").alias("n_shingles"), *[F.min(s).alias(s) for s in sketches],
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n_docs"),
     ).select("*", "first.doc_id", "first.tag").drop("first"), "nodes")
+    shared = buckets(nodes, SKETCHES)
+    found = sequences(shared, rows, nodes, size)
     links, roots, turn = None, None, 0
     while True:
         lo, hi = ROUNDS[turn] if turn < len(ROUNDS) else (0, SKETCHES)
-        pairs = stored(candidates(nodes, roots, lo, hi, turn, similarity), "pairs")
-        fresh = None if pairs.isEmpty() else judged(pairs, rows, nodes, size, similarity)
+        pairs = stored(candidates(shared, roots, lo, hi, turn, similarity), "pairs")
+        fresh = None if pairs.isEmpty() else judged(pairs, found, similarity)
         grown = fresh is not None and not fresh.isEmpty()
         if grown:
             links = fresh if links is None else links.unionByName(fresh)
@@ -262,10 +275,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     )
     classes = comp.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n_docs").alias("class_size"))
     members = stored(comp.select("text_id", "root").join(classes, "root"), "members")
-    found = profiles.select("doc_id", "tag", "text_id").join(members, "text_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    labelled = profiles.select("doc_id", "tag", "text_id").join(members, "text_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     meet = F.when(F.col("kept"), F.lit(0)).otherwise(F.xxhash64("doc_id"))
     one = Window.partitionBy("root", meet).orderBy("tag", "text_id")
-    return found.withColumn("kept", F.col("kept") & (F.row_number().over(one) == 1)).select("doc_id", "tag", "text_id", "class_id", "class_size", "kept")
+    return labelled.withColumn("kept", F.col("kept") & (F.row_number().over(one) == 1)).select("doc_id", "tag", "text_id", "class_id", "class_size", "kept")
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
