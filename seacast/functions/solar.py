@@ -17,9 +17,6 @@ LONGITUDE = 5.3698
 TIME_ZONE = "Europe/Paris"
 ZENITH = 90.833
 
-# A calendar dimension beyond this many days is joined without a broadcast hint.
-BROADCAST_DAYS = 100_000
-
 
 def _sin(deg: Column) -> Column:
     return F.sin(F.radians(deg))
@@ -113,7 +110,7 @@ def day_night_minutes(
     The sun is computed once per day of the table's date span and joined, not once per row.
     """
     local_day = F.col(ts).cast("date")
-    days, count = calendar(df, local_day)
+    days, _ = calendar(df, local_day)
     sun = solar_day(days, "jour", **place).withColumnRenamed("jour", "_day")
     local = F.col(ts).cast("timestamp")
     summer = F.to_utc_timestamp(local, time_zone)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import random
 from collections.abc import Mapping, Sequence
 from typing import Any
