@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -49,9 +51,29 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_given: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a written table."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for a written table; :func:`drop_stages` deletes it."""
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def drop_stages() -> int:
+    """Deletes what this process wrote to scratch paths so far; returns how many paths held something.
+
+    For the end of a job: frames that still read those tables cannot be used afterwards.
+    """
+    dropped = 0
+    while _given:
+        path = _given.pop()
+        fs, where = pyarrow.fs.FileSystem.from_uri(path if ":" in path else os.path.abspath(path))
+        if fs.get_file_info(where).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(where)
+            dropped += 1
+    return dropped
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -204,3 +204,15 @@ def test_knn_refuses_missing_features_and_meets_few_cells(spark):
         assert {r.id: r.prediction for r in train.knn_vote(old, new, ["a", "b"], "y", "id", 5, block).collect()} == votes
     with pytest.raises(ValueError, match="lack a feature"):
         train.knn_vote(old, new.withColumn("a", F.when(F.col("id") > 350, F.col("a"))), ["a", "b"], "y", "id")
+
+
+def test_stages_can_be_dropped(spark):
+    import os
+
+    from seacast import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept, session._given[:] = session._given[:-1], session._given[-1:]
+    assert session.drop_stages() == 1 and not os.path.exists(path)
+    session._given[:] = kept
