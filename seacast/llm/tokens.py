@@ -13,6 +13,10 @@ from seacast.llm.blocks import ragged
 #: White space outside ASCII, and the mark between pieces: texts with one of these are encoded whole.
 _WHOLE = "[\x00\u0085\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _EDGE, _CUT = "([^ \t\n\v\f\r])([ \t\n\v\f\r])", "\\1\x00\\2"
+#: Letters, in all versions of Unicode, and signs that never belong to the same pre-token as a letter before them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGN = "([" + _LETTER + "])([.,!?;:|#*$%&<>()])"
+_SPECIAL = "<[|](start|end)oftext[|]>"
 
 
 class Encoder:
@@ -20,7 +24,8 @@ class Encoder:
 
     No pre-token of the vocabularies used here spans the place between a character and white space
     after it, so the ids of a text are those of its pieces one after the other. ``spaces=False`` is for
-    vocabularies that drop white space: their pieces are the words.
+    vocabularies that drop white space and case and mark the ends of words with ``</w>``: their pieces
+    are the words, in ASCII lower case, without the signs that follow a letter.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -41,13 +46,15 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
             self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+            self.ends_word = np.zeros(len(self.bytes), bool)
+            self.ends_word[list(vocabulary.values())] = [t.endswith("</w>") for t in vocabulary]
         return self.tokenizer
 
     def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of distinct pieces. Where white space stays, a piece that begins with it may follow another in one
         string, and tokens are told apart by the bytes they stand for."""
         if not self.spaces:
-            return self.encode(pieces.to_pylist())
+            return self.encode_words(pieces)
         alone = pc.match_substring_regex(pieces, "^[^ \t\n\v\f\r]|[ \t\n\v\f\r]$|^$").to_numpy(zero_copy_only=False)
         order = np.argsort(~alone, kind="stable")
         sizes = pc.binary_length(pieces).to_numpy()[order]
@@ -58,15 +65,28 @@ class Encoder:
         starts, back = np.cumsum(counts) - counts, np.argsort(order)
         return ids[ragged(starts[back], counts[back])], np.cumsum(counts[back])
 
+    def encode_words(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of distinct words. Words of letters alone have one end of word each, so many go into one string."""
+        letters = pc.match_substring_regex(pieces, f"^[{_LETTER}]+$").to_numpy(zero_copy_only=False)
+        order = np.argsort(letters, kind="stable")
+        texts, n = pieces.take(pa.array(order)).to_pylist(), int((~letters).sum())
+        ids, ends = self.encode(texts[:n])
+        more, _ = self.encode([" ".join(texts[i : i + 1000]) for i in range(n, len(texts), 1000)])
+        counts = np.concatenate([np.diff(ends, prepend=0), np.diff(np.flatnonzero(self.ends_word[more]) + 1, prepend=0)]).astype(np.int64)
+        if len(counts) != len(pieces):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        ids, starts, back = np.concatenate([ids, more]), np.cumsum(counts) - counts, np.argsort(order)
+        return ids[ragged(starts[back], counts[back])], np.cumsum(counts[back])
+
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of each text and then ``end_id``; a null text has only that."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, _WHOLE)
+        whole = pc.match_substring_regex(texts, _WHOLE if self.spaces else f"{_WHOLE}|{_SPECIAL}")
         plain = pc.if_else(whole, "", texts)
         if self.spaces:
             lists = pc.split_pattern(pc.replace_substring_regex(plain, _EDGE, _CUT), "\x00")
         else:
-            lists = pc.ascii_split_whitespace(plain)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(plain, _SIGN, "\\1 \\2")))
         coded = lists.flatten().dictionary_encode()
         ids, ends = self.encode_pieces(coded.dictionary)
         sizes = np.diff(ends, prepend=0)

@@ -173,7 +173,7 @@ def tokenizer():
 
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_the_library(tokenizer, rows, name, spaces):
-    odd = ["  a  b   c \n\n d\t\te ", "x y z    q", "don't we'll  'S\n'ss", "́ é ÉCOLE ΣΑΣ", "a\x00b  c", "\n", "1234 56,78 --  \r\n\r\nx \x0b", "trail  "]
+    odd = ["The, cat. sat!! ON: mat|x ABC.DEF É, é.ß, naïve;ñ", "it.s a.'s b,'t x.\u0301y E\u0301, ÉCOLE. Ω, İ.", "  a  b   c \n\n d\t\te ", "x y z    q", "don't we'll  'S\n'ss", "́ é ÉCOLE ΣΑΣ", "a\x00b  c", "\n", "1234 56,78 --  \r\n\r\nx \x0b", "trail  "]
     texts = [t for _, t in rows] + odd
     ids, offsets = Encoder(public_tokenizers.path(name), spaces)(pa.array(texts, pa.string()), 7)
     for i, text in enumerate(texts):
