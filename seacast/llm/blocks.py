@@ -36,7 +36,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text")
 def pack(*parts: bytes | np.ndarray) -> bytes:
     """The parts, in order, as one compressed value."""
     raw = [p.tobytes() if isinstance(p, np.ndarray) else bytes(p) for p in parts]
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=5).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
 
 
 def unpack(value: bytes) -> list[memoryview]:
@@ -49,7 +49,9 @@ def unpack(value: bytes) -> list[memoryview]:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - (ends - lengths)).astype(kind), lengths)
 
 
 def covered(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from seacast.llm.blocks import NO_ID, POWERS, covered, mixed, pack, ragged, slid
 #: Windows of one super-k-mer at most; a longer run goes on in the next one.
 RUN = 64
 #: Bytes of text that a task holds at once, and buckets that a task sorts one after the other.
-SLICE, SUB = 8 << 20, 4
+SLICE, SUB = 4 << 20, 2
 SPANS = "doc_id bigint, tag int, start int, size int"
 
 
