@@ -13,9 +13,9 @@ from seacast.llm.blocks import POWERS, covered, mixed, pack, ragged, sliding_min
 from seacast.llm.superkmer import SPANS, joined, spans, tagged
 
 #: Bytes of an anchor; starts of one segment at most; bytes of text held at once; buckets that a task sorts one after the other.
-GRAM, RUN, SLICE, SUB = 32, 1024, 4 << 20, 4
+GRAM, RUN, SLICE, SUB = 24, 1024, 2 << 20, 2
 #: Bytes of distinct segments that one suffix array takes, unless one anchor has more.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: A random value for each byte.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -271,7 +271,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 200, buckets: int | None = None)
     """(doc_id, n_bytes, n_removed, n_spans, kept_bytes): texts without the bytes covered by a ``depth``-byte string that
     also starts anywhere else, in the same text or another; overlapping places count, texts never join.
 
-    Equal strings have the same least anchor (hash of 32 bytes), so the windows of one anchor meet in one
+    Equal strings have the same least anchor (hash of 24 bytes), so the windows of one anchor meet in one
     bucket, packed as segments of consecutive windows. Anchors that occur once need no sorting. Over the
     distinct segments of the others a suffix array is built in two stages, and neighbours with ``depth``
     bytes in common are repeats; equal segments count by their number. A null text is empty; rows of
