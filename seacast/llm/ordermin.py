@@ -18,8 +18,8 @@ from seacast.session import stored
 
 #: Words of a shingle, sketches of a text, least similarity.
 SHINGLE, SKETCHES, SIMILARITY = 5, 14, 0.8
-#: Sketches that each round adds; later rounds only see pairs that no earlier link joins.
-ROUNDS = ((0, 4), (4, 9), (9, 14))
+#: Sketches of the first round, neighbours that a text of a bucket meets in the second, texts of a bucket that one task takes.
+FIRST, REACH, WHOLE = 5, 2, 1000
 SLICE = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -156,47 +156,67 @@ class Judge:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows next to each other in a sorted partition that share a bucket."""
-    last = None
-    for batch in batches:
-        rows = pa.Table.from_batches([*([last] if last is not None else []), batch])
-        here, there = rows.slice(0, len(rows) - 1), rows.slice(1)
-        same = pc.and_(pc.equal(here["r"], there["r"]), pc.equal(here["key"], there["key"]))
-        pairs = pa.table({"a": here["text_id"], "b": there["text_id"], "na": here["n"], "nb": there["n"], "ca": here["comp"], "cb": there["comp"]}).filter(same)
-        yield from pairs.combine_chunks().to_batches()
-        last = batch.slice(batch.num_rows - 1)
+class Neighbours:
+    """Pairs of rows at most ``reach`` apart in a sorted partition that share a bucket, are not linked and near in size."""
+
+    def __init__(self, reach: int, similarity: float):
+        self.reach, self.similarity = reach, similarity
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            old = len(rows) - batch.num_rows
+            for step in range(1, self.reach + 1):
+                begin = max(old - step, 0)
+                here, there = rows.slice(begin, max(len(rows) - step - begin, 0)), rows.slice(begin + step)
+                near = pc.and_(pc.equal(here["r"], there["r"]), pc.and_(pc.equal(here["key"], there["key"]), pc.not_equal(here["comp"], there["comp"])))
+                least, most = pc.min_element_wise(here["n"], there["n"]), pc.max_element_wise(here["n"], there["n"])
+                near = pc.and_(near, pc.greater_equal(pc.cast(least, pa.float64()), pc.multiply(pc.cast(most, pa.float64()), self.similarity)))
+                yield from pa.table({"a": here["text_id"], "b": there["text_id"]}).filter(near).combine_chunks().to_batches()
+            held = rows.slice(max(len(rows) - self.reach, 0)).combine_chunks()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) is linked to, by alternating stars.
 
-    Each step hangs a node's neighbours below the least of them; steps are written tables, so nothing
-    gathers at one node and a lost executor re-reads files. Ends when a step changes nothing.
+    Each step hangs a node's larger neighbours, then its smaller ones, below the least of them; a step is
+    a written table, so nothing gathers at one node and a lost executor re-reads files. Ends when each node hangs directly below a root.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    known = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v")))
         edges = stored(hung.where("u <> v").distinct(), "small")
-        state = tuple(edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
-        if state == known:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        known = state
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) with more links: these join the roots known so far, and what hangs below follows."""
+    if roots is None:
+        return components(links)
+    of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"}
+    between = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = components(between)
+    step = more.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    moved = roots.join(step, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return stored(moved.unionByName(more), "roots")
 
 
 def buckets(nodes: DataFrame, sketches: int) -> DataFrame:
-    """(r, key, text_id, n) of the texts that share a sketch with another text."""
-    keyed = F.posexplode(F.array(*[F.col(f"s{i}") for i in range(sketches)])).alias("r", "key")
-    rows = nodes.where("n_shingles > 0").select("text_id", F.col("n_shingles").alias("n"), keyed)
-    more = rows.groupBy("r", "key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
-    return stored(rows.join(more, ["r", "key"]), "buckets")
+    """(r, key, text_id, n, after, texts) of the texts that share sketch ``r`` with others: ``after`` has the text's other
+    sketches in turn, from r + 1 on, ``texts`` the number of texts in the bucket."""
+    every = F.array(*[F.col(f"s{i}") for i in range(sketches)])
+    rows = nodes.where("n_shingles > 0").select("text_id", F.col("n_shingles").alias("n"), every.alias("all"), F.posexplode(every).alias("r", "key"))
+    more = rows.groupBy("r", "key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    after = F.concat(F.slice("all", F.col("r") + 2, sketches), F.slice("all", F.lit(1), F.col("r")))
+    return stored(rows.join(more, ["r", "key"]).select("r", "key", "text_id", "n", after.alias("after"), "texts"), "buckets")
 
 
 def sequences(shared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -207,13 +227,19 @@ def sequences(shared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -
     return stored(texts.mapInArrow(Sequences(size), "text_id string, shingles binary"), "sequences")
 
 
-def candidates(shared: DataFrame, roots: DataFrame | None, lo: int, hi: int, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that share one of the sketches lo..hi - 1 and are not linked yet.
+def candidates(shared: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share a sketch and are not linked yet.
 
-    In each bucket every text meets the bucket's first text, found by a map-side minimum, and the next
-    one in the order of the turn; a bucket of any size gives about two pairs a text.
+    The first round takes few sketches; in each bucket every text meets the bucket's first text, found
+    by a map-side minimum, and the next one in a random order, which settles most. Later rounds order a
+    bucket by the texts' other sketches, starting one further each time, so that the most similar texts
+    are neighbours: the second joins ``REACH`` neighbours (all pairs of a bucket of up to ``REACH + 1``
+    texts), the others the next text of larger buckets. A bucket of any size gives a bounded number of
+    pairs a text, and one of more than ``WHOLE`` texts is dealt over several tasks.
     """
-    rows = shared.where((F.col("r") >= lo) & (F.col("r") < hi)).withColumn("turn", F.xxhash64("text_id", "r", F.lit(turn)))
+    wanted = F.col("r") < FIRST if turn == 0 else F.lit(True) if turn == 1 else F.col("texts") > REACH + 1
+    place = F.array(F.xxhash64("text_id", "r")) if turn == 0 else F.concat(F.slice("after", turn, 3), F.array(F.xxhash64("text_id", "r")))
+    rows = shared.where(wanted).select("r", "key", "text_id", "n", "texts", place.alias("turn"))
     if roots is None:
         rows = rows.withColumn("comp", F.col("text_id"))
     else:
@@ -221,10 +247,12 @@ def candidates(shared: DataFrame, roots: DataFrame | None, lo: int, hi: int, tur
     first = rows.groupBy("r", "key").agg(F.min(F.struct("turn", "text_id", "n", "comp")).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     # Buckets of one component have nothing left to link and go out here.
     open_ = rows.join(first.where("x <> y").select("r", "key", "f"), ["r", "key"])
-    star = open_.select(F.col("f.text_id").alias("a"), F.col("text_id").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.comp").alias("ca"), F.col("comp").alias("cb"))
-    ordered = open_.select("r", "key", "turn", "text_id", "n", "comp").repartitionByRange("r", "key", "turn").sortWithinPartitions("r", "key", "turn", "text_id")
-    ring = ordered.mapInArrow(neighbours, "a string, b string, na bigint, nb bigint, ca string, cb string")
-    pairs = star.unionByName(ring).where((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+    part = F.when(F.col("texts") > WHOLE, F.col("turn")).otherwise(F.array().cast("array<bigint>")).alias("part")
+    ordered = open_.select("r", "key", part, "turn", "text_id", "n", "comp").repartitionByRange("r", "key", "part").sortWithinPartitions("r", "key", "turn", "text_id")
+    pairs = ordered.select("r", "key", "text_id", "n", "comp").mapInArrow(Neighbours(REACH if turn == 1 else 1, similarity), "a string, b string")
+    if turn == 0:
+        near = F.least("n", "f.n") >= similarity * F.greatest("n", "f.n")
+        pairs = pairs.unionByName(open_.where((F.col("comp") != F.col("f.comp")) & near).select(F.col("f.text_id").alias("a"), F.col("text_id").alias("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -241,8 +269,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     ``size``-word shingles has common / (all - common) of ``similarity`` or more. Equal texts are one
     node. Each sketch of a text is the pair of its two least shingles (repeats told apart by their
     number) in text order; texts that share a sketch are candidates. A pair at the threshold shares a
-    sketch with probability 0.64 or more, so it has none of 14 in common once in a million. Rounds over
-    groups of sketches judge candidates until a last round over all of them, in a new order, adds no link.
+    sketch with probability 0.64 or more, so it has none of 14 in common once in a million. Buckets
+    of up to ``REACH + 1`` texts have all their pairs judged, unless a link already joins the two; in
+    larger ones rounds in new orders go on until one adds no link.
 
     class_id is the least doc_id of the class; the row with it is kept (of several, one). Null and empty
     texts are equal to each other; texts of fewer than ``size`` words are similar only to equal ones. A
@@ -258,18 +287,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     ).select("*", "first.doc_id", "first.tag").drop("first"), "nodes")
     shared = buckets(nodes, SKETCHES)
     found = sequences(shared, rows, nodes, size)
-    links, roots, turn = None, None, 0
-    while True:
-        lo, hi = ROUNDS[turn] if turn < len(ROUNDS) else (0, SKETCHES)
-        pairs = stored(candidates(shared, roots, lo, hi, turn, similarity), "pairs")
-        fresh = None if pairs.isEmpty() else judged(pairs, found, similarity)
-        grown = fresh is not None and not fresh.isEmpty()
-        if grown:
-            links = fresh if links is None else links.unionByName(fresh)
-            roots = components(links)
+    roots, turn, grown, tried = None, 0, True, None
+    while turn < 2 or (grown and turn < SKETCHES):
+        pairs = candidates(shared, roots, turn, similarity)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = None if pairs.isEmpty() else judged(pairs, found, similarity)
+        grown = links is not None and not links.isEmpty()
+        roots = joined_roots(roots, links) if grown else roots
         turn += 1
-        if turn > len(ROUNDS) and not grown:
-            break
     comp = nodes.select("text_id", F.col("text_id").alias("root"), "doc_id", "n_docs") if roots is None else (
         nodes.join(roots, nodes.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"), "doc_id", "n_docs")
     )
