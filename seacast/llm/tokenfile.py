@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -98,7 +98,7 @@ class TokenFile:
 
 def write_file(folder: str, name: str, data: bytes) -> None:
     """Writes under another name and moves, so that a file is there whole or not at all; a second attempt writes the same."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, root = FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     attempt = f"{root}/_{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(attempt) as out:

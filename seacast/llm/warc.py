@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
+from pyarrow.fs import FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -48,7 +48,7 @@ class Writer:
         self.folder, self.date = folder, date
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs, root = FileSystem.from_uri(self.folder)
         fs.create_dir(root, recursive=True)
         task, out, number, at, seq = TaskContext.get(), None, 0, 0, 0
         try:
@@ -90,7 +90,7 @@ class Copier:
         self.source, self.target = source, target
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (fs, root), (to, there) = (pyarrow.fs.FileSystem.from_uri(f) for f in (self.source, self.target))
+        (fs, root), (to, there) = (FileSystem.from_uri(f) for f in (self.source, self.target))
         to.create_dir(there, recursive=True)
         for batch in batches:
             for name, flips in zip(batch.column("file").to_pylist(), batch.column("flips").to_pylist()):
@@ -125,7 +125,7 @@ class Leaves:
         self.folder = folder
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs, root = FileSystem.from_uri(self.folder)
         name, source = None, None
         for batch in batches:
             digests = []
@@ -133,7 +133,7 @@ class Leaves:
                 if file != name:
                     if source:
                         source.close()
-                    there = fs.get_file_info(f"{root}/{file}").type == pyarrow.fs.FileType.File
+                    there = fs.get_file_info(f"{root}/{file}").type == FileType.File
                     name, source = file, fs.open_input_file(f"{root}/{file}") if there else None
                 data = source.read_at(max(0, min(length, source.size() - offset)), offset) if source and offset < source.size() else b""
                 digests.append(hashlib.sha256(data).hexdigest() if len(data) == length else None)
@@ -190,7 +190,7 @@ class Reader:
         for batch in batches:
             out = []
             for page_id, folder, file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("page_id", "folder", "file", "offset", "length"))):
-                fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+                fs, root = FileSystem.from_uri(folder)
                 with fs.open_input_file(f"{root}/{file}") as source:
                     headers, payload = parse(source.read_at(length, offset))
                 out.append((page_id, file, offset, headers["WARC-Target-URI"], payload))
