@@ -20,6 +20,8 @@ from seacast.session import stored
 SHINGLE, SKETCHES, SIMILARITY = 5, 14, 0.8
 #: Sketches of the first round, neighbours that a text of a bucket meets in the second, texts of a bucket that one task takes.
 FIRST, REACH, WHOLE = 5, 2, 1000
+#: Texts, and shingles, of one slice of a bucket that is finished exactly.
+ROWS, MANY = 512, 1 << 19
 SLICE = 8 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,6 +179,95 @@ class Neighbours:
             held = rows.slice(max(len(rows) - self.reach, 0)).combine_chunks()
 
 
+def overlaps(rows: np.ndarray, found: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Shingles that each text of ``left`` has in common with each of ``right``, repeats counted, in any order.
+
+    ``found`` are the shingles of ``size`` texts, ``rows`` says whose. Shingles that the same texts have are one weighted column.
+    """
+    order = np.lexsort((found, rows))
+    rows, found = rows[order], found[order].astype(np.uint64)
+    head = np.concatenate([[True], (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])])
+    nth = np.arange(len(found)) - np.maximum.accumulate(np.where(head, np.arange(len(found)), 0))
+    label = found | nth.astype(np.uint64) << np.uint64(32)
+    order = np.argsort(label, kind="stable")
+    rows, label = rows[order], label[order]
+    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    counts = np.diff(np.append(starts, len(label)))
+    pattern = np.add.reduceat(mixed(rows.astype(np.uint64) + np.uint64(1)), starts)
+    starts, counts, pattern = (x[counts > 1] for x in (starts, counts, pattern))
+    _, one, weight = np.unique(pattern, return_index=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(one), 4096):
+        part = one[at : at + 4096]
+        has = np.zeros((size, len(part)), np.float32)
+        has[rows[ragged(starts[part], counts[part])], np.repeat(np.arange(len(part)), counts[part])] = 1
+        out += (has[left] * weight[at : at + 4096].astype(np.float32)) @ has[right].T
+    return out
+
+
+class Finish:
+    """Links of blocks (two slices of a bucket): every pair of texts of different components is judged, or ruled out by a bound.
+
+    A pair belongs to the first sketch that it shares. Its common shingles in any order bound the alignment; the
+    pairs above that bound are aligned, unless links of this block already join them.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("r", "key", "lo", "hi")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and tuple(ids[a]) != name:
+                    yield self.block(pa.Table.from_batches(held), name)
+                    held = []
+                name = tuple(ids[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield self.block(pa.Table.from_batches(held), name)
+
+    def block(self, rows: pa.Table, name: tuple[int, ...]) -> pa.RecordBatch:
+        r, _, lo, hi = name
+        texts, salt, n = rows["text_id"].combine_chunks(), rows["salt"].to_numpy(), rows["n"].to_numpy()
+        comp = rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+        left, right = (np.flatnonzero(salt == s) for s in (lo, hi))
+        made: list[tuple[int, int]] = []
+        if len(left) and len(right) and len(np.unique(comp)) > 1:
+            sequences = [np.frombuffer(v.as_buffer(), np.uint32) for v in rows["shingles"].combine_chunks()]
+            both = overlaps(np.repeat(np.arange(len(sequences)), [len(x) for x in sequences]), np.concatenate(sequences), left, right, len(sequences))
+            need = np.ceil((n[left][:, None] + n[right]) * self.similarity / (1 + self.similarity) - 1e-9)
+            good = (both >= need) & (comp[left][:, None] != comp[right])
+            if lo == hi:
+                good = np.triu(good, 1)
+            x, y = np.nonzero(good)
+            best = np.argsort(-both[x, y] / need[x, y], kind="stable")
+            x, y = left[x[best]], right[y[best]]
+            if r:
+                after = rows["after"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)[:, -r:]
+                mine = ~np.concatenate([(after[x[k : k + 65536]] == after[y[k : k + 65536]]).any(axis=1) for k in range(0, max(len(x), 1), 65536)])
+                x, y = x[mine], y[mine]
+            root = list(range(int(comp.max()) + 1))
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            of = comp.tolist()
+            for i, j in zip(x.tolist(), y.tolist()):
+                a, b = find(of[i]), find(of[j])
+                if a != b and aligned(sequences[i], sequences[j], self.similarity):
+                    root[a] = b
+                    made.append((i, j))
+        a, b = (texts.take(pa.array([p[k] for p in made], pa.int64())) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) is linked to, by alternating stars.
 
@@ -227,23 +318,25 @@ def sequences(shared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -
     return stored(texts.mapInArrow(Sequences(size), "text_id string, shingles binary"), "sequences")
 
 
+def with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with comp, the root of each text."""
+    if roots is None:
+        return rows.withColumn("comp", F.col("text_id"))
+    return rows.join(roots, rows.text_id == roots.node, "left").withColumn("comp", F.coalesce("root", "text_id")).drop("node", "root")
+
+
 def candidates(shared: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that share a sketch and are not linked yet.
+    """Pairs (a, b) of texts that share a sketch and are not linked yet, a bounded number of each text.
 
     The first round takes few sketches; in each bucket every text meets the bucket's first text, found
-    by a map-side minimum, and the next one in a random order, which settles most. Later rounds order a
-    bucket by the texts' other sketches, starting one further each time, so that the most similar texts
-    are neighbours: the second joins ``REACH`` neighbours (all pairs of a bucket of up to ``REACH + 1``
-    texts), the others the next text of larger buckets. A bucket of any size gives a bounded number of
-    pairs a text, and one of more than ``WHOLE`` texts is dealt over several tasks.
+    by a map-side minimum, and the next one in a random order, which settles most. The second gives all
+    pairs of the buckets of up to ``REACH + 1`` texts; :func:`finished` takes the larger ones. In the first
+    round a bucket of more than ``WHOLE`` texts is dealt over several tasks; that a text does not meet the
+    next one across their borders costs nothing, because those buckets are finished.
     """
-    wanted = F.col("r") < FIRST if turn == 0 else F.lit(True) if turn == 1 else F.col("texts") > REACH + 1
-    place = F.array(F.xxhash64("text_id", "r")) if turn == 0 else F.concat(F.slice("after", turn, 3), F.array(F.xxhash64("text_id", "r")))
-    rows = shared.where(wanted).select("r", "key", "text_id", "n", "texts", place.alias("turn"))
-    if roots is None:
-        rows = rows.withColumn("comp", F.col("text_id"))
-    else:
-        rows = rows.join(roots, rows.text_id == roots.node, "left").withColumn("comp", F.coalesce("root", "text_id")).drop("node", "root")
+    wanted = F.col("r") < FIRST if turn == 0 else F.col("texts") <= REACH + 1
+    place = F.array(F.xxhash64("text_id", "r"))
+    rows = with_components(shared.where(wanted).select("r", "key", "text_id", "n", "texts", place.alias("turn")), roots)
     first = rows.groupBy("r", "key").agg(F.min(F.struct("turn", "text_id", "n", "comp")).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     # Buckets of one component have nothing left to link and go out here.
     open_ = rows.join(first.where("x <> y").select("r", "key", "f"), ["r", "key"])
@@ -256,6 +349,23 @@ def candidates(shared: DataFrame, roots: DataFrame | None, turn: int, similarity
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def finished(shared: DataFrame, found: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar texts that share a bucket of more than ``REACH + 1`` texts.
+
+    A bucket with several components is dealt in slices of about ``ROWS`` texts and ``MANY`` shingles;
+    each two slices (and each slice with itself) are a block of their own, so that no task holds a bucket.
+    """
+    rows = with_components(shared.where(F.col("texts") > REACH + 1), roots)
+    sums = rows.groupBy("r", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("count"), F.sum("n").alias("sum"))
+    parts = F.greatest(F.ceil(F.col("count") / ROWS), F.ceil(F.col("sum") / MANY)).cast("int")
+    open_ = rows.join(sums.where("x <> y").select("r", "key", parts.alias("parts")), ["r", "key"])
+    dealt = open_.withColumn("salt", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
+    dealt = dealt.join(found, "text_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("r", "key", F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "text_id", "n", "comp", "after", "shingles")
+    blocks = blocks.repartition("r", "key", "lo", "hi").sortWithinPartitions("r", "key", "lo", "hi")
+    return stored(blocks.mapInArrow(Finish(similarity), "a string, b string").distinct(), "links")
+
+
 def judged(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The similar ones of the pairs."""
     left, right = (found.select(F.col("text_id").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "left"), ("b", "right")))
@@ -269,9 +379,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     ``size``-word shingles has common / (all - common) of ``similarity`` or more. Equal texts are one
     node. Each sketch of a text is the pair of its two least shingles (repeats told apart by their
     number) in text order; texts that share a sketch are candidates. A pair at the threshold shares a
-    sketch with probability 0.64 or more, so it has none of 14 in common once in a million. Buckets
-    of up to ``REACH + 1`` texts have all their pairs judged, unless a link already joins the two; in
-    larger ones rounds in new orders go on until one adds no link.
+    sketch with probability 0.64 or more, so it has none of 14 in common once in a million. All pairs
+    that share a sketch are judged, unless links already join the two or their common shingles, in any
+    order, are too few.
 
     class_id is the least doc_id of the class; the row with it is kept (of several, one). Null and empty
     texts are equal to each other; texts of fewer than ``size`` words are similar only to equal ones. A
@@ -287,15 +397,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SI
     ).select("*", "first.doc_id", "first.tag").drop("first"), "nodes")
     shared = buckets(nodes, SKETCHES)
     found = sequences(shared, rows, nodes, size)
-    roots, turn, grown, tried = None, 0, True, None
-    while turn < 2 or (grown and turn < SKETCHES):
+    roots, tried = None, None
+    for turn in range(2):
         pairs = candidates(shared, roots, turn, similarity)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs
         links = None if pairs.isEmpty() else judged(pairs, found, similarity)
-        grown = links is not None and not links.isEmpty()
-        roots = joined_roots(roots, links) if grown else roots
-        turn += 1
+        roots = joined_roots(roots, links) if links is not None and not links.isEmpty() else roots
+    links = finished(shared, found, roots, similarity)
+    roots = roots if links.isEmpty() else joined_roots(roots, links)
     comp = nodes.select("text_id", F.col("text_id").alias("root"), "doc_id", "n_docs") if roots is None else (
         nodes.join(roots, nodes.text_id == roots.node, "left").select("text_id", F.coalesce("root", "text_id").alias("root"), "doc_id", "n_docs")
     )

@@ -3,7 +3,7 @@
 import io
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -269,6 +269,34 @@ def test_near_duplicate_classes_of_the_table(spark):
     assert got == {d: rows[c][0] for (d, _), c in zip(rows, classes)}
 
 
+def near_family(seed, texts, edits):
+    rng = random.Random(seed)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for d in range(texts):
+        w = list(base)
+        for i in rng.sample(range(100), edits):
+            w[i] = f"x{d}_{i}"
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+def test_near_duplicates_of_one_large_group_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(ordermin, "ROWS", 100)
+    rows = near_family(1, 250, 2)
+    classes = brute.near_classes(rows)
+    assert 150 < len(set(classes)) < 240
+    got = dict(multiset(ordermin.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "class_id"))
+    assert got == {d: rows[c][0] for (d, _), c in zip(rows, classes)}
+
+
+def test_common_shingles_are_counted_with_repeats():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint32) for _ in range(12)]
+    rows, left, right = np.repeat(np.arange(12), [len(x) for x in texts]), np.arange(5), np.arange(3, 12)
+    got = ordermin.overlaps(rows, np.concatenate(texts), left, right, 12)
+    assert got.tolist() == [[sum((Counter(texts[a].tolist()) & Counter(texts[b].tolist())).values()) for b in right] for a in left]
+
+
 def test_alignment_is_the_banded_one():
     rng = np.random.default_rng(9)
     for _ in range(60):
