@@ -16,6 +16,8 @@ from seacast.llm.blocks import NO_ID, POWERS, covered, mixed, pack, ragged, slid
 RUN = 64
 #: Bytes of text that a task holds at once, and buckets that a task sorts one after the other.
 SLICE, SUB = 4 << 20, 2
+#: Windows in distinct runs of one minimiser above which each goes by its own words; one in so many documents is counted, longer texts always.
+HOT, SAMPLE, LONG = 1 << 15, 8, 1 << 16
 SPANS = "doc_id bigint, tag int, start int, size int"
 
 
@@ -35,11 +37,66 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.uint64)
 
 
+class Hot:
+    """Common keys and into how many parts the windows of each are dealt, by a hash of the whole window."""
+
+    def __init__(self, found: dict[int, int] | None = None):
+        names = sorted(found or {})
+        self.names, self.parts = np.array(names, np.uint64), np.array([found[k] for k in names], np.uint64)
+
+    def dealt(self, prefix: np.ndarray, window: int, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, windows, key, ...) with the runs of common keys cut into windows; equal windows have equal keys."""
+        if not len(self.names) or not len(starts):
+            return starts, sizes, keys, *more
+        at = np.minimum(np.searchsorted(self.names, keys), len(self.names) - 1)
+        hot = self.names[at] == keys
+        times = np.where(hot, sizes, 1)
+        begin, of = ragged(starts, times).astype(np.int64), np.repeat(np.arange(len(starts)), times)
+        part = mixed(POWERS.ranges(prefix, begin, begin + window)) % self.parts[at[of]]
+        keys = np.where(hot[of], mixed(keys[of] ^ mixed(part + np.uint64(1))), keys[of])
+        return begin, np.where(hot, 1, sizes)[of], keys, *(x[of] for x in more)
+
+
+class KeySizes:
+    """The map side of :func:`hot_keys`: (key, run, n) of the distinct runs of a slice."""
+
+    def __init__(self, runs, limit: int):
+        self.runs, self.limit = runs, limit
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in slices(batches, self.limit):
+            row, keys, run, sizes = self.runs(table["text"])
+            _, one = np.unique(keys ^ mixed(run), return_index=True)
+            sizes = sizes[one] * table["share"].to_numpy()[row[one]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), pa.array(run[one].view(np.int64)), pa.array(sizes, pa.int64())], ["key", "run", "n"])
+
+
+def hot_keys(rows: DataFrame, runs, limit: int, most: int, spread: int) -> Hot:
+    """The keys whose distinct runs have a size of more than ``most``, as estimated from one in ``SAMPLE`` documents and all long ones.
+
+    They decide only where windows meet, never which are counted. ``spread`` is how much larger runs get when they are
+    cut into windows. There are at most (size of the table / ``most``) of them.
+    """
+    long = F.coalesce(F.octet_length("text") > LONG, F.lit(False))
+    sample = rows.where(long | (F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLE)) == 0)).withColumn("share", F.when(long, 1).otherwise(SAMPLE).cast("long"))
+    found = sample.mapInArrow(KeySizes(runs, limit), "key bigint, run bigint, n bigint").groupBy("key", "run").agg(F.min("n").alias("n"))
+    sums = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return Hot({r.key % (1 << 64): -(-r.n * spread // most) for r in sums.collect()})
+
+
 class SuperKmers:
     """The map side: a slice of documents to one packed value per bucket."""
 
-    def __init__(self, window: int, minimiser: int, buckets: int):
-        self.window, self.minimiser, self.buckets = window, minimiser, buckets
+    def __init__(self, window: int, minimiser: int, buckets: int, hot: Hot | None = None):
+        self.window, self.minimiser, self.buckets, self.hot = window, minimiser, buckets, hot or Hot()
+
+    def sizes(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, minimiser, hash of the words, windows) of each run."""
+        flat, offsets = word_lists(texts)
+        hashes = word_hashes(flat)
+        starts, sizes, lows = self.runs(hashes, offsets)
+        run = POWERS.ranges(POWERS.prefix(hashes), starts, starts + sizes + self.window - 1) if len(starts) else lows
+        return np.searchsorted(offsets, starts, side="right") - 1, lows, run, sizes
 
     def runs(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, windows, minimiser) of each run of windows of one document that share a minimiser."""
@@ -65,7 +122,7 @@ class SuperKmers:
             table, ids = table.take(order), ids[order]
             flat, offsets = word_lists(table["text"])
             hashes = word_hashes(flat)
-            starts, sizes, lows = self.runs(hashes, offsets)
+            starts, sizes, lows = self.hot.dealt(POWERS.prefix(hashes), self.window, *self.runs(hashes, offsets))
             lengths = sizes + self.window - 1 if len(sizes) else sizes
             row = np.searchsorted(offsets, starts, side="right") - 1
             tags = table["tag"].to_numpy()
@@ -217,7 +274,9 @@ def joined(docs: DataFrame, found: DataFrame) -> DataFrame:
 def window_spans(docs: DataFrame, window: int = 13, minimiser: int = 3, buckets: int | None = None) -> DataFrame:
     """(doc_id, tag, start, size): word ranges whose every window also starts in a document with a smaller doc_id."""
     parts = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = tagged(docs).mapInArrow(SuperKmers(window, minimiser, parts * SUB), "part int, bucket bigint, value binary")
+    rows = tagged(docs)
+    hot = hot_keys(rows, SuperKmers(window, minimiser, parts).sizes, SLICE, HOT, 4)
+    sent = rows.mapInArrow(SuperKmers(window, minimiser, parts * SUB, hot), "part int, bucket bigint, value binary")
     return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(Counted(window), SPANS)
 
 
@@ -226,7 +285,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, minimiser: int = 3, bucke
     document with a smaller doc_id. Windows are judged on the input.
 
     Consecutive windows with one minimiser (the least hash of ``minimiser`` words) travel as one packed
-    string; a bucket sorts all windows of its minimisers and compares their words. Equal strings of a
+    string; a bucket sorts all windows of its minimisers and compares their words. The windows of a very
+    common minimiser travel each for itself, dealt by a hash of their words. Equal strings of a
     slice travel once, from the slice's smallest document. A null text has no words; a null doc_id comes
     after all ids and rows with null ids do not count against each other; rows of one doc_id do not
     either. Only doc_id and text are read, so other columns cannot clash.

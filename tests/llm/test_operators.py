@@ -157,6 +157,23 @@ def test_substring_dedup_over_small_slices(spark, monkeypatch):
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.repeated_words(rows))), key=repr)
 
 
+def passages(n, words, around):
+    rng = random.Random(12)
+    return [(d, " ".join([*(f"{rng.randrange(10**6)}" for _ in range(around)), *(f"common{i}" for i in range(words)), *(f"{rng.randrange(10**6)}" for _ in range(around))])) for d in range(n)]
+
+
+def test_hot_minimiser_is_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(superkmer, "HOT", 500)
+    rows = passages(600, 20, 15)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "tag": pa.array([0] * len(rows), pa.int32())})
+    made = superkmer.SuperKmers(13, 3, 64, superkmer.hot_keys(superkmer.tagged(docs), superkmer.SuperKmers(13, 3, 64).sizes, superkmer.SLICE, superkmer.HOT, 4))
+    held = [int(np.frombuffer(superkmer.unpack(v.as_buffer())[3], np.uint8).sum()) for b in made(table.to_batches()) for v in b.column("value")]
+    assert max(held) <= 3 * sum(held) / 64
+    got = multiset(superkmer.substring_dedup(docs).withColumn("sha", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "sha")
+    assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.repeated_words(rows))), key=repr)
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     codes = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9, 9, 9], np.int64)
     monkeypatch.setattr(superkmer, "mixed", lambda x: np.zeros(len(x), np.uint64))
