@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seacast.llm.blocks import POWERS, covered, mixed, pack, ragged, sliding_min, slices, unpack
-from seacast.llm.superkmer import SPANS, joined, spans, tagged
+from seacast.llm.superkmer import SPANS, Hot, hot_keys, joined, spans, tagged
 
 #: Bytes of an anchor; starts of one segment at most; bytes of text held at once; buckets that a task sorts one after the other.
 GRAM, RUN, SLICE, SUB = 24, 1024, 2 << 20, 2
-#: Bytes of distinct segments that one suffix array takes, unless one anchor has more.
+#: Bytes of distinct segments after which a suffix array takes no further anchor. An anchor with more bytes than that is dealt by its windows.
 BLOCK = 1 << 19
 #: A random value for each byte.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -81,8 +81,22 @@ def same_prefix(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
 class Segments:
     """The map side: consecutive windows whose least anchor is the same become one segment for the anchor's bucket."""
 
-    def __init__(self, depth: int, buckets: int):
-        self.depth, self.buckets = depth, buckets
+    def __init__(self, depth: int, buckets: int, hot: Hot | None = None):
+        self.depth, self.buckets, self.hot = depth, buckets, hot or Hot()
+
+    def sizes(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, hash of the bytes, number of bytes) of each segment."""
+        _, prefix, offsets = self.bytes(texts)
+        starts, sizes, anchors, _ = self.runs(prefix, offsets)
+        lengths = sizes + self.depth - 1
+        return np.searchsorted(offsets, starts, side="right") - 1, anchors, POWERS.ranges(prefix, starts, starts + lengths), lengths
+
+    def bytes(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, their prefix hashes, where each text begins, with the end)."""
+        texts = pc.fill_null(texts, "").combine_chunks().cast(pa.large_binary())
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]).astype(np.int64)
+        data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        return data, POWERS.prefix(_BYTES[data]), offsets
 
     def runs(self, prefix: np.ndarray, offsets: np.ndarray):
         """(start, windows, anchor, inner) of each segment; ``inner``: a window may occur in it twice."""
@@ -114,11 +128,9 @@ class Segments:
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, SLICE):
             ids, tags = pc.fill_null(table["doc_id"], np.iinfo(np.int64).max).to_numpy(), table["tag"].to_numpy()
-            texts = pc.fill_null(table["text"], "").combine_chunks().cast(pa.large_binary())
-            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]).astype(np.int64)
-            data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
-            prefix = POWERS.prefix(_BYTES[data])
-            starts, sizes, anchors, inner = self.runs(prefix, offsets)
+            data, prefix, offsets = self.bytes(table["text"])
+            starts, sizes, anchors, inner = self.hot.dealt(prefix, self.depth, *self.runs(prefix, offsets))
+            inner = inner & (sizes > 1)
             if not len(starts):
                 continue
             lengths = sizes + self.depth - 1
@@ -263,7 +275,9 @@ def without_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_spans(docs: DataFrame, depth: int = 200, buckets: int | None = None) -> DataFrame:
     """(doc_id, tag, start, size): byte ranges whose every ``depth``-byte string starts at another place too."""
     parts = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = tagged(docs).mapInArrow(Segments(depth, parts * SUB), "part int, bucket bigint, value binary")
+    rows = tagged(docs)
+    hot = hot_keys(rows, Segments(depth, parts).sizes, SLICE, BLOCK, depth // 2)
+    sent = rows.mapInArrow(Segments(depth, parts * SUB, hot), "part int, bucket bigint, value binary")
     return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(Repeated(depth), SPANS)
 
 
@@ -272,7 +286,8 @@ def suffix_dedup(docs: DataFrame, depth: int = 200, buckets: int | None = None)
     also starts anywhere else, in the same text or another; overlapping places count, texts never join.
 
     Equal strings have the same least anchor (hash of 24 bytes), so the windows of one anchor meet in one
-    bucket, packed as segments of consecutive windows. Anchors that occur once need no sorting. Over the
+    bucket, packed as segments of consecutive windows; those of a very common anchor travel each for itself,
+    dealt by a hash of their bytes. Anchors that occur once need no sorting. Over the
     distinct segments of the others a suffix array is built in two stages, and neighbours with ``depth``
     bytes in common are repeats; equal segments count by their number. A null text is empty; rows of
     one doc_id (also null) are texts of their own; equal rows are copies of each other. Only doc_id and

@@ -162,6 +162,23 @@ def passages(n, words, around):
     return [(d, " ".join([*(f"{rng.randrange(10**6)}" for _ in range(around)), *(f"common{i}" for i in range(words)), *(f"{rng.randrange(10**6)}" for _ in range(around))])) for d in range(n)]
 
 
+def test_hot_anchor_is_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffixdup, "BLOCK", 20_000)
+    rows = passages(600, 40, 25)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "tag": pa.array([0] * len(rows), pa.int32())})
+    made = suffixdup.Segments(200, 64, suffixdup.hot_keys(suffixdup.tagged(docs), suffixdup.Segments(200, 64).sizes, suffixdup.SLICE, suffixdup.BLOCK, 100))
+    held = defaultdict(int)
+    for batch in made(table.to_batches()):
+        for value in batch.column("value"):
+            parts = suffixdup.unpack(value.as_buffer())
+            for anchor, size in zip(np.frombuffer(parts[4], np.uint32).tolist(), np.frombuffer(parts[3], np.int32).tolist()):
+                held[anchor] += size + 199
+    assert max(held.values()) <= 2 * suffixdup.BLOCK
+    got = multiset(suffixdup.suffix_dedup(docs).withColumn("sha", F.sha2("kept_bytes", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
+    assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.repeated_bytes(rows))), key=repr)
+
+
 def test_hot_minimiser_is_dealt_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(superkmer, "HOT", 500)
     rows = passages(600, 20, 15)
