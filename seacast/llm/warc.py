@@ -140,10 +140,14 @@ class Leaves:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.string())], ["node", "digest"])
 
 
-def tree(index: DataFrame, folder: str) -> list[DataFrame]:
-    """The levels of a replica's tree, records first: (node, digest). A node covers ``FANOUT`` neighbours of the level
-    below, so level n covers ordered ranges of ``FANOUT ** n`` records; the last level is the root."""
-    levels = [stored(index.select("node", "file", "offset", "length").mapInArrow(Leaves(folder), "node bigint, digest string"), "leaves")]
+def tree(index: DataFrame, folder: str | None) -> list[DataFrame]:
+    """The levels of a replica's tree, records first: (node, digest); of the digests taken at writing without a folder. A
+    node covers ``FANOUT`` neighbours of the level below, so level n covers ordered ranges of ``FANOUT ** n`` records; the
+    last level is the root."""
+    if folder is None:
+        levels = [index.select("node", F.col("record_sha256").alias("digest"))]
+    else:
+        levels = [stored(index.select("node", "file", "offset", "length").mapInArrow(Leaves(folder), "node bigint, digest string"), "leaves")]
     count = index.count()
     while count > 1:
         below = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("node"))
@@ -154,33 +158,34 @@ def tree(index: DataFrame, folder: str) -> list[DataFrame]:
     return levels
 
 
-def mismatches(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
-    """Records (node, left, right) whose digests differ: from the roots down, below differing nodes only."""
+def mismatches(left: list[DataFrame], right: list[DataFrame], written: list[DataFrame]) -> DataFrame:
+    """Records (node, left, right) with a digest other than the written one: from the roots down, below differing nodes only."""
     parents = None
-    for a, b in zip(reversed(left), reversed(right)):
+    for levels in zip(reversed(left), reversed(right), reversed(written)):
         if parents is not None:
             above = F.floor(F.col("node") / FANOUT)
-            a, b = (x.withColumn("_up", above).join(parents, "_up", "left_semi").drop("_up") for x in (a, b))
-        both = a.select("node", F.col("digest").alias("left")).join(b.select("node", F.col("digest").alias("right")), "node", "full")
-        found = stored(both.where(~F.col("left").eqNullSafe(F.col("right"))), "differ")
+            levels = [x.withColumn("_up", above).join(parents, "_up", "left_semi").drop("_up") for x in levels]
+        a, b, c = (x.select("node", F.col("digest").alias(n)) for x, n in zip(levels, ("left", "right", "written")))
+        both = a.join(b, "node", "full").join(c, "node", "full")
+        found = stored(both.where(~F.col("left").eqNullSafe(F.col("written")) | ~F.col("right").eqNullSafe(F.col("written"))), "differ")
         parents = found.select(F.col("node").alias("_up"))
-    return found
+    return found.withColumn("found", F.lit(True)).drop("written")
 
 
 def audit(index: DataFrame, left: str, right: str) -> DataFrame:
     """``index`` with intact, left_damaged and right_damaged: the damage that the two trees locate.
 
-    A record is intact when both replicas hold the same bytes; otherwise the digest taken at writing
-    tells which of them is damaged (a missing or short record is). An empty archive gives no rows.
+    A record is intact when both replicas hold the bytes whose digest was taken at writing, which tells
+    which of them is damaged (a missing or short record is), also where both are. An empty archive gives no rows.
     """
     one = prefix_sums(index.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ["_all"], ["file", "seq"], "_one", "node").drop("_all", "_one")
     numbered = stored(one.repartitionByRange("node").sortWithinPartitions("node"), "numbered")
-    found = mismatches(tree(numbered, left), tree(numbered, right))
+    found = mismatches(tree(numbered, left), tree(numbered, right), tree(numbered, None))
     joined = numbered.join(found, "node", "left")
-    differ = F.col("left").isNotNull() | F.col("right").isNotNull()
+    differ = F.col("found").isNotNull()
     wrong = {c: differ & ~F.col(c).eqNullSafe(F.col("record_sha256")) for c in ("left", "right")}
     joined = joined.select("*", (~differ).alias("intact"), wrong["left"].alias("left_damaged"), wrong["right"].alias("right_damaged"))
-    return joined.drop("left", "right", "node")
+    return joined.drop("left", "right", "found", "node")
 
 
 class Reader:

@@ -447,3 +447,17 @@ def test_empty_tables(spark, docs, pages):
 
 def test_scratch_is_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_records_lost_or_wrong_in_both_replicas_are_damaged(spark, pages):
+    index = warc.write_archive(pages, folder := scratch_path(spark, "warc"))
+    lost = sorted(r.file for r in index.select("file").distinct().collect())[0]
+    flips = index.where("page_id = 9").select("file", F.col("offset").alias("place"))
+    left, right = (scratch_path(spark, "warc-copy") for _ in range(2))
+    for copy in (left, right):
+        warc.replicate(index, folder, copy, flips)
+        fs, root = pyarrow.fs.FileSystem.from_uri(copy)
+        fs.open_output_stream(f"{root}/{lost}", compression=None).close()
+    for r in warc.audit(index, left, right).collect():
+        hit = r.file == lost or r.page_id == 9
+        assert (r.intact, r.left_damaged, r.right_damaged) == (not hit, hit, hit)
