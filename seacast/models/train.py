@@ -168,9 +168,12 @@ def param_maps(estimator, grid: Mapping[str, Sequence[Any]], draws: int | None =
 
 
 def search(train: DataFrame, features: Sequence[str], estimator, grid, label: str, keys: Sequence[str],
-           scoring: str = "accuracy", folds: int = 5, draws: int | None = None, seed: int = 42, parallelism: int = 4):
-    """Cross-validated search; ``draws`` makes it a random search. Returns the fitted CrossValidatorModel."""
-    rows = stored(train.select(*keys, *features, label), "search")
+           scoring: str = "accuracy", folds: int = 5, draws: int | None = None, seed: int = 42, parallelism: int = 4, more: Sequence[str] = ()):
+    """Cross-validated search; ``draws`` makes it a random search. Returns the fitted CrossValidatorModel.
+
+    ``more`` are columns that the estimator reads besides, such as weights.
+    """
+    rows = stored(train.select(*keys, *features, label, *more), "search")
     vectors = assembler(features).transform(stratified_folds(rows, label, keys, folds, seed))
     validator = CrossValidator(
         estimator=estimator, estimatorParamMaps=param_maps(estimator, grid, draws, seed),

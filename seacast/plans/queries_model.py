@@ -190,11 +190,17 @@ def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Cross-validated logistic regression over two strengths, recall of class 1."""
+    """Cross-validated logistic regression: every C, penalty and class weight of the grid, recall of class 1."""
     days = lifecycles.weather_features(training_days(spark, sf))
-    estimator = LogisticRegression(labelCol="annulation_binary", maxIter=20, standardization=False)
-    grid = {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}
-    found = train.search(days, train.WEATHER_FEATURES, estimator, grid, "annulation_binary", ["jour"], "recall", folds=3, draws=2)
+    weighted = train.balanced_weights(days, "annulation_binary").withColumnRenamed("weight", "balanced").withColumn("unweighted", F.lit(1.0))
+    folds = 5
+    n = days.count() * (folds - 1) / folds
+    estimator = LogisticRegression(labelCol="annulation_binary", maxIter=1000, standardization=False)
+    grid = {
+        "regParam": [train.logistic_params(c, "l2", n)["regParam"] for c in (0.01, 0.1, 1, 10, 100)],
+        "elasticNetParam": [train.logistic_params(1, p, n)["elasticNetParam"] for p in ("l1", "l2")], "weightCol": ["unweighted", "balanced"],
+    }
+    found = train.search(weighted, train.WEATHER_FEATURES, estimator, grid, "annulation_binary", ["jour"], "recall", folds=folds, more=["unweighted", "balanced"])
     return train.search_scores(spark, found)
 
 

@@ -230,3 +230,11 @@ def test_model_comparison_is_sorted(spark):
     board = train.compare_models(weather_rows(spark), MEASURES, "annulation_binary", ["id"], ["logistic", "tree"]).collect()
     assert sorted(r["model"] for r in board) == ["logistic", "tree"]
     assert board[0]["accuracy"] >= board[1]["accuracy"]
+
+
+def test_grid_search_scores_every_parameter_set(spark):
+    from seacast.plans.queries_model import grid_search
+
+    rows = grid_search(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r.params for r in rows}) == 5 * 2 * 2
+    assert all(0 <= r.score <= 1 for r in rows)
