@@ -32,6 +32,8 @@ def read_raw_crossings(spark: SparkSession, path: str) -> DataFrame:
     layouts = [r[0] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
     if not layouts:
         raise FileNotFoundError(f"no crossing log with a header at {path}")
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers at {path}")
     rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
     df = _by_header(rows, sorted(layouts), RAW_CROSSINGS).drop("_corrupt_record", "_file", "_block", "_row")
     return na_to_null(df).withColumnsRenamed(SOURCE_NAMES)

@@ -153,3 +153,17 @@ def test_malformed_rows_are_reported(spark, tmp_path):
     landed_rows = tables.read_monthly(spark, str(tmp_path)).cache()
     assert "oops" in tables.corrupt_rows(landed_rows).first()["_corrupt_record"]
     assert landed_rows.first()["wave_height_max"] is None
+
+
+def test_crossing_logs_with_too_many_headers_are_refused(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from seacast.schemas import RAW_CROSSINGS
+    from seacast.sources import tables
+
+    monkeypatch.setattr(tables, "MAX_LAYOUTS", 2)
+    names = RAW_CROSSINGS.names
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(",".join([*names, f"more{i}"]) + "\n" + ",".join(["x"] * (len(names) + 1)) + "\n")
+    with pytest.raises(ValueError, match="more than 2 different headers"):
+        tables.read_raw_crossings(spark, str(tmp_path))
