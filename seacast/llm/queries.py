@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seacast.llm import chat, cutting, exthash, mixing, ordermin, quality, suffixdup, superkmer, tokenfile, warc
+from seacast.llm import charlm, chat, covertree, cutting, exthash, mixing, ordermin, phrases, quality, suffixdup, superkmer, tokenfile, warc
 from seacast.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,66 @@ SELECT conv_id, perspective, turn, speaker, piece, start, CASE WHEN speaker = pe
 """)
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def lloyd_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other, each an assignment of all parts to the entries of the round before."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT q.r, q.p, b.e, list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS err FROM q JOIN b{k} b USING (p)),
+a{k} AS (SELECT r, p, e, err FROM d{k} QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY err, e) = 1)""")
+        if k < rounds:
+            mean = ", ".join(f"((sum(q.x[{i}]) - ((sum(q.x[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT" for i in range(1, width + 1))
+            steps.append(f"""
+m{k} AS (SELECT p, e, [{mean}] AS x FROM a{k} JOIN q USING (r, p) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT r, p, v[{width} * p + 1 : {width} * p + {width}] AS x FROM k, (SELECT unnest(range({parts})) AS p)),
+b0 AS (SELECT p, r - 1 AS e, x FROM q WHERE r <= {entries}),{",".join(steps).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")},
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(err)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h
+"""
+
+
+@query(lloyd_sql())
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = covertree.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    coded = covertree.with_group_error(stored(coded, "codes")).withColumnRenamed("id", "vec_id")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(covertree.digest(books)).alias("codebooks_sha256"))
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') AS s FROM documents),
+p AS (SELECT r, lang, unnest(s) AS piece, generate_subscripts(s, 1) AS j FROM d),
+w AS (SELECT r, lang, j, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+u AS (SELECT r, lang, j, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY r, j ORDER BY i)),
+t AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, x AS phrase, 1 AS k FROM g UNION ALL SELECT lang, x || ' ' || y, 2 FROM g WHERE y IS NOT NULL
+    UNION ALL SELECT lang, x || ' ' || y || ' ' || z, 3 FROM g WHERE z IS NOT NULL) GROUP BY lang, phrase, k HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, k AS size, w, unnest(range(1, k)) AS k FROM c),
+s AS (SELECT x.lang, x.phrase, a, x.size, x.k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, phrase),
+o AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.a IS NULL OR 100 * m.a < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN t USING (lang) WHERE rank <= 2000
+""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+@query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.crc32(F.col("doc_id").cast("string"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.coalesce(code % 3 == 1, F.lit(False)).alias("held_out"))
+    found = charlm.identify(docs, ~F.col("held_out"), F.floor(F.crc32(F.col("doc_id").cast("string")) / 3).cast("long"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
