@@ -16,7 +16,7 @@ from seacast.session import stored
 
 UNKNOWN = "und"
 #: Characters of an n-gram; bytes of text held at once; distinct windows that a task holds before it hands them on.
-ORDER, SLICE, HELD = 5, 2 << 20, 1 << 19
+ORDER, SLICE, HELD = 4, 2 << 20, 1 << 19
 #: Entries of all models up to which tasks hold them (16 bytes each); beyond, windows are joined with the tables.
 ENTRIES = 6_000_000
 #: Of the learning documents, one in so many is kept out of the counts to calibrate scores and rejection.

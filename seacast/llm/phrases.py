@@ -15,7 +15,9 @@ from seacast.llm.blocks import POWERS, mixed, pack, ragged, slices, unpack
 from seacast.session import stored
 
 #: Bytes of text in one slice, and bytes of text whose n-grams one task sorts, in ``SUB`` buckets one after the other.
-SLICE, TASK, SUB = 4 << 20, 256 << 20, 16
+SLICE, TASK, SUB = 3 << 20, 256 << 20, 16
+#: Bits of a fingerprint. Phrases that share one are told apart by their text, so it need not be longer.
+BITS = 48
 UNKNOWN = "und"
 
 #: A random value for each byte; bytes that end a piece; bytes between words.
@@ -70,7 +72,7 @@ class Slice:
         for n in range(1, longest + 1):
             at = self.grams(n)
             ends = self.start[at] + self.size(at, n)
-            key = mixed(POWERS.ranges(prefix, self.start[at], ends) ^ kinds[self.lang[at]]) + np.uint64(n) if len(at) else np.zeros(0, np.uint64)
+            key = mixed(POWERS.ranges(prefix, self.start[at], ends) ^ kinds[self.lang[at]] + np.uint64(n)) >> np.uint64(64 - BITS) if len(at) else np.zeros(0, np.uint64)
             order = np.argsort(key, kind="stable")
             at, key = at[order], key[order]
             head = np.ones(len(at), bool)
@@ -89,7 +91,7 @@ class Slice:
                     same &= codes[at[1:] + i] == codes[at[:-1] + i]
                 head[1:] = ~same
             heads = np.flatnonzero(head)
-            out.append((key[heads], at[heads], np.full(len(heads), n), np.diff(np.append(heads, len(at)))))
+            out.append((key[heads], at[heads].astype(np.int32), np.full(len(heads), n, np.int8), np.diff(np.append(heads, len(at))).astype(np.int32)))
         key, at, n, count = (np.concatenate(x) for x in zip(*out))
         order = np.argsort(key, kind="stable")
         return key[order], at[order], n[order], count[order]
@@ -146,23 +148,24 @@ class Fingerprints:
                 bucket = bucket_of(key, self.buckets)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cuts[1:], len(key))
-                values = [pack(planes(np.diff(key[a:b], prepend=np.uint64(0))), at[a:b].astype(np.int32), n[a:b].astype(np.int8), count[a:b].astype(np.int32)) for a, b in zip(cuts, ends)]
+                values = [pack(planes(np.diff(key[a:b], prepend=np.uint64(0))), planes(at[a:b]), n[a:b], planes(count[a:b])) for a, b in zip(cuts, ends)]
                 if values:
                     names = bucket[cuts]
                     yield pa.RecordBatch.from_arrays([pa.array((names // SUB).astype(np.int32)), pa.array(names), pa.array([name] * len(names)), pa.array(values, pa.binary())], ["part", "bucket", "slice", "value"])
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """The part of the range of fingerprints that a fingerprint lies in."""
+    return ((key >> np.uint64(BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def planes(x: np.ndarray) -> bytes:
     """Byte k of all numbers, for each k: what small numbers have in common stays together."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def unplaned(data: memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+def unplaned(data: memoryview, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def by_bucket(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
@@ -187,15 +190,15 @@ class Frequent:
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_bucket(batches, "slice"):
-            keys = np.concatenate([np.cumsum(unplaned(p[0]), dtype=np.uint64) for _, p in held])
-            counts = np.concatenate([np.frombuffer(p[3], np.int32) for _, p in held])
+            keys = np.concatenate([np.cumsum(unplaned(p[0], np.uint64), dtype=np.uint64) for _, p in held])
+            counts = np.concatenate([unplaned(p[3], np.int32) for _, p in held])
             order = np.argsort(keys, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
             often = np.empty(len(keys), bool)
             often[order] = np.repeat(np.add.reduceat(counts[order], heads, dtype=np.int64) >= self.least, np.diff(np.append(heads, len(keys))))
             names, values, done = [], [], 0
             for name, (_, at, n, count) in held:
-                at, n, count = np.frombuffer(at, np.int32), np.frombuffer(n, np.int8), np.frombuffer(count, np.int32)
+                at, n, count = unplaned(at, np.int32), np.frombuffer(n, np.int8), unplaned(count, np.int32)
                 mine = np.flatnonzero(often[done : done + len(at)])
                 done += len(at)
                 if len(mine):
@@ -230,7 +233,7 @@ class Materialised:
     def slice(self, one: Slice, held: list) -> Iterator[pa.RecordBatch]:
         at, n, count = (np.concatenate([np.frombuffer(p[k], kind) for p in held]).astype(np.int64) for k, kind in enumerate((np.int32, np.int8, np.int32)))
         prefix = POWERS.prefix(_BYTES[one.bytes])
-        key = mixed(POWERS.ranges(prefix, one.start[at], one.start[at] + one.size(at, n)))
+        key = mixed(POWERS.ranges(prefix, one.start[at], one.start[at] + one.size(at, n))) >> np.uint64(64 - BITS)
         bucket = bucket_of(key, self.buckets)
         order = np.lexsort([key, bucket])
         at, n, count, bucket = at[order], n[order], count[order], bucket[order]
@@ -238,7 +241,7 @@ class Materialised:
         values = []
         for a, b in zip(cuts, np.append(cuts[1:], len(at))):
             text, sizes = one.phrases(at[a:b], n[a:b])
-            values.append(pack(text, sizes.astype(np.int32), one.lang[at[a:b]].astype(np.int32), n[a:b].astype(np.int8), count[a:b], json.dumps(one.names).encode()))
+            values.append(pack(text, planes(sizes.astype(np.int32)), planes(one.lang[at[a:b]].astype(np.int32)), n[a:b].astype(np.int8), planes(count[a:b]), json.dumps(one.names).encode()))
         yield pa.RecordBatch.from_arrays([pa.array((bucket[cuts] // SUB).astype(np.int32)), pa.array(bucket[cuts]), pa.array(values, pa.binary())], ["part", "bucket", "value"])
 
 
@@ -252,10 +255,10 @@ class Verified:
         for held in by_bucket(batches):
             tables = []
             for (text, sizes, langs, n, count, names) in (p for (p,) in held):
-                ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64)])
+                ends = np.concatenate([[0], np.cumsum(unplaned(sizes, np.int32), dtype=np.int64)])
                 phrases = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)])
-                lang = pa.array(json.loads(bytes(names)), pa.large_string()).take(pa.array(np.frombuffer(langs, np.int32).copy()))
-                tables.append(pa.table({"lang": lang, "phrase": phrases, "words": pa.array(np.frombuffer(n, np.int8).astype(np.int32)), "f": pa.array(np.frombuffer(count, np.int64).copy())}))
+                lang = pa.array(json.loads(bytes(names)), pa.large_string()).take(pa.array(unplaned(langs, np.int32)))
+                tables.append(pa.table({"lang": lang, "phrase": phrases, "words": pa.array(np.frombuffer(n, np.int8).astype(np.int32)), "f": pa.array(unplaned(count, np.int64))}))
             sums = pa.concat_tables(tables).group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")])
             sums = sums.filter(pc.greater_equal(sums["f_sum"], self.least)).select(["lang", "phrase", "words", "f_sum"]).rename_columns(["lang", "phrase", "words", "f"])
             yield from sums.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])).to_batches()

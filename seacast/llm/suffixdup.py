@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seacast.llm.blocks import POWERS, covered, mixed, pack, ragged, sliding_min, slices, unpack
-from seacast.llm.superkmer import SPANS, Hot, hot_keys, joined, spans, tagged
+from seacast.llm.superkmer import SPANS, TASK, Hot, hot_keys, joined, spans, tagged, text_bytes
 
 #: Bytes of an anchor; starts of one segment at most; bytes of text held at once; buckets that a task sorts one after the other.
 GRAM, RUN, SLICE, SUB = 24, 1024, 2 << 20, 2
-#: Bytes of distinct segments after which a suffix array takes no further anchor. An anchor with more bytes than that is dealt by its windows.
+#: Bytes of distinct segments after which a suffix array takes no further anchor. An anchor with more bytes than that travels in blocks of windows.
 BLOCK = 1 << 19
 #: A random value for each byte.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -87,7 +87,7 @@ class Segments:
     def sizes(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, hash of the bytes, number of bytes) of each segment."""
         _, prefix, offsets = self.bytes(texts)
-        starts, sizes, anchors, _ = self.runs(prefix, offsets)
+        starts, sizes, anchors, _, _ = self.runs(prefix, offsets)
         lengths = sizes + self.depth - 1
         return np.searchsorted(offsets, starts, side="right") - 1, anchors, POWERS.ranges(prefix, starts, starts + lengths), lengths
 
@@ -99,12 +99,12 @@ class Segments:
         return data, POWERS.prefix(_BYTES[data]), offsets
 
     def runs(self, prefix: np.ndarray, offsets: np.ndarray):
-        """(start, windows, anchor, inner) of each segment; ``inner``: a window may occur in it twice."""
+        """(start, windows, anchor, inner) of each segment and the hashes of all grams; ``inner``: a window may occur in it twice."""
         size, width = len(prefix) - 1, self.depth - GRAM + 1
         n = size - self.depth + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
-            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
         grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.down[: size - GRAM + 1])
         lows = sliding_min(grams, width)
         valid = np.ones(n, bool)
@@ -118,19 +118,19 @@ class Segments:
         place = index - np.maximum.accumulate(np.where(fresh, index, 0))
         starts = np.flatnonzero(valid & (place % RUN == 0))
         if not len(starts):
-            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), grams
         sizes = np.add.reduceat(valid, starts, dtype=np.int64)
         # A window that occurs twice in a segment has its anchor both at a start and at an end of windows of the segment.
         first = np.minimum.reduceat(np.where((grams[:n] == lows) & valid, index, size), starts)
         last = np.maximum.reduceat(np.where((grams[width - 1 :] == lows) & valid, index + width - 1, -1), starts)
-        return starts, sizes, lows[starts], (first < size) & (last >= 0) & (first != last)
+        return starts, sizes, lows[starts], (first < size) & (last >= 0) & (first != last), grams
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, SLICE):
             ids, tags = pc.fill_null(table["doc_id"], np.iinfo(np.int64).max).to_numpy(), table["tag"].to_numpy()
             data, prefix, offsets = self.bytes(table["text"])
-            starts, sizes, anchors, inner = self.hot.dealt(prefix, self.depth, *self.runs(prefix, offsets))
-            inner = inner & (sizes > 1)
+            starts, sizes, anchors, inner, grams = self.runs(prefix, offsets)
+            starts, sizes, anchors, inner = self.hot.dealt(prefix, self.depth, grams, starts, sizes, anchors, inner)
             if not len(starts):
                 continue
             lengths = sizes + self.depth - 1
@@ -209,26 +209,55 @@ class Repeated:
         kept = np.flatnonzero((count[group] > 1) | inner | (copies > 1))
         kept = kept[np.argsort(group[kept], kind="stable")]
         raw = data.tobytes()
-        texts: dict[bytes, list[int]] = {}
-        held, last = 0, None
-        for s in kept.tolist():
-            if group[s] != last and held >= BLOCK:
-                yield from self.block(texts, doc, tag, start, size, copies)
-                texts, held = {}, 0
-            last = group[s]
-            text = raw[begin[s] : begin[s] + size[s] + self.depth - 1]
-            same = texts.setdefault(text, [])
-            held += 0 if same else len(text)
-            same.append(s)
-        if texts:
-            yield from self.block(texts, doc, tag, start, size, copies)
-
-    def block(self, texts: dict[bytes, list[int]], doc, tag, start, size, copies) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[tuple[int, int]]] = {}
+        size_held = 0
+        for one in np.split(kept, np.flatnonzero(np.diff(group[kept])) + 1):
+            texts: dict[bytes, list[tuple[int, int]]] = {}
+            for s in one.tolist():
+                texts.setdefault(raw[begin[s] : begin[s] + size[s] + self.depth - 1], []).append((s, 0))
+            total = sum(map(len, texts))
+            if total > BLOCK:
+                texts = self.trimmed(texts, copies)
+                total = sum(map(len, texts))
+            held |= texts  # texts of two anchors are never equal
+            size_held += total
+            if size_held >= BLOCK:
+                yield from self.block(held, doc, tag, start, copies)
+                held, size_held = {}, 0
+        if held:
+            yield from self.block(held, doc, tag, start, copies)
+
+    def trimmed(self, texts: dict[bytes, list[tuple[int, int]]], copies: np.ndarray) -> dict[bytes, list[tuple[int, int]]]:
+        """The texts of a large group without the windows whose hash occurs once: these occur once for certain, the
+        suffix array decides about the others. What documents have around a common passage falls away here."""
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin, windows = np.cumsum(lengths) - lengths, lengths - self.depth + 1
+        at = ragged(begin, windows).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), windows)
+        key = POWERS.ranges(POWERS.prefix(_BYTES[text]), at, at + self.depth)
+        weight = np.array([sum(int(copies[s]) for s, _ in m) for m in texts.values()], np.int64)
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        again = np.empty(len(key), bool)
+        again[order] = np.repeat(np.add.reduceat(weight[of[order]], heads) > 1, np.diff(np.append(heads, len(key))))
+        kept = np.flatnonzero(again)
+        if not len(kept):
+            return {}
+        firsts = np.flatnonzero(np.concatenate([[True], (np.diff(kept) != 1) | (np.diff(of[kept]) != 0)]))
+        counts = np.diff(np.append(firsts, len(kept)))
+        raw, members, out = text.tobytes(), list(texts.values()), {}
+        for a, n in zip(kept[firsts].tolist(), counts.tolist()):
+            i, place = int(of[a]), int(at[a])
+            out.setdefault(raw[place : place + n + self.depth - 1], []).extend((s, skip + place - int(begin[i])) for s, skip in members[i])
+        return out
+
+    def block(self, texts: dict[bytes, list[tuple[int, int]]], doc, tag, start, copies) -> Iterator[pa.RecordBatch]:
         """Spans of the segments whose windows occur more than once, counting equal segments."""
-        members = list(texts.values())
+        members = [np.array(m, np.int64) for m in texts.values()]
         text = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        weights = np.array([copies[m].sum() for m in members], np.int64)
+        weights = np.array([copies[m[:, 0]].sum() for m in members], np.int64)
         begin = np.cumsum(lengths) - lengths
         weight = np.zeros(len(text), np.int64)
         weight[ragged(begin, lengths - self.depth + 1)] = np.repeat(weights, lengths - self.depth + 1)
@@ -246,8 +275,8 @@ class Repeated:
         runs = np.diff(np.append(firsts, len(at))) + self.depth - 1
         of, place = of[firsts], at[firsts] - begin[of[firsts]]
         many = np.array([len(members[i]) for i in of])
-        who = np.concatenate([members[i] for i in of]).astype(np.int64)
-        yield spans(doc[who], tag[who], start[who] + np.repeat(place, many), np.repeat(runs, many))
+        who = np.concatenate([members[i] for i in of])
+        yield spans(doc[who[:, 0]], tag[who[:, 0]], start[who[:, 0]] + who[:, 1] + np.repeat(place, many), np.repeat(runs, many))
 
 
 def without_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +303,10 @@ def without_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeated_spans(docs: DataFrame, depth: int = 200, buckets: int | None = None) -> DataFrame:
     """(doc_id, tag, start, size): byte ranges whose every ``depth``-byte string starts at another place too."""
-    parts = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = text_bytes(docs)
+    parts = buckets or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     rows = tagged(docs)
-    hot = hot_keys(rows, Segments(depth, parts).sizes, SLICE, BLOCK, depth // 2)
+    hot = hot_keys(rows, Segments(depth, parts).sizes, SLICE, max(BLOCK, total // (4 * parts * SUB)), (32, 8, 1))
     sent = rows.mapInArrow(Segments(depth, parts * SUB, hot), "part int, bucket bigint, value binary")
     return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(Repeated(depth), SPANS)
 
@@ -286,8 +316,8 @@ def suffix_dedup(docs: DataFrame, depth: int = 200, buckets: int | None = None)
     also starts anywhere else, in the same text or another; overlapping places count, texts never join.
 
     Equal strings have the same least anchor (hash of 24 bytes), so the windows of one anchor meet in one
-    bucket, packed as segments of consecutive windows; those of a very common anchor travel each for itself,
-    dealt by a hash of their bytes. Anchors that occur once need no sorting. Over the
+    bucket, packed as segments of consecutive windows; those of a very common anchor travel in blocks, dealt by
+    a hash of the bytes that all windows of a block have. Anchors that occur once need no sorting. Over the
     distinct segments of the others a suffix array is built in two stages, and neighbours with ``depth``
     bytes in common are repeats; equal segments count by their number. A null text is empty; rows of
     one doc_id (also null) are texts of their own; equal rows are copies of each other. Only doc_id and

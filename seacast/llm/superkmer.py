@@ -14,9 +14,9 @@ from seacast.llm.blocks import NO_ID, POWERS, covered, mixed, pack, ragged, slid
 
 #: Windows of one super-k-mer at most; a longer run goes on in the next one.
 RUN = 64
-#: Bytes of text that a task holds at once, and buckets that a task sorts one after the other.
-SLICE, SUB = 4 << 20, 2
-#: Windows in distinct runs of one minimiser above which each goes by its own words; one in so many documents is counted, longer texts always.
+#: Bytes of text that a task holds at once, buckets that a task sorts one after the other, and bytes of text for these.
+SLICE, SUB, TASK = 4 << 20, 2, 128 << 20
+#: Windows in distinct runs of one minimiser above which they go in blocks; one in so many documents is counted, longer texts always.
 HOT, SAMPLE, LONG = 1 << 15, 8, 1 << 16
 SPANS = "doc_id bigint, tag int, start int, size int"
 
@@ -38,23 +38,48 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
 
 
 class Hot:
-    """Common keys and into how many parts the windows of each are dealt, by a hash of the whole window."""
+    """Common keys and how many consecutive windows of each travel together."""
 
     def __init__(self, found: dict[int, int] | None = None):
         names = sorted(found or {})
-        self.names, self.parts = np.array(names, np.uint64), np.array([found[k] for k in names], np.uint64)
+        self.names, self.widths = np.array(names, np.uint64), np.array([found[k] for k in names], np.int64)
 
-    def dealt(self, prefix: np.ndarray, window: int, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, windows, key, ...) with the runs of common keys cut into windows; equal windows have equal keys."""
-        if not len(self.names) or not len(starts):
-            return starts, sizes, keys, *more
+    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the names, whether it is there) of each key."""
         at = np.minimum(np.searchsorted(self.names, keys), len(self.names) - 1)
-        hot = self.names[at] == keys
-        times = np.where(hot, sizes, 1)
-        begin, of = ragged(starts, times).astype(np.int64), np.repeat(np.arange(len(starts)), times)
-        part = mixed(POWERS.ranges(prefix, begin, begin + window)) % self.parts[at[of]]
-        keys = np.where(hot[of], mixed(keys[of] ^ mixed(part + np.uint64(1))), keys[of])
-        return begin, np.where(hot, 1, sizes)[of], keys, *(x[of] for x in more)
+        return at, self.names[at] == keys
+
+    def dealt(self, prefix: np.ndarray, window: int, grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, inner: np.ndarray | None = None):
+        """(start, windows, key, inner) of the runs, in the order of starts, those of common keys cut into blocks.
+
+        A block has the windows whose key (the first place where its gram occurs in the window) lies in the same
+        place, but for ``width`` steps. All of them hold the same core, and equal windows lie in blocks
+        with equal cores, so a block goes by its key and the hash of its core. No window occurs twice in a block.
+        """
+        if not len(self.names) or not len(starts):
+            return starts, sizes, keys, inner
+        at, hot = self.at(keys)
+        if not hot.any():
+            return starts, sizes, keys, inner
+        runs = np.flatnonzero(hot)
+        begin, of = ragged(starts[runs], sizes[runs]).astype(np.int64), np.repeat(runs, sizes[runs])
+        key, width = keys[of], self.widths[at[of]]
+        places = np.flatnonzero(self.at(grams)[1])
+        next_one = np.searchsorted(places, begin)
+        while (wrong := grams[places[next_one]] != key).any():
+            next_one[wrong] += 1
+        place = places[next_one]
+        block = (place - begin) // width
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(place) != 0) | (np.diff(block) != 0)]))
+        counts = np.diff(np.append(heads, len(begin)))
+        core = place[heads] - block[heads] * width[heads]
+        named = POWERS.ranges(prefix, core, core - width[heads] + 1 + window)
+        named = mixed(key[heads] ^ mixed(named + block[heads].astype(np.uint64)))
+        starts, sizes, keys = np.concatenate([starts[~hot], begin[heads]]), np.concatenate([sizes[~hot], counts]), np.concatenate([keys[~hot], named])
+        order = np.argsort(starts, kind="stable")
+        if inner is not None:
+            inner = np.concatenate([inner[~hot], np.zeros(len(heads), bool)])[order]
+        return starts[order], sizes[order], keys[order], inner
 
 
 class KeySizes:
@@ -71,17 +96,22 @@ class KeySizes:
             yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), pa.array(run[one].view(np.int64)), pa.array(sizes, pa.int64())], ["key", "run", "n"])
 
 
-def hot_keys(rows: DataFrame, runs, limit: int, most: int, spread: int) -> Hot:
+def hot_keys(rows: DataFrame, runs, limit: int, most: int, widths: tuple[int, ...]) -> Hot:
     """The keys whose distinct runs have a size of more than ``most``, as estimated from one in ``SAMPLE`` documents and all long ones.
 
-    They decide only where windows meet, never which are counted. ``spread`` is how much larger runs get when they are
-    cut into windows. There are at most (size of the table / ``most``) of them.
+    They decide only where windows meet, never which are counted. Up to 64 times ``most`` a key's windows go in blocks
+    of the first of ``widths``, up to 64 times more in blocks of the second and so on. There are at most (size of the
+    table / ``most``) keys; callers let ``most`` grow with the size of the table per bucket, so that is a few a bucket.
     """
     long = F.coalesce(F.octet_length("text") > LONG, F.lit(False))
     sample = rows.where(long | (F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLE)) == 0)).withColumn("share", F.when(long, 1).otherwise(SAMPLE).cast("long"))
     found = sample.mapInArrow(KeySizes(runs, limit), "key bigint, run bigint, n bigint").groupBy("key", "run").agg(F.min("n").alias("n"))
     sums = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    return Hot({r.key % (1 << 64): -(-r.n * spread // most) for r in sums.collect()})
+    return Hot({r.key % (1 << 64): next((w for k, w in enumerate(widths) if r.n <= most * 64 ** (k + 1)), widths[-1]) for r in sums.collect()})
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 class SuperKmers:
@@ -94,18 +124,18 @@ class SuperKmers:
         """(row, minimiser, hash of the words, windows) of each run."""
         flat, offsets = word_lists(texts)
         hashes = word_hashes(flat)
-        starts, sizes, lows = self.runs(hashes, offsets)
+        starts, sizes, lows, _ = self.runs(hashes, offsets)
         run = POWERS.ranges(POWERS.prefix(hashes), starts, starts + sizes + self.window - 1) if len(starts) else lows
         return np.searchsorted(offsets, starts, side="right") - 1, lows, run, sizes
 
-    def runs(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, windows, minimiser) of each run of windows of one document that share a minimiser."""
+    def runs(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, windows, minimiser) of each run of windows of one document that share a minimiser, and the hashes of all grams."""
         w, m = self.window, self.minimiser
         n = len(hashes) - w + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        grams = sum(hashes[i : len(hashes) - m + 1 + i] * np.uint64(2 * i + 3) ** np.uint64(9) for i in range(m))
-        lows = sliding_min(mixed(grams), w - m + 1)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        grams = mixed(sum(hashes[i : len(hashes) - m + 1 + i] * np.uint64(2 * i + 3) ** np.uint64(9) for i in range(m)))
+        lows = sliding_min(grams, w - m + 1)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         valid = doc[:n] == doc[w - 1 :]
         fresh = valid.copy()
@@ -113,7 +143,7 @@ class SuperKmers:
         place = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         starts = np.flatnonzero(valid & (place % RUN == 0))
         sizes = np.add.reduceat(valid, starts, dtype=np.int64) if len(starts) else starts
-        return starts, sizes, lows[starts]
+        return starts, sizes, lows[starts], grams
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, SLICE):
@@ -122,7 +152,8 @@ class SuperKmers:
             table, ids = table.take(order), ids[order]
             flat, offsets = word_lists(table["text"])
             hashes = word_hashes(flat)
-            starts, sizes, lows = self.hot.dealt(POWERS.prefix(hashes), self.window, *self.runs(hashes, offsets))
+            starts, sizes, lows, grams = self.runs(hashes, offsets)
+            starts, sizes, lows, _ = self.hot.dealt(POWERS.prefix(hashes), self.window, grams, starts, sizes, lows)
             lengths = sizes + self.window - 1 if len(sizes) else sizes
             row = np.searchsorted(offsets, starts, side="right") - 1
             tags = table["tag"].to_numpy()
@@ -273,9 +304,11 @@ def joined(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def window_spans(docs: DataFrame, window: int = 13, minimiser: int = 3, buckets: int | None = None) -> DataFrame:
     """(doc_id, tag, start, size): word ranges whose every window also starts in a document with a smaller doc_id."""
-    parts = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = text_bytes(docs)
+    parts = buckets or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     rows = tagged(docs)
-    hot = hot_keys(rows, SuperKmers(window, minimiser, parts).sizes, SLICE, HOT, 4)
+    # A word takes some eight bytes; more than a quarter of a bucket's windows is too much for one key.
+    hot = hot_keys(rows, SuperKmers(window, minimiser, parts).sizes, SLICE, max(HOT, total // (32 * parts * SUB)), (4, 1))
     sent = rows.mapInArrow(SuperKmers(window, minimiser, parts * SUB, hot), "part int, bucket bigint, value binary")
     return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(Counted(window), SPANS)
 
@@ -286,7 +319,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, minimiser: int = 3, bucke
 
     Consecutive windows with one minimiser (the least hash of ``minimiser`` words) travel as one packed
     string; a bucket sorts all windows of its minimisers and compares their words. The windows of a very
-    common minimiser travel each for itself, dealt by a hash of their words. Equal strings of a
+    common minimiser travel in blocks, dealt by a hash of the words that all of a block have. Equal strings of a
     slice travel once, from the slice's smallest document. A null text has no words; a null doc_id comes
     after all ids and rows with null ids do not count against each other; rows of one doc_id do not
     either. Only doc_id and text are read, so other columns cannot clash.

@@ -25,7 +25,7 @@ from seacast.session import scratch_path, stored
 #: bits before each block of 512).
 MAGIC, BLOCK, CHUNK = b"DAC1", 512, 8
 #: Ids of a file (a longer document has a file of its own), and bytes of text encoded at once.
-FILE_IDS, SLICE = 4 << 20, 16 << 20
+FILE_IDS, SLICE = 1 << 20, 8 << 20
 
 
 def encode(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> bytes:
@@ -176,4 +176,4 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     if files is None:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return named.join(F.broadcast(bases), "file").select("content", "base").mapInArrow(read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return named.join(bases, "file").select("content", "base").mapInArrow(read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

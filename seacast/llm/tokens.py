@@ -17,6 +17,8 @@ _EDGE, _CUT = "([^ \t\n\v\f\r])([ \t\n\v\f\r])", "\\1\x00\\2"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGN = "([" + _LETTER + "])([.,!?;:|#*$%&<>()])"
 _SPECIAL = "<[|](start|end)oftext[|]>"
+#: Characters that the library encodes in one call.
+HELD = 1 << 18
 
 
 class Encoder:
@@ -32,10 +34,16 @@ class Encoder:
         self.path, self.spaces, self.tokenizer = path, spaces, None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of the texts, each encoded whole."""
-        lists = [e.ids for e in self.loaded().encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes)
+        """(ids, ends) of the texts, each encoded whole; the library's encodings of at most ``HELD`` characters (or one text) are there at once."""
+        ids, sizes, first, held = [np.zeros(0, np.uint32)], [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= HELD or i + 1 == len(texts):
+                for e in self.loaded().encode_batch_fast(texts[first : i + 1], add_special_tokens=False):
+                    ids.append(np.array(e.ids, np.uint32))
+                    sizes.append(len(ids[-1]))
+                first, held = i + 1, 0
+        return np.concatenate(ids), np.cumsum(np.array(sizes, np.int64))
 
     def loaded(self):
         if self.tokenizer is None:
