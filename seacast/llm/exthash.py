@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seacast.llm.common import SPACE, without
 from seacast.session import stored
 
-#: Distinct keys that a bucket holds before it splits.
-CAPACITY = 1_000_000
+#: Distinct hashes that a bucket holds before it splits.
+CAPACITY = 4_096
 
 
 def normalised(text: Column) -> Column:
@@ -42,49 +42,71 @@ def cell(h: Column, depth: Column) -> Column:
     return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", h, (F.lit(64) - depth).cast("int")))
 
 
-def build_index(docs: DataFrame, text: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
-    """The index: one entry per distinct normalised text, written to the shared folder.
+def cells_of(buckets: DataFrame) -> tuple[DataFrame, int]:
+    """((cell, prefix, depth), bits): the directory itself, one entry for each value of the first ``bits`` bits of a hash.
+
+    A bucket of a smaller depth has several entries, as after doublings that did not concern it.
+    """
+    bits = buckets.agg(F.max("depth")).first()[0] or 0
+    wide = F.expr(f"shiftleft(1L, {bits} - depth)")
+    first = F.expr(f"shiftleft(prefix, {bits} - depth)")
+    return buckets.select(F.explode(F.sequence(first, first + wide - 1)).alias("cell"), "prefix", "depth"), bits
+
+
+def looked_up(rows: DataFrame, cells: DataFrame, bits: int, h: str = "h") -> DataFrame:
+    """``rows`` with prefix and depth of the bucket that the directory names for their hash."""
+    named = rows.withColumn("_cell", cell(F.col(h), F.lit(bits)))
+    return named.join(cells.withColumnRenamed("cell", "_at"), F.col("_cell") == F.col("_at")).drop("_cell", "_at")
+
+
+def build_index(docs: DataFrame, text: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """(index, cells, bits): one entry per distinct normalised text, written to the shared folder, and the directory.
 
     Columns: prefix and depth of its bucket, h, chain_no and chain_len among the entries of one hash,
-    keep_id, group_size, text_sha256. Grouping by (hash, text) compares whole texts byte by byte, after
-    a map-side pass, so a hot text reaches the shuffle once per task. Entries then go to owners by
-    ranges of (bucket, hash); an owner chains different texts that share a hash.
+    norm (null where the chain has one entry), keep_id, group_size, text_sha256. The owner of a hash sees its least and
+    greatest text, after a map-side pass that leaves one row per task of a hot text: where these
+    are the same bytes, all are, and the hash has one entry; otherwise its texts are told apart by their bytes and
+    chained. Buckets split by doubling the directory until none holds more than ``capacity`` hashes; entries are
+    written by the owners of ranges of (bucket, hash).
     """
     texts = docs.select(F.col("doc_id"), normalised(F.col(text)).alias("norm")).select("doc_id", "norm", hash_of("norm").alias("h"))
-    entries = stored(
-        texts.groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "entries",
-    )
-    buckets = stored(directory(entries.select("h").distinct(), capacity), "directory")
-    depths = [r.depth for r in buckets.select("depth").distinct().collect()]
-    candidates = F.explode(F.array(*[F.lit(d) for d in sorted(depths)] or [F.lit(0)])).alias("depth")
-    placed = (
-        entries.select("*", candidates).withColumn("prefix", cell(F.col("h"), F.col("depth")))
-        .join(buckets, ["prefix", "depth"])
-    )
-    owners = placed.repartitionByRange("prefix", "depth", "h")
+    ends = texts.groupBy("h").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    slots = stored(ends.select("h", (F.col("low") == F.col("high")).alias("alone"), F.sha2("low", 256).alias("text_sha256"), "keep_id", "group_size"), "slots")
+    entries = slots.where("alone").select("h", F.lit(None).cast("string").alias("norm"), "text_sha256", "keep_id", "group_size")
+    shared = slots.where("NOT alone").select("h")
+    if not shared.isEmpty():
+        chained = texts.join(shared, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        entries = entries.unionByName(chained.withColumn("text_sha256", F.sha2("norm", 256)))
+    cells, bits = cells_of(stored(directory(slots.select("h"), capacity), "directory"))
+    cells = stored(cells, "cells")
+    owners = looked_up(entries, cells, bits).repartitionByRange("prefix", "depth", "h")
     chain = Window.partitionBy("prefix", "depth", "h")
-    return stored(
-        owners.withColumn("chain_no", F.row_number().over(chain.orderBy("text_sha256")))
+    index = stored(
+        owners.withColumn("chain_no", F.row_number().over(chain.orderBy("norm")))
         .withColumn("chain_len", F.count(F.lit(1)).over(chain)), "index",
     )
+    return index, cells, bits
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", hash_of=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256; these replace columns of the same name.
 
-    Texts are equal when identical after white space runs become one space; null counts as empty. The
-    row with the smallest doc_id stays (nulls count as larger than any id); of several rows with that
-    id one stays. A hash with one entry in the index has one text, so its rows need no further
-    comparison; rows of a longer chain find their entry by digest.
+    Texts are equal when identical after white space runs become one space; null counts as empty; a very long text is
+    compared whole. The row with the smallest doc_id stays (nulls count as larger than any id); of several rows with that
+    id one stays. A row finds its bucket in the directory and its entry in the bucket by its hash; where that has a
+    chain, by the bytes of its text.
     """
-    index = build_index(docs, text, hash_of, capacity).select(
-        F.col("h").alias("_h"), F.col("text_sha256").alias("_sha"), "chain_len", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"),
+    index, cells, bits = build_index(docs, text, hash_of, capacity)
+    index = index.select(
+        F.col("prefix").alias("_p2"), F.col("depth").alias("_d2"), F.col("h").alias("_h"), F.col("norm").alias("_text"),
+        F.col("text_sha256").alias("_sha"), "chain_len", F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"),
     )
-    out = ("keep_id", "group_size", "kept", "text_sha256", "_norm", "_h2", "_sha2")
-    keyed = docs.select(*without(docs, *out), normalised(F.col(text)).alias("_norm"))
-    keyed = keyed.withColumns({"_h2": hash_of("_norm"), "_sha2": F.sha2("_norm", 256)}).drop("_norm")
-    found = keyed.join(index, (F.col("_h2") == F.col("_h")) & ((F.col("chain_len") == 1) | (F.col("_sha2") == F.col("_sha"))))
+    cells = cells.select("cell", F.col("prefix").alias("_p"), F.col("depth").alias("_d"))
+    out = ("keep_id", "group_size", "kept", "text_sha256", "_norm", "_h2", "_cell", "_at", "_p", "_d")
+    keyed = docs.select(*without(docs, *out), normalised(F.col(text)).alias("_norm")).withColumn("_h2", hash_of("_norm"))
+    placed = looked_up(keyed, cells, bits, "_h2")
+    there = (F.col("_p") == F.col("_p2")) & (F.col("_d") == F.col("_d2")) & (F.col("_h2") == F.col("_h"))
+    found = placed.join(index, there & ((F.col("chain_len") == 1) | (F.col("_norm") == F.col("_text"))))
     first = F.col("doc_id").eqNullSafe(F.col("_keep"))
     return found.select(
         *without(docs, *out), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), first.alias("kept"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seacast.llm.common import prefix_sums, without, words
+from seacast.llm.common import prefix_sums, words
 from seacast.session import stored
 
 #: Weights of the sources in code point order (null last), repeated.
@@ -36,40 +36,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.select("source_no", "source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, seed: int = 11, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes.
 
     Within a source, documents are ordered by a hash of (seed, doc_id). The mix takes the source's whole
     epochs and then documents in that order up to the exact budget, floor(target); the document at the
     cut gives its first words. A null text has size 0; a null source is a source of its own; a null
-    doc_id sorts by the hash of the empty string; repeated rows count as documents of their own.
+    doc_id sorts by the hash of the empty string; repeated rows count as documents of their own. A very long text
+    counts whole. ``row`` names a unique column that orders rows which are otherwise equal; it is kept.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sizes = docs.select("doc_id", "source", F.size(words()).cast("long").alias("size"), key.alias("_key"))
+    more = [row] if row else []
+    sizes = docs.select("doc_id", "source", F.size(words()).cast("long").alias("size"), key.alias("_key"), *more)
     sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, weights, share, limit)
     numbered = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = prefix_sums(numbered, ["source_no"], ["_key", "doc_id", "size"], "size", "_before")
+    placed = prefix_sums(numbered, ["source_no"], ["_key", "doc_id", "size", *more], "size", "_before")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(rest - F.col("_before"), F.col("size")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    return placed.select(*more, "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once per epoch, the one at the cut with its first words
     joined by one space. Documents without words, and rows the budget leaves out, are not part of it.
+
+    The rows are written once with a number, so that each takes what the mix gives to it, also where several have
+    the same id, source and size. A column named like the number is kept.
     """
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    # rows that share (doc_id, source, size) are interchangeable: each takes their mean
-    shares = plan.where(F.col("_taken") > 0).groupBy("_id", "_src", "_size").agg(F.sum("_taken").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    sized = docs.withColumn("_n", F.size(words()).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
-    taken = F.floor(F.col("_sum") / F.col("_rows"))
-    whole = F.floor(taken / F.col("_n"))
-    cut = taken - whole * F.col("_n")
+    number = next(n for n in (f"_row{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    plan = mix(rows.select(number, "doc_id", "source", "text"), row=number, **options).where("taken > 0")
+    plan = plan.select(F.col(number).alias("_at"), F.col("size").alias("_n"), F.col("taken").alias("_taken"))
+    whole = F.floor(F.col("_taken") / F.col("_n"))
+    cut = F.col("_taken") - whole * F.col("_n")
     copies = F.sequence(F.lit(1), (whole + F.when(cut > 0, 1).otherwise(0)).cast("int"))
-    spread = sized.join(shares, same).select(*without(docs), F.col("_n"), whole.alias("_whole"), cut.alias("_cut"), F.explode(copies).alias("_copy"))
-    short = F.array_join(F.slice(words(), 1, F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
-    text = F.when(F.col("_copy") > F.col("_whole"), short).otherwise(F.col("text")).alias("text")
-    return spread.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    plan = plan.select("_at", whole.alias("_whole"), cut.alias("_cut"), copies.alias("_copies"))
+    kept = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(number).alias("_number"))
+    spread = kept.join(plan, F.col("_number") == F.col("_at")).select("_doc", "_whole", "_cut", F.explode("_copies").alias("_copy"))
+    short = F.array_join(F.slice(words(F.col("_doc")["text"]), 1, F.greatest(F.col("_cut"), F.lit(1)).cast("int")), " ")
+    text = F.when(F.col("_copy") > F.col("_whole"), short).otherwise(F.col("_doc")["text"]).alias("text")
+    return spread.select(*[text if c == "text" else F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -180,8 +180,9 @@ class Neighbours:
 
 
 def overlaps(rows: np.ndarray, found: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """Shingles that each text of ``left`` has in common with each of ``right``, repeats counted, in any order.
+    """Shingles that each text of ``left`` has in common with each other text of ``right``, repeats counted, in any order.
 
+    A shingle that one text alone has is left out, so the cell of a text and itself lacks those; nothing asks for it.
     ``found`` are the shingles of ``size`` texts, ``rows`` says whose. Shingles that the same texts have are one weighted column.
     """
     order = np.lexsort((found, rows))

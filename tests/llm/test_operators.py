@@ -114,6 +114,49 @@ def test_directory_buckets_split_and_cover(spark):
     assert max(held.values()) <= 100 and len(held) == len(buckets)
 
 
+def test_index_has_split_buckets_and_chains_by_bytes(spark):
+    rows = [(i, f"text {i % 700}") for i in range(1500)] + [(5000 + i, "copy") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    few = lambda c: F.pmod(F.xxhash64(c), F.lit(90)) * F.lit(2**56) - F.lit(2**62)
+    for hash_of in (F.xxhash64, lambda c: few(c).cast("long")):
+        index, cells, bits = exthash.build_index(docs, hash_of=hash_of, capacity=16)
+        table = index.collect()
+        assert len(table) == 701 and sum(r.group_size for r in table) == len(rows)
+        numbers = [r.cell for r in cells.collect()]  # a part of the range without hashes has no bucket
+        assert bits > 1 and len(set(numbers)) == len(numbers) and max(numbers) < 2**bits and len({(r.prefix, r.depth) for r in table}) > 4
+        assert all(r.prefix == ((r.h % (1 << 64)) >> (64 - r.depth) if r.depth else 0) for r in table)
+        chains = defaultdict(list)
+        for r in table:
+            chains[r.h].append(r)
+        assert all(sorted(r.chain_no for r in c) == list(range(1, len(c) + 1)) and {r.chain_len for r in c} == {len(c)} for c in chains.values())
+        assert all((r.norm is None) == (r.chain_len == 1) for r in table)
+        got = exthash.exact_dedup(docs, hash_of=hash_of, capacity=16).groupBy("text").agg(F.min("keep_id"), F.max("group_size"), F.sum(F.col("kept").cast("int"))).collect()
+        first = {}
+        for d, t in rows:
+            first.setdefault(t, []).append(d)
+        assert sorted(map(tuple, got)) == sorted((t, d[0], len(d), 1) for t, d in first.items())
+
+
+def test_mixed_documents_give_each_row_its_own_share(spark):
+    rows = [(1, f"w{i} x y", "a", i) for i in range(3)] + [(None, "p q", "a", 7)] * 4 + [(None, None, None, 8), (2, "", "b", 9), (3, "one two three four " * 5000, "b", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _row0 int").repartition(3)
+    for weights in ((5, 2, 1), (1, 50), (50, 1)):
+        plan = mixing.mix(docs, weights=weights)
+        mixed = mixing.mixed_documents(docs, weights=weights)
+        assert mixed.columns == docs.columns
+        made = Counter()
+        for r in mixed.collect():
+            made[r.doc_id, r.source] += len(brute.words(r.text))
+        want = Counter()
+        for r in plan.collect():
+            want[r.doc_id, r.source] += r.taken
+        assert made == +want
+        by_source = Counter()
+        for (_, source), n in made.items():
+            by_source[source] += n
+        assert all(by_source[r.source] == int(r.target) for r in plan.collect() if r.source_size)
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(5)
     for n, letters, depth in [(1, 2, 8), (2, 1, 8), (400, 1, 200), (500, 2, 20), (3000, 3, 200), (2000, 256, 9)]:
@@ -167,14 +210,19 @@ def test_hot_anchor_is_dealt_over_buckets(spark, monkeypatch):
     rows = passages(600, 40, 25)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "tag": pa.array([0] * len(rows), pa.int32())})
-    made = suffixdup.Segments(200, 64, suffixdup.hot_keys(suffixdup.tagged(docs), suffixdup.Segments(200, 64).sizes, suffixdup.SLICE, suffixdup.BLOCK, 100))
-    held = defaultdict(int)
-    for batch in made(table.to_batches()):
-        for value in batch.column("value"):
-            parts = suffixdup.unpack(value.as_buffer())
-            for anchor, size in zip(np.frombuffer(parts[4], np.uint32).tolist(), np.frombuffer(parts[3], np.int32).tolist()):
-                held[anchor] += size + 199
-    assert max(held.values()) <= 2 * suffixdup.BLOCK
+    most = {}
+    for widths in ((10**6,), (32,), (8,), (1,)):
+        made = suffixdup.Segments(200, 64, suffixdup.hot_keys(suffixdup.tagged(docs), suffixdup.Segments(200, 64).sizes, suffixdup.SLICE, suffixdup.BLOCK, widths))
+        held, windows = defaultdict(int), 0
+        for batch in made(table.to_batches()):
+            for value in batch.column("value"):
+                parts = suffixdup.unpack(value.as_buffer())
+                for anchor, size in zip(np.frombuffer(parts[4], np.uint32).tolist(), np.frombuffer(parts[3], np.int32).tolist()):
+                    held[anchor] += size
+                    windows += size
+        most[widths[0]] = max(held.values()) / windows  # the largest share of the windows that goes by one key
+    assert most[1] <= most[8] < most[32] < most[10**6] / 3 and most[1] < 0.01
+    assert suffixdup.repeated_spans(docs).count() <= 4 * len(rows)  # runs stay together
     got = multiset(suffixdup.suffix_dedup(docs).withColumn("sha", F.sha2("kept_bytes", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.repeated_bytes(rows))), key=repr)
 
@@ -184,7 +232,7 @@ def test_hot_minimiser_is_dealt_over_buckets(spark, monkeypatch):
     rows = passages(600, 20, 15)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "tag": pa.array([0] * len(rows), pa.int32())})
-    made = superkmer.SuperKmers(13, 3, 64, superkmer.hot_keys(superkmer.tagged(docs), superkmer.SuperKmers(13, 3, 64).sizes, superkmer.SLICE, superkmer.HOT, 4))
+    made = superkmer.SuperKmers(13, 3, 64, superkmer.hot_keys(superkmer.tagged(docs), superkmer.SuperKmers(13, 3, 64).sizes, superkmer.SLICE, superkmer.HOT, (1,)))
     held = [int(np.frombuffer(superkmer.unpack(v.as_buffer())[3], np.uint8).sum()) for b in made(table.to_batches()) for v in b.column("value")]
     assert max(held) <= 3 * sum(held) / 64
     got = multiset(superkmer.substring_dedup(docs).withColumn("sha", F.sha2("kept_text", 256)), "doc_id", "n_words", "n_removed", "sha")
@@ -326,7 +374,8 @@ def test_near_duplicates_of_one_large_group_around_the_threshold(spark, monkeypa
 def test_common_shingles_are_counted_with_repeats():
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint32) for _ in range(12)]
-    rows, left, right = np.repeat(np.arange(12), [len(x) for x in texts]), np.arange(5), np.arange(3, 12)
+    # Different texts only: shingles that one text alone has do not count for it.
+    rows, left, right = np.repeat(np.arange(12), [len(x) for x in texts]), np.arange(5), np.arange(5, 12)
     got = ordermin.overlaps(rows, np.concatenate(texts), left, right, 12)
     assert got.tolist() == [[sum((Counter(texts[a].tolist()) & Counter(texts[b].tolist())).values()) for b in right] for a in left]
 
