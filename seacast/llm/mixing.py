@@ -69,7 +69,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     plan = mix(rows.select(number, "doc_id", "source", "text"), row=number, **options).where("taken > 0")
     plan = plan.select(F.col(number).alias("_at"), F.col("size").alias("_n"), F.col("taken").alias("_taken"))
-    whole = F.floor(F.col("_taken") / F.col("_n"))
+    whole = F.floor(F.col("_taken") / F.greatest("_n", F.lit(1)))  # what is taken has words; a pushed-down filter may not know that
     cut = F.col("_taken") - whole * F.col("_n")
     copies = F.sequence(F.lit(1), (whole + F.when(cut > 0, 1).otherwise(0)).cast("int"))
     plan = plan.select("_at", whole.alias("_whole"), cut.alias("_cut"), copies.alias("_copies"))
