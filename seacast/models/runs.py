@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+import os
+import uuid
+
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seacast.models.metrics import SCORES
 from seacast.schemas import MODEL_RUNS
@@ -40,6 +45,94 @@ def promote(runs: DataFrame, version: str) -> DataFrame:
     return runs.withColumn("active", (F.col("version") == version) & (F.col("run_at") == F.lit(newest)))
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+class RunLog:
+    """A run table in a folder: records as Parquet, and a log with one numbered entry for each change.
+
+    An entry is created only if its number is free, so of two writers that saw the same state one wins. Readers
+    take the records that entries name, so a record without its entry is not there, and the last promoted run is
+    the only active one. Entries are one small file for each run or promotion.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def entries(self) -> list[dict]:
+        """The changes so far, in order."""
+        fs, root = FileSystem.from_uri(self.path if ":" in self.path else os.path.abspath(self.path))
+        if fs.get_file_info(f"{root}/log").type != FileType.Directory:
+            return []
+        names = sorted(i.path for i in fs.get_file_info(FileSelector(f"{root}/log")) if i.path.endswith(".json"))
+        return [json.loads(fs.open_input_stream(name).read()) for name in names]
+
+    def commit(self, entry: dict, number: int) -> None:
+        """Adds an entry as the one with this number; a number that is taken is a conflict."""
+        name = f"{self.path}/log/{number:012d}.json"
+        if not create_if_absent(self.spark, name, json.dumps(entry)):
+            raise Conflict(f"change {number} of {self.path} was made by another writer")
+
+    def append(self, record: DataFrame, tries: int = 20) -> str:
+        """Adds the record of a run; returns the run's id. Appends never conflict with each other, so a taken number is tried again."""
+        run = uuid.uuid4().hex
+        record.write.parquet(f"{self.path}/runs/{run}")
+        for _ in range(tries):
+            try:
+                self.commit({"add": run}, len(self.entries()))
+                return run
+            except Conflict:
+                continue
+        raise Conflict(f"{tries} tries to append to {self.path} failed")
+
+    def promote(self, run: str, seen: int | None = None) -> None:
+        """Makes a run the only active one, if the log still has the ``seen`` entries (default: those of now)."""
+        entries = self.entries()
+        if run not in {e.get("add") for e in entries}:
+            raise ValueError(f"no run {run!r}")
+        self.commit({"promote": run}, len(entries) if seen is None else seen)
+
+    def table(self) -> DataFrame:
+        """All committed runs with their ids; ``active`` is true for the one promoted last."""
+        entries = self.entries()
+        runs, active = [e["add"] for e in entries if "add" in e], next((e["promote"] for e in reversed(entries) if "promote" in e), None)
+        if not runs:
+            return self.spark.createDataFrame([], MODEL_RUNS).withColumn("run", F.lit(""))
+        read = self.spark.read.schema(MODEL_RUNS).parquet(*[f"{self.path}/runs/{r}" for r in runs])
+        run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return read.withColumn("run", run).withColumn("active", F.col("run") == F.lit(active) if active else F.lit(False))
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless it exists; of several writers one succeeds."""
+    if ":" not in path or path.startswith("file:"):
+        local = path.removeprefix("file:").replace("///", "/")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        whole = f"{local}.{uuid.uuid4().hex}"
+        with open(whole, "w") as out:
+            out.write(text)
+        try:
+            os.link(whole, local)  # the name appears with its content, or the link fails
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(whole)
+        return True
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(target, False)
+    except Exception as error:
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def leader_board(runs: DataFrame, by: str = "accuracy") -> DataFrame:
     return runs.orderBy(F.desc(by), "version")
 

@@ -1,14 +1,13 @@
-"""MLlib training, scoring, search and k-nearest-neighbour vote."""
+"""MLlib training, scoring and search."""
 
 from __future__ import annotations
 
 import itertools
 import random
 from collections.abc import Mapping, Sequence
-from typing import Any
+from multiprocessing.pool import ThreadPool
+from typing import Any, NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -17,15 +16,16 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seacast.functions.direction import lookup, weather_ratios
+from seacast.models.kernel import RandomFourier
 from seacast.models.metrics import binary_metrics, class_report, confusion_matrix, regression_metrics
+from seacast.models.neighbours import knn_vote
 from seacast.operators.encode import fit_vocabulary
-from seacast.operators.quantiles import clean_double, order_statistics
 from seacast.operators.split import balanced_weights, split_stratified, stratified_folds
 from seacast.schemas import MEASURES
 from seacast.session import stored
@@ -59,10 +59,18 @@ def classifiers(label: str, seed: int = 42) -> dict[str, Any]:
         "logistic": LogisticRegression(labelCol=label, maxIter=100),
         "forest": forest(label, seed=seed),
         "tree": DecisionTreeClassifier(labelCol=label, maxDepth=10, seed=seed),
-        "svm": LinearSVC(labelCol=label, maxIter=50),
+        "svm": rbf_svm(label, seed=seed),
     }
 
 
+def rbf_svm(label: str, features: str = "features", size: int = 256, width: int = len(WEATHER_FEATURES), seed: int = 42) -> Pipeline:
+    """Support vector machine with a radial basis kernel: standardised features, their random Fourier features (gamma is
+    1 / width, as the features have variance 1), and a linear machine on them."""
+    scaled = StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
+    wide = RandomFourier(inputCol="_scaled", outputCol="_fourier", gamma=1.0 / width, size=size, seed=seed)
+    return Pipeline(stages=[scaled, wide, LinearSVC(labelCol=label, featuresCol="_fourier", maxIter=50, standardization=False)])
+
+
 def with_ratios(df: DataFrame) -> DataFrame:
     """Adds the derived weather features that are not there yet."""
     return df.withColumns({k: v for k, v in weather_ratios().items() if k not in df.columns})
@@ -159,27 +167,102 @@ def logistic_params(c: float, penalty: str, n: int) -> dict[str, Any]:
 
 
 def param_maps(estimator, grid: Mapping[str, Sequence[Any]], draws: int | None = None, seed: int = 42):
-    """All combinations of a grid, or a seeded sample of ``draws`` of them."""
-    names = sorted(grid)
-    combos = list(itertools.product(*[grid[n] for n in names]))
-    if draws is not None and draws < len(combos):
-        combos = random.Random(seed).sample(combos, draws)
-    return [{estimator.getParam(n): v for n, v in zip(names, combo)} for combo in combos]
+    """All combinations of a grid as MLlib's parameters, or a seeded sample of ``draws`` of them."""
+    return [{estimator.getParam(n): v for n, v in chosen.items()} for chosen in combinations_of(grid, draws, seed)]
+
+
+class Searched(NamedTuple):
+    """What a search gives, named as the fitted validator's parts."""
+
+    maps: list[dict]
+    avgMetrics: list[float]
+    bestModel: Any
+
+    def getEstimatorParamMaps(self) -> list[dict]:
+        return self.maps
 
 
 def search(train: DataFrame, features: Sequence[str], estimator, grid, label: str, keys: Sequence[str],
            scoring: str = "accuracy", folds: int = 5, draws: int | None = None, seed: int = 42, parallelism: int = 4, more: Sequence[str] = ()):
-    """Cross-validated search; ``draws`` makes it a random search. Returns the fitted CrossValidatorModel.
+    """Cross-validated search; ``draws`` makes it a random search.
 
-    ``more`` are columns that the estimator reads besides, such as weights.
+    ``more`` are columns that the estimator reads besides. A grid with ``class_weight`` (None or 'balanced') sets
+    weights from the classes of each fold's training rows, so no fold's test rows take part in them. The folds are written once; the fits of
+    a fold run ``parallelism`` at a time. The best set (the first of equal ones) is fitted to all rows.
     """
     rows = stored(train.select(*keys, *features, label, *more), "search")
     vectors = assembler(features).transform(stratified_folds(rows, label, keys, folds, seed))
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=param_maps(estimator, grid, draws, seed),
-        evaluator=scorer(label, scoring), numFolds=folds, foldCol="fold", parallelism=parallelism,
-    )
-    return validator.fit(vectors)
+    if "class_weight" not in grid:
+        validator = CrossValidator(
+            estimator=estimator, estimatorParamMaps=param_maps(estimator, grid, draws, seed),
+            evaluator=scorer(label, scoring), numFolds=folds, foldCol="fold", parallelism=parallelism,
+        )
+        return validator.fit(vectors)
+    vectors = stored(vectors.select(*keys, label, *more, "features", "fold"), "folds")
+    sets, evaluator = combinations_of(grid, draws, seed), scorer(label, scoring)
+
+    def fitted(chosen: dict, part: DataFrame):
+        params = {estimator.getParam(n): v for n, v in chosen.items() if n != "class_weight"}
+        return estimator.copy(params | {estimator.weightCol: "_" + (chosen["class_weight"] or "even")}).fit(part)
+
+    def weighted(part: DataFrame) -> DataFrame:
+        return balanced_weights(part, label, "_balanced").withColumn("_even", F.lit(1.0))
+
+    scores = [0.0] * len(sets)
+    with ThreadPool(parallelism) as pool:
+        for fold in range(folds):
+            part = stored(weighted(vectors.where(F.col("fold") != fold)), "fold")
+            held = vectors.where(F.col("fold") == fold)
+            for k, value in enumerate(pool.map(lambda chosen: evaluator.evaluate(fitted(chosen, part).transform(held)), sets)):
+                scores[k] += value / folds
+    best = max(range(len(sets)), key=lambda k: (scores[k] if evaluator.isLargerBetter() else -scores[k], -k))
+    named = [{SetOf(n): v for n, v in chosen.items()} for chosen in sets]
+    return Searched(named, scores, fitted(sets[best], weighted(vectors)))
+
+
+class SetOf(NamedTuple):
+    """A name in a searched set, as a parameter shows it."""
+
+    name: str
+
+
+# The searched forests and how many sets are drawn. Unlimited depth is MLlib's 30.
+FOREST_GRID = {"trees": [100, 300, 500], "depth": [None, 10, 20], "min_split": [2, 5], "min_leaf": [1, 2], "class_weight": [None, "balanced"]}
+FOREST_DRAWS, FOREST_FOLDS = 20, 3
+
+
+def search_forests(train: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], grid: Mapping[str, Sequence[Any]] = FOREST_GRID,
+                   draws: int | None = FOREST_DRAWS, folds: int = FOREST_FOLDS, scoring: str = "recall", seed: int = 42, parallelism: int = 4):
+    """Random search over forests for the recall of class 1.
+
+    MLlib bounds the rows of a leaf, not of a split, so both bounds of a set become the larger of ``min_leaf`` and half of ``min_split``.
+    """
+    names = {"trees": "numTrees", "depth": "maxDepth", "class_weight": "class_weight"}
+    sets = []
+    for chosen in combinations_of(grid, draws, seed):
+        one = {names[n]: (30 if n == "depth" and v is None else v) for n, v in chosen.items() if n in names}
+        sets.append(one | {"minInstancesPerNode": max(chosen["min_leaf"], chosen["min_split"] // 2)})
+    estimator = RandomForestClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="sqrt", seed=seed)
+    return search(train, features, estimator, SetList(sets), label, keys, scoring, folds, parallelism=parallelism)
+
+
+class SetList(dict):
+    """Sets that are already chosen, in place of a grid."""
+
+    def __init__(self, sets: list[dict]):
+        super().__init__({n: [s[n] for s in sets] for n in sets[0]})
+        self.sets = sets
+
+
+def combinations_of(grid: Mapping[str, Sequence[Any]], draws: int | None = None, seed: int = 42) -> list[dict[str, Any]]:
+    """All combinations of a grid, or a seeded sample of ``draws`` of them."""
+    if isinstance(grid, SetList):
+        return grid.sets
+    names = sorted(grid)
+    combos = list(itertools.product(*[grid[n] for n in names]))
+    if draws is not None and draws < len(combos):
+        combos = random.Random(seed).sample(combos, draws)
+    return [dict(zip(names, c)) for c in combos]
 
 
 def search_scores(spark, model) -> DataFrame:
@@ -257,110 +340,6 @@ def evaluate_regression(train: DataFrame, test: DataFrame, features: Sequence[st
             "mae": row["mae"], "cv_results": cv_results, "best_model": model}
 
 
-# --- k nearest neighbours ---------------------------------------------------
-
-
-def knn_vote(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """Exact majority vote of the k nearest training rows (Euclidean).
-
-    Training rows are cut into cells of about ``block_rows`` rows along the first feature, at exact
-    quantiles. A test row first meets its own cell; the distance to its k-th neighbour there bounds
-    how far, on that feature alone, any nearer row can be, so it then meets only the other cells
-    within that reach. A cell or a group of test rows that is larger than a block (many equal values)
-    is split by key. Equal distances go to the smaller training key, equal votes to the smaller label.
-    A null or NaN feature has no distance and is an error: impute first.
-    """
-    names = [f"f{i}" for i in range(len(features))]
-    values = [clean_double(f).alias(n) for f, n in zip(features, names)]
-    holes = F.count_if(F.array_contains(F.transform(F.array(*names), lambda v: v.isNull()), True))
-    trains = train.select(F.col(key).alias("train_key"), F.col(label).cast("int").alias("label"), *values)
-    tests = test.select(F.col(key).alias("key"), *values)
-    (n, lost), (_, open_) = (d.agg(F.count(F.lit(1)), holes).first() for d in (trains, tests))
-    if lost or open_:
-        raise ValueError(f"{lost} training and {open_} test rows lack a feature")
-    if not n:
-        raise ValueError("no training row")
-    wanted = {n * i // -(-n // block_rows) for i in range(1, -(-n // block_rows))}
-    found = order_statistics(trains, {"f": F.col("f0")}, {"f": wanted}, {"f": n})
-    cuts = sorted({place.value for place in found.values()})
-
-    def cell(value: Column) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= value))
-
-    def blocks(df: DataFrame) -> Column:
-        """Blocks of the row's cell ``c``; there are as many cells as blocks of training rows."""
-        sizes = {r[0]: r[1] for r in df.groupBy("c").count().collect()}
-        return F.array(*[F.lit(-(-sizes.get(c, 1) // block_rows)) for c in range(len(cuts) + 1)])[F.col("c")]
-
-    def part(name: str, of: Column) -> Column:
-        return F.pmod(F.xxhash64(name), of).cast("int")
-
-    in_cells = trains.withColumn("c", cell(F.col("f0")))
-    train_blocks = blocks(in_cells)
-
-    def nearest(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
-        trains = trains.sort_values("train_key")
-        x, y = tests[names].to_numpy(), trains[names].to_numpy()
-        take = min(k, len(trains))
-        chunk = max(1, 4_000_000 // max(1, len(trains)))
-        found = []
-        for start in range(0, len(tests) if take else 0, chunk):
-            part = x[start : start + chunk]
-            dist = np.zeros((len(part), len(y)))
-            for f in range(len(names)):
-                gap = part[:, f, None] - y[None, :, f]
-                dist += gap * gap
-            limit = np.partition(dist, take - 1, axis=1)[:, take - 1]
-            rows, at = np.nonzero(dist <= limit[:, None])
-            order = np.lexsort((at, dist[rows, at], rows))
-            rows, at = rows[order], at[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            best = place < take
-            rows, at = rows[best], at[best]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "key": tests["key"].to_numpy()[start + rows],
-                        "train_key": trains["train_key"].to_numpy()[at],
-                        "label": trains["label"].to_numpy()[at],
-                        "dist": dist[rows, at],
-                    }
-                )
-            )
-        if not found:
-            return pd.DataFrame({"key": [], "train_key": [], "label": [], "dist": []})
-        return pd.concat(found)
-
-    kind, train_kind = test.schema[key].dataType.simpleString(), train.schema[key].dataType.simpleString()
-
-    def met(rows: DataFrame) -> DataFrame:
-        """The k best training rows of each test row from each block of the cells ``c`` that it is given."""
-        test_blocks = blocks(rows)
-        left = rows.withColumn("b", part("key", test_blocks)).withColumn("a", F.explode(F.sequence(F.lit(0), train_blocks - 1)))
-        right = in_cells.withColumn("a", part("train_key", train_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), test_blocks - 1)))
-        return left.groupBy("c", "a", "b").cogroup(right.groupBy("c", "a", "b")).applyInPandas(
-            nearest, f"key {kind}, train_key {train_kind}, label int, dist double"
-        )
-
-    def best(pairs: DataFrame) -> DataFrame:
-        nearest_first = Window.partitionBy("key").orderBy("dist", "train_key")
-        return pairs.withColumn("_place", F.row_number().over(nearest_first)).where(F.col("_place") <= k).drop("_place")
-
-    own = stored(best(met(tests.withColumn("c", cell(F.col("f0"))))), "own-cell")
-    reach = own.groupBy("key").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("dist")) * (1 + 1e-9)).alias("r"))
-    placed = tests.join(reach, "key", "left").withColumn("own", cell(F.col("f0")))
-    low = F.when(F.col("r").isNull(), 0).otherwise(cell(F.col("f0") - F.col("r")))
-    high = F.when(F.col("r").isNull(), len(cuts)).otherwise(cell(F.col("f0") + F.col("r")))
-    others = placed.withColumn("c", F.explode(F.sequence(low, high))).where("c <> own").drop("own", "r")
-    voters = best(own.unionByName(met(others)) if cuts else own)
-    votes = voters.groupBy("key", "label").agg(F.count(F.lit(1)).alias("votes"))
-    return (
-        votes.groupBy("key")
-        .agg(F.min(F.struct(-F.col("votes"), F.col("label"))).alias("best"))
-        .select(F.col("key").alias(key), F.col("best.label").alias("prediction"))
-    )
-
-
 def weighted_forest(train: DataFrame, features: Sequence[str], label: str, **options) -> PipelineModel:
     """Forest with balanced class weights."""
     return fit_model(balanced_weights(train, label), features, forest(label, weight="weight", **options))

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seacast.operators.ordered import running_totals
 from seacast.operators.profile import numeric_columns
 from seacast.operators.quantiles import clean_double
+from seacast.operators.ranks import kendall_pairs, pair_ranks
 
 def _as_rows(items: list[Column], row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*items)))
@@ -23,8 +22,10 @@ def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "
     cols = list(cols) if cols is not None else numeric_columns(df)
     if method == "spearman":
         return _spearman_pairs(df, cols)
+    if method == "kendall":
+        return kendall_pairs(df, cols)
     if method != "pearson":
-        raise ValueError(f"method must be 'pearson' or 'spearman', got {method!r}")
+        raise ValueError(f"method must be 'pearson', 'spearman' or 'kendall', got {method!r}")
     return _gram_pairs(df, cols, *np.triu_indices(len(cols), 1))
 
 
@@ -72,42 +73,12 @@ def _gram_pairs(df: DataFrame, cols: list[str], left: np.ndarray, right: np.ndar
     )
 
 
-def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``variable, value, rank``: rows with equal values of a column share their mean rank.
-
-    Equal values are counted first, so a value that fills a third of the table is one row of
-    the running total. All columns share one ordering.
-    """
-    slots = F.array(*[F.struct(F.lit(c).alias("variable"), clean_double(c).alias("value")) for c in cols])
-    counts = (
-        df.select(F.inline(slots))
-        .where(F.col("value").isNotNull())
-        .groupBy("variable", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = running_totals(counts, [F.col("value")], {"upto": F.col("n")}, ["variable"])
-    return upto.select("variable", "value", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
-
-
-def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    ranks = average_ranks(df, cols)
-    out = df
-    for c in cols:
-        of_column = ranks.where(F.col("variable") == c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(of_column, F.col(c) == F.col(f"_v_{c}"), "left")
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
-
-
 def _spearman_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    data = df.select(*[clean_double(c).alias(c) for c in cols])
-    holes = data.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
-    if not any(holes.values()):
-        return corr_pairs(_ranked(data, cols), cols)
-    out = None
-    for a, b in combinations(cols, 2):
-        pair = corr_pairs(_ranked(data.select(a, b).dropna(), [a, b]), [a, b])
-        out = pair if out is None else out.unionByName(pair)
-    return out
+    """Pearson of the average ranks that the columns of a pair have among the rows that know both."""
+    rows, names, left, right, pairs = pair_ranks(df, cols)
+    found = _gram_pairs(rows, names, np.array(left, np.int64), np.array(right, np.int64))
+    told = F.create_map(*[x for (a, b), i, j in zip(pairs, left, right) for x in (F.lit(f"{names[i]} {names[j]}"), F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b")))])
+    return found.select(F.element_at(told, F.concat_ws(" ", "var_a", "var_b")).alias("of"), "corr").select("of.*", "corr")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -177,8 +148,8 @@ def modality_corr(df: DataFrame, variable: str, target: str) -> DataFrame:
 
     Needs per category only its count and the sums of the target.
     """
-    y = F.col(target).cast("double")
-    known = df.where(F.col(target).isNotNull())
+    y = clean_double(target)
+    known = df.where(y.isNotNull())
     total = known.agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss")).first()
     n, s = F.lit(float(total["n"])), F.lit(total["s"] or 0.0)
     spread_y = (total["n"] * (total["ss"] or 0.0)) - (total["s"] or 0.0) ** 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from seacast.functions.direction import compass_degrees, direction_parts, mistral, sea_ordinal
@@ -13,6 +13,7 @@ from seacast.functions.timefeat import calendar_columns
 from seacast.operators.profile import numeric_columns
 from seacast.operators.ordered import running_totals
 from seacast.operators.quantiles import clean_double, exact_quantiles
+from seacast.session import stored
 
 NOMINAL = ["ligne", "bateau", "ciel", "capitaine"]
 REDUCED_PREFIXES = ("ciel_", "bateau_", "capitaine_")
@@ -85,6 +86,86 @@ def one_hot_sparse(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataF
     return encoder.transform(coded.withColumn("_place", place)).drop("_at", "_place")
 
 
+def fit_categories(df: DataFrame, cols: Sequence[str], null_category: bool = True) -> DataFrame:
+    """``column, category, code``: the distinct values of several columns as text, numbered from 0 in their order, null last.
+
+    All columns share one shuffle of distinct values, pre-aggregated in each task, and one range order, so vocabularies of any size stay
+    distributed.
+    """
+    slots = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("category")) for c in cols])
+    values = df.select(F.inline(slots)).distinct()
+    values = values if null_category else values.where(F.col("category").isNotNull())
+    counted = running_totals(values, [F.col("category").asc_nulls_last()], {"upto": F.lit(1)}, ["column"])
+    return stored(counted.select("column", "category", (F.col("upto") - 1).cast("int").alias("code")), "categories")
+
+
+class SparseLayout:
+    """Places of the columns of a sparse matrix: numeric columns first, then the categories of each text column but the first."""
+
+    def __init__(self, numeric: Sequence[str], categories: DataFrame, cols: Sequence[str]):
+        self.numeric, self.cols, self.categories = list(numeric), list(cols), categories
+        sizes = {r["column"]: r["n"] for r in categories.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.sizes = {c: sizes.get(c, 0) for c in cols}
+        self.offsets, at = {}, len(self.numeric)
+        for c in cols:
+            self.offsets[c], at = at, at + max(self.sizes[c] - 1, 0)
+        self.width = at
+
+    def names(self) -> DataFrame:
+        """``place, name`` of all columns; a category's name is ``<column>_<category>``, that of null ``<column>_nan``."""
+        spark = self.categories.sparkSession
+        numeric = spark.createDataFrame(list(enumerate(self.numeric)), "place int, name string")
+        offset = F.create_map(*[x for c, at in self.offsets.items() for x in (F.lit(c), F.lit(at))]) if self.cols else None
+        if offset is None:
+            return numeric
+        text = self.categories.where("code > 0")
+        return numeric.unionByName(text.select(
+            (offset[F.col("column")] + F.col("code") - 1).cast("int").alias("place"), F.concat_ws("_", "column", F.coalesce("category", F.lit("nan"))).alias("name")
+        ))
+
+    def coded(self, df: DataFrame) -> DataFrame:
+        """``df`` with the code of each text column as ``_code_<i>``; null for unknown values.
+
+        The tables of categories carry no hint: small ones are broadcast by their measured size, large ones meet by a sort-merge join
+        with skew split.
+        """
+        for i, c in enumerate(self.cols):
+            table = self.categories.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias(f"_code_{i}"))
+            df = df.join(table, F.col(quoted(c)).cast("string").eqNullSafe(F.col("_category")), "left").drop("_category")
+        return df
+
+    def entries(self, df: DataFrame, out: str = "entries") -> DataFrame:
+        """``df`` with the non-zero cells of its row as an array of (place, value), in the order of places; null numbers count as 0."""
+        cells = [F.when(clean_double(quoted(c)) != 0, F.struct(F.lit(i).alias("place"), clean_double(quoted(c)).alias("value"))) for i, c in enumerate(self.numeric)]
+        for i, c in enumerate(self.cols):
+            code = F.col(f"_code_{i}")
+            cells.append(F.when(code > 0, F.struct((code + F.lit(self.offsets[c] - 1)).alias("place"), F.lit(1.0).alias("value"))))
+        coded = self.coded(df)
+        return coded.select(*[quoted(c) for c in df.columns], F.array_compact(F.array(*cells)).alias(out))
+
+    def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """``df`` with its row of the matrix as one vector, for MLlib: the encoder's sparse vectors behind the numbers."""
+        coded, wide = self.coded(df), [(i, c) for i, c in enumerate(self.cols) if self.sizes[c] > 1]
+        numbers = [f"_number_{i}" for i in range(len(self.numeric))]
+        coded = coded.withColumns({n: F.coalesce(clean_double(quoted(c)), F.lit(0.0)) for n, c in zip(numbers, self.numeric)})
+        # The encoder leaves out its last number: there go the first category and unknown values.
+        places = {f"_place_{i}": F.when(F.col(f"_code_{i}") > 0, F.col(f"_code_{i}") - 1).otherwise(self.sizes[c] - 1).cast("double") for i, c in wide}
+        hot = [f"_hot_{i}" for i, _ in wide]
+        if wide:
+            last = df.sparkSession.range(1).select(*[F.lit(float(self.sizes[c] - 1)).alias(f"_place_{i}") for i, c in wide])
+            encoder = OneHotEncoder(inputCols=list(places), outputCols=hot, dropLast=True).fit(last)
+            coded = encoder.transform(coded.withColumns(places))
+        made = VectorAssembler(inputCols=[*numbers, *hot], outputCol=out).transform(coded)
+        return made.select(*[quoted(c) for c in df.columns], out)
+
+
+def sparse_layout(df: DataFrame, numeric: Sequence[str] | None = None, cols: Sequence[str] | None = None, drop: Sequence[str] = ()) -> SparseLayout:
+    """The learned layout of a table: its numeric columns but ``drop``, and its nominal columns, null being a category of its own."""
+    numeric = [c for c in numeric_columns(df) if c not in drop] if numeric is None else numeric
+    cols = [c for c in NOMINAL if c in df.columns] if cols is None else cols
+    return SparseLayout(numeric, fit_categories(df, cols), cols)
+
+
 def dummies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One-hot of all text columns, first category dropped, null all zero."""
     numeric = set(numeric_columns(df, with_bool=True))

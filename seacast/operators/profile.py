@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seacast.operators.quantiles import clean_double, exact_quantiles
@@ -102,9 +104,47 @@ def profile_columns(df: DataFrame, na_threshold: float = 0.5, max_modalities: in
     )
 
 
+def capped_modalities(df: DataFrame, cols: Sequence[str], most: int) -> DataFrame:
+    """``column, n_seen``: the number of different values of each text column (null not counted), where more than ``most``
+    count as ``most + 1``.
+
+    A task keeps at most ``most + 1`` values of a column, so what is shuffled depends on the number of
+    tasks, not on the number of different values.
+    """
+    names = list(cols)
+
+    def few(batches):
+        held: list[set] = [set() for _ in names]
+        for batch in batches:
+            for values, column in zip(held, batch.columns):
+                if len(values) <= most:
+                    seen = pc.unique(column).drop_null()
+                    values.update(seen.slice(0, 2 * most + 2).to_pylist())  # of these, at least most + 1 are new or there are no others
+        rows = [(i, v) for i, values in enumerate(held) for v in sorted(values)[: most + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], ["i", "v"])
+
+    found = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).mapInArrow(few, "i int, v string").distinct()
+    counts = found.groupBy("i").agg(F.least(F.count(F.lit(1)), F.lit(most + 1)).alias("n"))
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("i"))
+    name = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))
+    return every.join(counts, "i", "left").select(name.alias("column"), F.coalesce("n", F.lit(0)).cast("long").alias("n_seen"))
+
+
+def high_cardinality(df: DataFrame, max_modalities: int = 20) -> DataFrame:
+    """``column, n_seen, is_high_cardinality`` of the text columns, without counting beyond ``max_modalities``."""
+    text = [c for c in string_columns(df)]
+    if not text:
+        return df.sparkSession.createDataFrame([], "column string, n_seen bigint, is_high_cardinality boolean")
+    return capped_modalities(df, text, max_modalities).withColumn("is_high_cardinality", F.col("n_seen") > max_modalities)
+
+
 def flagged(df: DataFrame, check: str, **options) -> list[str]:
     """Names of the columns with a profile flag, e.g. ``flagged(df, 'is_empty')``."""
-    names = {r["column"] for r in profile_columns(df, **options).where(F.col(check)).select("column").collect()}
+    if check == "is_high_cardinality":  # needs no exact numbers
+        found = high_cardinality(df, **{k: v for k, v in options.items() if k == "max_modalities"})
+    else:
+        found = profile_columns(df, **options)
+    names = {r["column"] for r in found.where(F.col(check)).select("column").collect()}
     return [c for c in df.columns if c in names]
 
 

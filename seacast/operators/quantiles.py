@@ -1,8 +1,8 @@
 """Exact order statistics and quantiles by narrowing brackets.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here a
-sketch with a guaranteed rank error proposes two pivots on both sides of a wanted rank, a
-count settles between which of them it lies, and the rows strictly between become the next
+sketch with a guaranteed rank error (one for all wanted ranks of a bracket) proposes two pivots
+on both sides of a wanted rank, a count settles between which of them it lies, and the rows strictly between become the next
 bracket: at most a five-thousandth of the rows before, whatever the distribution. Once a
 bracket is small its distinct values are counted. So the number of passes depends on the
 number of rows alone (two for small tables, four up to 10^8 rows), and a repeated value,
@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seacast.session import stored
+
 #: Accuracy of the sketch, and rows of a bracket whose values are counted one by one.
 ACCURACY, SMALL = 10_000, 20_000
 
@@ -74,33 +77,35 @@ def order_statistics(
         large = list(wanted.items())
         if not large:
             return found
+        # One sketch and one count of each distinct pivot for all ranks of a bracket.
+        brackets: dict[tuple, list[tuple[str, int]]] = {}
+        for key, bracket in large:
+            brackets.setdefault((key[0], *bracket), []).append(key)
         sketches = []
-        for i, ((name, rank), (low, high, below, size)) in enumerate(large):
-            share = (rank - below + 0.5) / size
-            sides = [max(share - 1.5 / ACCURACY, 0.0), min(share + 1.5 / ACCURACY, 1.0)]
+        for i, ((name, low, high, below, size), keys) in enumerate(brackets.items()):
+            shares = [(rank - below + 0.5) / size for _, rank in keys]
+            sides = sorted({min(max(share + side / ACCURACY, 0.0), 1.0) for share in shares for side in (-1.5, 1.5)})
             sketches.append(F.percentile_approx(F.when(inside(name, low, high), F.col(places[name])), sides, ACCURACY).alias(f"p{i}"))
-        pivots = rows.agg(*sketches).first()
+        pivots = [sorted(set(p)) for p in rows.agg(*sketches).first()]
         counts = []
-        for i, ((name, rank), (low, high, _, _)) in enumerate(large):
+        for (name, low, high, _, _), found_here in zip(brackets, pivots):
             v, here = F.col(places[name]), inside(name, low, high)
-            for pivot in pivots[i]:
-                counts += [F.count_if(here & (v < F.lit(pivot))), F.count_if(here & (v <= F.lit(pivot)))]
-        settled = rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
-        for i, ((name, rank), (low, high, below, size)) in enumerate(large):
-            (a, b), (a_under, a_upto, b_under, b_upto) = pivots[i], settled[4 * i : 4 * i + 4]
-            at = rank - below
-            if a_under <= at < a_upto:
-                found[name, rank] = Place(a, at - a_under, a_upto - a_under)
-            elif b_under <= at < b_upto:
-                found[name, rank] = Place(b, at - b_under, b_upto - b_under)
-            elif at < a_under:
-                wanted[name, rank] = (low, a, below, a_under)
-            elif at < b_under:
-                wanted[name, rank] = (a, b, below + a_upto, b_under - a_upto)
-            else:
-                wanted[name, rank] = (b, high, below + b_upto, size - b_upto)
-            if (name, rank) in found:
-                del wanted[name, rank]
+            counts += [F.count_if(here & test) for pivot in found_here for test in (v < F.lit(pivot), v <= F.lit(pivot))]
+        settled = iter(rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first())
+        for ((name, low, high, below, size), keys), found_here in zip(brackets.items(), pivots):
+            edges = [(low, None, 0), *((pivot, next(settled), next(settled)) for pivot in found_here), (high, size, None)]
+            for _, rank in keys:
+                at = rank - below
+                for (a, _, a_upto), (b, b_under, b_upto) in zip(edges, edges[1:]):
+                    if at < b_under:
+                        wanted[name, rank] = (a, b, below + a_upto, b_under - a_upto)
+                        break
+                    if b_upto is not None and at < b_upto:
+                        found[name, rank] = Place(b, at - b_under, b_upto - b_under)
+                        del wanted[name, rank]
+                        break
+        if any(w[3] > SMALL for w in wanted.values()):  # further passes read the rows of the brackets only
+            rows = stored(rows.where(reduce(Column.__or__, [inside(n, *w[:2]) for (n, _), w in wanted.items()])), "brackets")
     return found
 
 

@@ -1,9 +1,9 @@
 """Exact-size splits and samples without sorting the table.
 
 Rows are ordered by a seeded md5 digest of their key, then by the key. Only the digests at the
-cut ranks are looked up; the split itself is then a comparison per row, with no shuffle. The
-look-up narrows down the first 52 bits; where several rows share those of a cut, their whole
-digests and keys decide.
+cut ranks are looked up; the split itself is then a comparison per row, with no shuffle (with
+classes: a join with their cuts). The look-up narrows down the first 52 bits; where several rows
+share those of a cut, their whole digests and keys decide.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seacast.functions.direction import lookup
 from seacast.operators.quantiles import order_statistics
+from seacast.session import stored
 
-#: Stands for a null part of a key; classes that a stratified split takes.
-NO_VALUE, MAX_CLASSES = "\x00", 10_000
+#: Stands for a null part of a key.
+NO_VALUE = "\x00"
 
 PLACE, TEXT = "_place", "_text"
 
@@ -39,30 +39,50 @@ def _placed(df: DataFrame, keys: Sequence[str], seed: int, cols: Sequence[str])
     return texts.withColumn(PLACE, F.conv(F.substring(TEXT, 1, 13), 16, 10).cast("long"))
 
 
-def _cut_texts(rows: DataFrame, values: dict[str, Column], wanted: dict[str, set[int]], sizes: dict[str, int]) -> dict[tuple[str, int], str | None]:
-    """The order text at each 0-based rank of each class; None for a rank below 0.
+#: Bits of the order that one pass over the rows looks at, and rows of a bracket whose texts are counted one by one.
+BITS, STEP, SMALL = 52, 13, 20_000
 
-    The rows that share the first bits of a cut are one, but for a collision of 52 bits or a key
-    that is there twice; the latter are counted by text, so their number does not matter.
+
+def _cut_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_class, _rank, _cut): the order text at each wanted 0-based rank of each class of ``rows`` (_class, place, text).
+
+    A pass counts rows by class and the next bits of their place, and running totals tell in which of these
+    parts a rank lies; the places are digests, so a part has a few thousandths of a percent of its bracket. Once brackets are
+    small (or all bits are used: then only a collision or a key that is there twice shares them) their texts are
+    counted. Classes are keys of the counts, so their number is not bounded, and a class with most rows is one
+    row per part and task in the shuffle.
     """
-    found = order_statistics(rows, values, {c: {r for r in ranks if r >= 0} for c, ranks in wanted.items()}, sizes)
-    out: dict[tuple[str, int], str | None] = {(c, r): None for c, ranks in wanted.items() for r in ranks}
-    if not found:
-        return out
-    at = {(c, place.value) for (c, _), place in found.items()}
-    tests = F.coalesce(*[F.when(values[c] == v, F.lit(i)) for i, (c, v) in enumerate(sorted(at))])
-    ties: dict[tuple[str, int], list] = {}
-    number = sorted(at)
-    for r in rows.select(tests.alias("i"), TEXT).where("i IS NOT NULL").groupBy("i", TEXT).count().collect():
-        ties.setdefault(number[r["i"]], []).append((r[TEXT], r["count"]))
-    for (c, rank), place in found.items():
-        left = place.index
-        for text, n in sorted(ties[c, place.value]):
-            if left < n:
-                out[c, rank] = text
-                break
-            left -= n
-    return out
+    at = wanted.select("_class", "_rank", F.lit(0).cast("long").alias("_prefix"), F.col("_rank").alias("_left"))
+    shift = BITS
+
+    def settled(counts: DataFrame, key: str) -> DataFrame:
+        """The part of each bracket in which its ranks lie."""
+        order = Window.partitionBy("_class", "_prefix").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = at.groupBy("_class", "_prefix").agg(F.collect_list(F.struct("_rank", "_left")).alias("_ranks"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).join(ranks, ["_class", "_prefix"])
+        here = F.filter("_ranks", lambda r: (r["_left"] >= F.col("_before")) & (r["_left"] < F.col("_before") + F.col("_n")))
+        hit = before.withColumn("_hit", F.explode(here))
+        return hit.select("_class", F.col("_hit._rank").alias("_rank"), F.col(key), (F.col("_hit._left") - F.col("_before")).alias("_left"), "_n")
+
+    def inside(shift: int) -> DataFrame:
+        some = rows.select("_class", PLACE, TEXT, F.shiftright(PLACE, shift).alias("_prefix"))
+        return some if shift == BITS else some.join(at.select("_class", "_prefix").distinct(), ["_class", "_prefix"], "left_semi")
+
+    while shift:
+        parts = inside(shift).groupBy("_class", "_prefix", F.shiftright(PLACE, shift - STEP).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        found = stored(settled(parts, "_part"), "cuts")
+        at, shift = found.select("_class", "_rank", F.col("_part").alias("_prefix"), "_left"), shift - STEP
+        if (found.agg(F.max("_n")).first()[0] or 0) <= SMALL:
+            break
+    texts = inside(shift).groupBy("_class", "_prefix", TEXT).agg(F.count(F.lit(1)).alias("_n"))
+    return settled(texts, TEXT).select("_class", "_rank", F.col(TEXT).alias("_cut"))
+
+
+def _cuts(rows: DataFrame, ranks: Sequence[int]) -> dict[int, str | None]:
+    """The order text at each rank of the whole table; None for a rank below 0."""
+    whole = rows.withColumn("_class", F.lit(""))
+    wanted = rows.sparkSession.createDataFrame([("", r) for r in set(ranks) if r >= 0], "_class string, _rank bigint")
+    return dict.fromkeys(ranks) | {r["_rank"]: r["_cut"] for r in _cut_texts(whole, wanted).collect()}
 
 
 def _upto(cut: str | None) -> Column:
@@ -90,8 +110,8 @@ def split_exact(
         raise ValueError(f"{n - known} rows have no {keys[0]}")
     ranks = [int(n * train) - 1, int(n * train) + int(n * val) - 1]
     if mode == "hash":
-        cuts = _cut_texts(rows, {"h": place}, {"h": set(ranks)}, {"h": n})
-        first, second = (_upto(cuts["h", r]) for r in ranks)
+        cuts = _cuts(rows, ranks)
+        first, second = (_upto(cuts[r]) for r in ranks)
     else:
         found = order_statistics(rows, {"h": place}, {"h": {r for r in ranks if r >= 0}}, {"h": n})
         first, second = (place <= F.lit(found["h", r].value) if r >= 0 else F.lit(False) for r in ranks)
@@ -110,46 +130,42 @@ def largest_remainder(sizes: dict[str, int], total: int) -> dict[str, int]:
     return shares
 
 
-def _class_sizes(df: DataFrame, label: str) -> dict[str, int]:
-    """Rows of each class. More than ``MAX_CLASSES`` are an error: the cuts of a class are literals of the plan."""
-    rows = df.groupBy(F.col(label).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r["c"]: r["n"] for r in rows}
-
-
-def _class_places(df: DataFrame, label: str, keys: Sequence[str], seed: int):
-    """Rows with their order text, and per class its size and place column."""
-    placed = _placed(df, keys, seed, df.columns)
-    sizes = _class_sizes(df, label)
-    if None in sizes:
+def _classes(df: DataFrame, label: str, keys: Sequence[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with class and order text, (_class, _size) of each class); a null class is an error."""
+    placed = _placed(df, keys, seed, df.columns).withColumn("_class", F.col(label).cast("string"))
+    sizes = stored(placed.groupBy("_class").agg(F.count(F.lit(1)).alias("_size")), "classes")
+    if not sizes.where(F.col("_class").isNull()).isEmpty():
         raise ValueError(f"{label} holds nulls")
-    return placed, sizes, {c: F.when(F.col(label).cast("string") == c, F.col(PLACE)) for c in sizes}
+    return placed, sizes
 
 
 def split_stratified(
     df: DataFrame, label: str, keys: Sequence[str], test: float = 0.2, seed: int = 42, out: str = "split"
 ) -> DataFrame:
-    """Train/test with ceil(n*test) test rows shared out over the classes."""
-    placed, sizes, values = _class_places(df, label, keys, seed)
-    n = sum(sizes.values())
-    shares = largest_remainder(sizes, math.ceil(n * test)) if n else {}
-    found = _cut_texts(placed, values, {c: {k - 1} for c, k in shares.items()}, sizes) if shares else {}
-    cuts = {c: found[c, k - 1] for c, k in shares.items() if k > 0}
-    cut = lookup(F.col(label).cast("string"), cuts) if cuts else F.lit(None).cast("string")
-    return placed.withColumn(out, F.when(F.col(TEXT) <= cut, F.lit("test")).otherwise(F.lit("train"))).drop(PLACE, TEXT)
+    """Train/test with ceil(n*test) test rows shared out over the classes, whatever their number: in proportion to their
+    sizes, what rounding leaves by largest remainder, then name."""
+    placed, sizes = _classes(df, label, keys, seed)
+    n = sizes.agg(F.sum("_size")).first()[0] or 0
+    total = math.ceil(n * test)
+    exact = F.lit(total) * F.col("_size") / F.lit(max(n, 1))
+    shares = stored(sizes.withColumn("_share", F.floor(exact).cast("long")).withColumn("_rest", exact - F.col("_share")), "shares")
+    more = shares.orderBy(F.col("_rest").desc(), "_class").limit(total - (shares.agg(F.sum("_share")).first()[0] or 0)).select("_class", F.lit(1).alias("_more"))
+    ranks = shares.join(more, "_class", "left").select("_class", (F.col("_share") + F.coalesce("_more", F.lit(0)) - 1).alias("_rank"))
+    cuts = _cut_texts(placed, stored(ranks.where("_rank >= 0"), "ranks")).drop("_rank")
+    rows = placed.join(cuts, "_class", "left")
+    return rows.select(*df.columns, F.when(F.col(TEXT) <= F.col("_cut"), F.lit("test")).otherwise(F.lit("train")).alias(out))
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Fold number 0..k-1; each class is cut into k parts of equal size (plus or minus one row)."""
-    placed, sizes, values = _class_places(df, label, keys, seed)
-    found = _cut_texts(placed, values, {c: {n * i // k - 1 for i in range(1, k)} for c, n in sizes.items()}, sizes) if sizes else {}
-    fold = F.lit(0)
-    for i in range(1, k):
-        cuts = {c: found[c, n * i // k - 1] for c, n in sizes.items() if n * i // k > 0}
-        above = F.col(TEXT) > F.coalesce(lookup(F.col(label).cast("string"), cuts), F.lit("")) if cuts else F.lit(True)
-        fold = fold + above.cast("int")
-    return placed.withColumn(out, fold).drop(PLACE, TEXT)
+    """Fold number 0..k-1; each class, whatever their number, is cut into k parts of equal size (plus or minus one row)."""
+    placed, sizes = _classes(df, label, keys, seed)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.floor(F.col("_size") * i / k).cast("long") - 1) if k > 1 else F.array().cast("array<bigint>")
+    ranks = sizes.select("_class", F.explode(ends).alias("_rank")).where("_rank >= 0").distinct()
+    # Folds that end before the first row have no cut: every row lies above them. Folds may end at the same row.
+    lists = _cut_texts(placed, stored(ranks, "ranks")).groupBy("_class").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_cut"))).alias("_cuts"))
+    rows = placed.join(sizes.select("_class", ends.alias("_ends")), "_class").join(lists, "_class", "left")
+    above = F.filter("_ends", lambda r: (r < 0) | (F.col(TEXT) > F.try_element_at("_cuts", r)))
+    return rows.select(*df.columns, F.size(above).cast("int").alias(out))
 
 
 def sample_exact(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -158,7 +174,7 @@ def sample_exact(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
     if n >= size:
         return df
     placed = _placed(df, keys, seed, df.columns)
-    cut = _cut_texts(placed, {"h": F.col(PLACE)}, {"h": {n - 1}}, {"h": size})["h", n - 1] if n > 0 else None
+    cut = _cuts(placed, [n - 1])[n - 1] if n > 0 else None
     return placed.where(_upto(cut)).drop(PLACE, TEXT)
 
 

@@ -34,4 +34,4 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 def load() -> None:
     """Imports the query modules, which register themselves."""
-    from seacast.plans import queries_crossing, queries_exact, queries_files, queries_model, queries_table, queries_weather  # noqa: F401
+    from seacast.plans import queries_crossing, queries_exact, queries_files, queries_model, queries_table, queries_weather, queries_wide  # noqa: F401

@@ -439,12 +439,12 @@ _OFFSET = """CASE WHEN horaire >= {mar} + INTERVAL 3 HOUR AND horaire < {oct} +
 )
 
 
-def _night_sql(view: str) -> str:
+def night_sql(view: str) -> str:
     return f"""SELECT crossing_id, CAST(round_even(CASE WHEN t < sunrise_min THEN t - sunrise_min WHEN t > sunset_min THEN t - sunset_min ELSE 0 END, 0) AS INTEGER) AS jour_nuit
 FROM ({_solar_sql(f"SELECT crossing_id, CAST(horaire AS DATE) AS jour, (epoch_us(horaire) - epoch_us(CAST(CAST(horaire AS DATE) AS TIMESTAMP))) / 60000000.0 - ({_OFFSET}) AS t FROM {view}")})"""
 
 
-@query(with_views(["crossings_ts"], _night_sql("crossings_ts")))
+@query(with_views(["crossings_ts"], night_sql("crossings_ts")))
 def day_night(spark: SparkSession, sf: str) -> DataFrame:
     return day_night_minutes(adapted(spark, sf, "crossings_ts")).select("crossing_id", "jour_nuit")
 
@@ -453,7 +453,7 @@ def day_night(spark: SparkSession, sf: str) -> DataFrame:
     with_views(
         ["crossings"],
         ", moved AS (SELECT crossing_id, horaire + INTERVAL 1 MINUTE * CAST(crossing_id % 1440 AS INTEGER) AS horaire FROM crossings) "
-        + _night_sql("moved"),
+        + night_sql("moved"),
     )
 )
 def day_night_all_year(spark: SparkSession, sf: str) -> DataFrame:

@@ -190,25 +190,26 @@ def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Cross-validated logistic regression: every C, penalty and class weight of the grid, recall of class 1."""
+    """Cross-validated logistic regression: every C, penalty and class weight of the grid, recall of class 1.
+
+    Class weights are those of each fold's training rows."""
     days = lifecycles.weather_features(training_days(spark, sf))
-    weighted = train.balanced_weights(days, "annulation_binary").withColumnRenamed("weight", "balanced").withColumn("unweighted", F.lit(1.0))
     folds = 5
     n = days.count() * (folds - 1) / folds
     estimator = LogisticRegression(labelCol="annulation_binary", maxIter=1000, standardization=False)
     grid = {
         "regParam": [train.logistic_params(c, "l2", n)["regParam"] for c in (0.01, 0.1, 1, 10, 100)],
-        "elasticNetParam": [train.logistic_params(1, p, n)["elasticNetParam"] for p in ("l1", "l2")], "weightCol": ["unweighted", "balanced"],
+        "elasticNetParam": [train.logistic_params(1, p, n)["elasticNetParam"] for p in ("l1", "l2")], "class_weight": [None, "balanced"],
     }
-    found = train.search(weighted, train.WEATHER_FEATURES, estimator, grid, "annulation_binary", ["jour"], "recall", folds=folds, more=["unweighted", "balanced"])
+    found = train.search(days, train.WEATHER_FEATURES, estimator, grid, "annulation_binary", ["jour"], "recall", folds=folds)
     return train.search_scores(spark, found)
 
 
 @query()
 def fold_scores(spark: SparkSession, sf: str) -> DataFrame:
     days = lifecycles.weather_features(training_days(spark, sf))
-    estimator = LogisticRegression(labelCol="annulation_binary", maxIter=20)
-    return train.cross_val_scores(days, train.WEATHER_FEATURES, estimator, "annulation_binary", ["jour"], folds=3)
+    estimator = LogisticRegression(labelCol="annulation_binary", maxIter=1000)
+    return train.cross_val_scores(days, train.WEATHER_FEATURES, estimator, "annulation_binary", ["jour"], folds=5)
 
 
 @query()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seacast.operators.lines import EXTRACT_GROUPS, LINE_GROUPS, fan_out_lines
 from seacast.schemas import CLEAN_CROSSINGS, RAW_CROSSINGS, SOURCE_NAMES, WEATHER_LANDED
 from seacast.session import stored
+from seacast.sources.landing import CORRUPT, ORDER, file_report, read_landed, rejected
 
 # The texts a sheet or CSV reader takes as missing.
 NA_TEXTS = [
@@ -25,70 +26,27 @@ def na_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NA_TEXTS), F.col(c)) for c in text})
 
 
-def read_raw_crossings(spark: SparkSession, path: str) -> DataFrame:
-    """The landed crossing log (CSV with header, columns found by name), canonical names, missing texts as null."""
-    lines = _lines(spark, path, "*")
-    headers, is_header = _headers(lines, RAW_CROSSINGS.names[0])
-    layouts = [r[0] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if not layouts:
-        raise FileNotFoundError(f"no crossing log with a header at {path}")
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers at {path}")
-    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
-    df = _by_header(rows, sorted(layouts), RAW_CROSSINGS).drop("_corrupt_record", "_file", "_block", "_row")
-    return na_to_null(df).withColumnsRenamed(SOURCE_NAMES)
+def read_raw_crossings(spark: SparkSession, path: str, skip: Sequence[int] = ()) -> DataFrame:
+    """The landed crossing log (CSV with header, columns found by name), canonical names, missing texts as null.
 
-
-def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_CROSSINGS) -> DataFrame:
-    """A CSV whose first, unnamed column is a saved row index; the index is dropped."""
-    full = T.StructType([T.StructField(INDEX, T.StringType()), *schema.fields])
-    return spark.read.csv(path, schema=full, header=True, enforceSchema=True).drop(INDEX)
-
-
-def _by_header(lines: DataFrame, layouts: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Lines with the header of their file to the columns of ``schema``, each found by its name in that header.
-
-    A column that a header lacks is null, one that the schema lacks is left out. A malformed line, and
-    one of a file without header, keeps its text in ``_corrupt_record``.
+    Fields may hold line breaks. Records that are not whole are left out; :func:`rejected_crossings` gives them.
+    ``skip`` are record numbers to leave out of each file (a log exported from the sheet has one below its header: 1).
     """
-    corrupt = "_corrupt_record"
-    kinds = {f.name: f.dataType for f in schema.fields}
-    parsed = []
-    for layout in layouts:
-        names = header_names(layout)
-        known = [n if n in kinds and n not in names[:i] else None for i, n in enumerate(names)]
-        columns = [f"`{n}` {kinds[n].simpleString()}" if n else f"_unknown{i} string" for i, n in enumerate(known)]
-        ddl = ", ".join([*columns, f"{corrupt} string"])
-        row = F.from_csv("value", F.lit(ddl), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-        cells = [(row[n] if n in names else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()]
-        parsed.append(F.when(F.col("_header") == layout, F.struct(*cells, row[corrupt].alias(corrupt))))
-    lost = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in kinds.items()], F.col("value").alias(corrupt))
-    return lines.select(F.coalesce(*parsed, lost).alias("_cells"), "_file", "_block", "_row").select("_cells.*", "_file", "_block", "_row")
+    df = read_landed(spark, path, RAW_CROSSINGS, RAW_CROSSINGS.names[0], skip=skip)
+    return na_to_null(df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, *ORDER)).withColumnsRenamed(SOURCE_NAMES)
 
 
-def header_names(header: str) -> list[str]:
-    """Column names of a header line."""
-    return [n.strip().strip('"') for n in header.lstrip("\ufeff").split(",")]
+def rejected_crossings(spark: SparkSession, path: str, skip: Sequence[int] = ()) -> DataFrame:
+    """File, place and text of the records that :func:`read_raw_crossings` leaves out."""
+    return rejected(read_landed(spark, path, RAW_CROSSINGS, RAW_CROSSINGS.names[0], skip=skip))
 
 
-def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """All lines of the matching files below ``path`` with the columns that give their order; unreadable files are skipped."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(path)
-    return text.select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-
-
-def _headers(lines: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """(file, header) of the files whose header names the column ``key``, and the test for such a line."""
-    names = F.transform(F.split("value", ","), lambda n: F.btrim(n, F.lit('" \ufeff')))
-    is_header = F.array_contains(names, key)
-    return lines.where(is_header).groupBy("_file").agg(F.min_by("value", F.struct("_block", "_row")).alias("_header")), is_header
+def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_CROSSINGS) -> DataFrame:
+    """A CSV with a saved row index, which no column of ``schema`` names; columns are found by the header's names.
 
+    Records that are not whole keep what could be read and are otherwise null, as :func:`read_landed` has them."""
+    return read_landed(spark, path, schema, schema.names[0]).drop(CORRUPT, *ORDER)
 
-#: Different headers that one read takes.
-MAX_LAYOUTS = 200
 
 #: Names of monthly files: landed by a collector, or written by :func:`write_monthly`.
 MONTHLY_FILES = "{meteo_,part-}*.csv"
@@ -99,18 +57,10 @@ def read_monthly(spark: SparkSession, root: str, schema: T.StructType = WEATHER_
 
     Columns are found by the names in each file's own header, whatever their order; missing ones are
     null. Unreadable files are skipped; a malformed row, and every row of a file without a header
-    that names ``key``, keeps its text in ``_corrupt_record`` (:func:`skipped_files` counts both).
+    that names ``key``, keeps its text in ``_corrupt_record`` (:func:`skipped_files` tells of both).
     Sorting by ``_file, _block, _row`` gives file-then-line order. No file with a header is an error.
     """
-    lines = _lines(spark, root, MONTHLY_FILES)
-    headers, is_header = _headers(lines, key)
-    layouts = [r[0] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if not layouts:
-        raise FileNotFoundError(f"no monthly file with a header below {root}")
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers below {root}")
-    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file", "left")
-    return _by_header(rows, sorted(layouts), schema)
+    return read_landed(spark, root, schema, key, MONTHLY_FILES)
 
 
 def skipped_files(spark: SparkSession, root: str, schema: T.StructType = WEATHER_LANDED, key: str = "date") -> DataFrame:
@@ -118,19 +68,10 @@ def skipped_files(spark: SparkSession, root: str, schema: T.StructType = WEATHER
 
     ``unknown`` and ``missing`` are the columns that the file has beyond the schema and lacks of it.
     """
-    lines = _lines(spark, root, MONTHLY_FILES)
-    headers, _ = _headers(lines, key)
-    names = F.transform(F.split("_header", ","), lambda n: F.btrim(n, F.lit('" \ufeff')))
-    wanted = F.array(*[F.lit(n) for n in schema.names])
-    counted = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("lines")).join(headers, "_file", "left")
-    report = counted.select(
-        F.col("_file").alias("file"), "lines", F.col("_header").isNotNull().alias("has_header"),
-        F.array_except(names, wanted).alias("unknown"), F.array_except(wanted, names).alias("missing"),
-    )
-    return report.where(~F.col("has_header") | (F.size("unknown") > 0) | (F.size("missing") > 0))
+    return file_report(spark, root, schema, key, MONTHLY_FILES)
 
 
-MONTHLY_ORDER = ["_file", "_block", "_row"]
+MONTHLY_ORDER = ORDER
 
 
 def union_files(frames: Sequence[DataFrame]) -> DataFrame:
@@ -177,10 +118,12 @@ def write_monthly(df: DataFrame, root: str, date: str = "date", save_json: bool
 
 
 def write_consolidated(df: DataFrame, path: str, run_date: str, date: str = "date") -> DataFrame:
-    """Appends one consolidation run, partitioned by run and year; returns its date range."""
-    rows = df.withColumns({"run_date": F.lit(run_date), "year": F.year(date)})
-    rows.repartitionByRange("year", date).write.mode("append").partitionBy("run_date", "year").parquet(path)
-    return df.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n"))
+    """Appends one consolidation run, partitioned by run and year; returns its date range.
+
+    The input is evaluated once, into a written stage."""
+    rows = stored(df.withColumn("year", F.year(date)), "consolidated")
+    rows.withColumn("run_date", F.lit(run_date)).repartitionByRange("year", date).write.mode("append").partitionBy("run_date", "year").parquet(path)
+    return rows.agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count(F.lit(1)).alias("n"))
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
@@ -213,8 +156,8 @@ def write_line_extracts(
 
 
 def corrupt_rows(landed: DataFrame) -> DataFrame:
-    """File and text of the malformed rows of :func:`read_monthly`."""
-    return landed.where(F.col("_corrupt_record").isNotNull()).select("_file", "_corrupt_record")
+    """File, place and text of the malformed rows of :func:`read_monthly`."""
+    return rejected(landed)
 
 
 def export_train_test(
@@ -232,9 +175,9 @@ def export_train_test(
 def write_predictions(scored: DataFrame, root: str, stem: str) -> DataFrame:
     """Scored rows as CSV below ``predictions_<stem>``; returns path and row count."""
     path = f"{root}/predictions_{stem}"
-    seen = Observation("predictions")
-    write_csv(scored.observe(seen, F.count(F.lit(1)).alias("n")), path)
-    return scored.sparkSession.createDataFrame([(path, seen.get["n"])], "output string, n_predictions bigint")
+    rows = stored(scored, "predictions")
+    write_csv(rows, path)
+    return rows.agg(F.lit(path).alias("output"), F.count(F.lit(1)).alias("n_predictions"))
 
 
 def preprocessing_metadata(processed: DataFrame, numeric: DataFrame, reduced: DataFrame, source: str, target: str = "annulation") -> DataFrame:

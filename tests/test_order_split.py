@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from seacast.operators.dedupe import consolidate, count_duplicates, duplicate_ro
 from seacast.operators.ordered import fill_both_ways, running_totals
 from seacast.operators.quantiles import exact_quantiles
 from seacast.operators.split import (
-    balanced_weights, largest_remainder, sample_exact, split_exact, split_stratified, stratified_folds,
+    balanced_weights, sample_exact, split_exact, split_stratified, stratified_folds,
 )
 
 LAX = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -156,9 +157,29 @@ def test_stratified_refuses_null_labels(spark):
         split_stratified(spark.createDataFrame([(1, None), (2, 1)], "id int, y int"), "y", ["id"])
 
 
-def test_largest_remainder():
-    assert largest_remainder({"0": 5, "1": 5}, 3) == {"0": 2, "1": 1}
-    assert largest_remainder({"0": 66_128, "1": 13_157}, 15_857) == {"0": 13_226, "1": 2_631}
+@pytest.mark.parametrize(("sizes", "test", "want"), [((5, 5), 0.3, (2, 1)), ((661, 131), 0.2, (133, 26)), ((1, 1, 1), 0.5, (1, 1, 0))])
+def test_largest_remainder(spark, sizes, test, want):
+    df = spark.createDataFrame([(f"{c}-{i}", str(c)) for c, n in enumerate(sizes) for i in range(n)], "id string, c string")
+    got = {r["c"]: r["n"] for r in split_stratified(df, "c", ["id"], test).where("split = 'test'").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert tuple(got.get(str(c), 0) for c in range(len(sizes))) == want
+
+
+def test_cuts_of_many_classes_and_repeated_keys(spark, monkeypatch):
+    from seacast.operators import split
+
+    monkeypatch.setattr(split, "SMALL", 3)  # several passes over the bits of the place
+    rng = random.Random(3)
+    rows = [(rng.randrange(400) if i % 3 else 7, rng.randrange(60)) for i in range(2500)]  # a third of the rows have one key
+    df = spark.createDataFrame(rows, "id int, c int").repartition(5)
+    ids = {}
+    for i, c in rows:
+        ids.setdefault(str(c), []).append(i)
+    texts = {c: sorted(hashlib.md5(f"{i}|42".encode()).hexdigest() + f"{i}|42" for i in group) for c, group in ids.items()}
+    k = 4
+    for r in stratified_folds(df, "c", ["id"], k).collect():
+        text = hashlib.md5(f"{r.id}|42".encode()).hexdigest() + f"{r.id}|42"
+        ends = [len(texts[str(r.c)]) * i // k - 1 for i in range(1, k)]
+        assert r.fold == sum(e < 0 or text > texts[str(r.c)][e] for e in ends)
 
 
 def test_folds_are_disjoint_and_even(spark):

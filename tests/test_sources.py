@@ -1,10 +1,13 @@
+import csv
+import random
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from seacast.plans import lifecycles
-from seacast.schemas import MEASURES, WEATHER_PAYLOAD
+from seacast.schemas import MEASURES, RAW_CROSSINGS, WEATHER_PAYLOAD
 from seacast.session import checkpointed, scratch_path, stored
-from seacast.sources import tables
+from seacast.sources import landing, tables
 from seacast.sources.payload import flatten_payloads, read_payloads
 from seacast.streaming.jobs import consolidate_stream
 
@@ -92,8 +95,6 @@ def test_raw_log_and_na_texts(spark):
 
 def test_indexed_csv_drops_the_index(spark):
     path = text_file(spark, "idx", [",a,b", "0,x,1", "1,y,2"])
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType())])
     assert [tuple(r) for r in tables.read_indexed_csv(spark, path, schema).collect()] == [("x", 1), ("y", 2)]
 
@@ -155,15 +156,45 @@ def test_malformed_rows_are_reported(spark, tmp_path):
     assert landed_rows.first()["wave_height_max"] is None
 
 
-def test_crossing_logs_with_too_many_headers_are_refused(spark, tmp_path, monkeypatch):
-    import pytest
-
-    from seacast.schemas import RAW_CROSSINGS
-    from seacast.sources import tables
-
-    monkeypatch.setattr(tables, "MAX_LAYOUTS", 2)
+def test_every_log_has_its_own_header(spark, tmp_path):
     names = RAW_CROSSINGS.names
-    for i in range(3):
-        (tmp_path / f"{i}.csv").write_text(",".join([*names, f"more{i}"]) + "\n" + ",".join(["x"] * (len(names) + 1)) + "\n")
-    with pytest.raises(ValueError, match="more than 2 different headers"):
-        tables.read_raw_crossings(spark, str(tmp_path))
+    for i in range(230):
+        order = [*names[i % 6 :], f"more{i}", *names[: i % 6]]
+        (tmp_path / f"{i}.csv").write_text(",".join(order) + "\n" + ",".join(f"{n}{i}" for n in order) + "\n")
+    got = {r.ligne: r for r in tables.read_raw_crossings(spark, str(tmp_path)).collect()}
+    assert len(got) == 230 and all(got[f"Ligne{i}"].capitaine == f"Capitaine{i}" for i in range(230))
+
+
+def test_records_with_line_breaks_and_bad_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        '\ufeffMétéo,Ligne,Horaire\r\nsheet,row,two\r\n"vent\nfort, ""mer"" belle",L1,01/02/2024 08:30\r\nonly one cell\r\n\r\n5" de houle,L2,02/02/2024 08:30\r\n'
+        '"a \\"b\\" c",L3,\r\n"x","y"z,w,too many\r\n'
+    )
+    (tmp_path / "b.csv").write_text('Horaire,Ligne,Météo\nsheet,row,two\n03/02/2024 10:00,"L\n\n4",NA\n04/02/2024 10:00,L5,"never closed\nL6,x,y\n')
+    good = {r.ligne: (r.horaire, r.meteo) for r in tables.read_raw_crossings(spark, str(tmp_path), skip=[1]).collect()}
+    want = {
+        "L1": ("01/02/2024 08:30", 'vent\nfort, "mer" belle'), "L2": ("02/02/2024 08:30", '5" de houle'), "L3": (None, 'a "b" c'), "L\n\n4": ("03/02/2024 10:00", None),
+    }
+    last = good.pop("L5")
+    assert good == want and last == ("04/02/2024 10:00", "never closed\nL6,x,y")
+    bad = sorted(r._corrupt_record for r in tables.rejected_crossings(spark, str(tmp_path)).collect())
+    assert bad == ['"x","y"z,w,too many', "only one cell"]
+
+
+def test_records_across_splits(spark, tmp_path):
+    rng = random.Random(4)
+    cell = lambda: "".join(rng.choices(["a", "bc", "\n", ",", '"', "é", " ", "x" * 30], k=rng.randrange(9)))
+    rows = [[str(i), cell(), cell()] for i in range(400)]
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["k", "u", "v"], *rows])
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("u", T.StringType()), T.StructField("v", T.StringType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        for held in (1000, 0):
+            df = landing.read_landed(spark, str(tmp_path), schema, "k", held_splits=held)
+            assert landing.landed_lines(spark, str(tmp_path)).select("_block").distinct().count() > 3
+            got = sorted((r.k, r.u or "", r.v or "", r._corrupt_record) for r in df.collect())
+            assert got == [(int(k), u, v, None) for k, u, v in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

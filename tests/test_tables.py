@@ -129,7 +129,73 @@ def test_spearman_with_nulls_equals_pandas(spark):
     for r in corr.corr_pairs(df, cols, "spearman").collect():
         assert r["corr"] == pytest.approx(want.loc[r["var_a"], r["var_b"]], abs=1e-9)
     with pytest.raises(ValueError):
-        corr.corr_pairs(df, cols, "kendall")
+        corr.corr_pairs(df, cols, "other")
+
+
+def test_kendall_with_nulls_equals_pandas(spark):
+    rng = np.random.default_rng(6)
+    n = 260
+    frame = pd.DataFrame({"a": rng.normal(size=n).round(1), "b": rng.integers(0, 4, n).astype(float), "c": np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n)), "d": 1.0})
+    frame["a"] = frame["a"].where(rng.random(n) > 0.1)
+    frame["b"] += frame["c"].round(0)
+    df = spark.createDataFrame(frame.replace({np.nan: None})).repartition(7)
+    want = frame.corr(method="kendall")
+    for r in corr.corr_pairs(df, list("abcd"), "kendall").collect():
+        expected = want.loc[r["var_a"], r["var_b"]]
+        assert r["corr"] is None if np.isnan(expected) else r["corr"] == pytest.approx(expected, abs=1e-9)
+    # more ranges than points of a value: equal values lie in several ranges
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for method in ("kendall", "spearman"):
+            want = frame.corr(method=method)
+            for r in corr.corr_pairs(df, list("abc"), method).collect():
+                assert r["corr"] == pytest.approx(want.loc[r["var_a"], r["var_b"]], abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    none = corr.corr_pairs(df.limit(0), ["a", "b"], "kendall").collect()
+    assert [(r.var_a, r.var_b, r["corr"]) for r in none] == [("a", "b", None)]
+
+
+def test_spearman_does_not_join_on_values(spark):
+    _, df = wide(spark, n=60)
+    plan = corr.corr_pairs(df, ["c0", "c3", "c4"], "spearman")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "_range" not in line and "_row" not in line]
+
+
+def test_high_cardinality_counts_no_further(spark):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id") % 400).alias("many"), (F.col("id") % 3).cast("string").alias("few"), F.lit(None).cast("string").alias("none"), "id")
+    got = {r["column"]: (r.n_seen, r.is_high_cardinality) for r in profile.high_cardinality(df.repartition(6), 20).collect()}
+    assert got == {"many": (21, True), "few": (3, False), "none": (0, False)}
+    assert profile.flagged(df, "is_high_cardinality") == ["many"] and profile.flagged(df, "is_high_cardinality", max_modalities=2) == ["many", "few"]
+    assert profile.high_cardinality(df.select("id")).count() == 0
+
+
+def test_nan_target_counts_as_null(spark):
+    rows = [("a", 1.0), ("a", 0.0), ("b", 1.0), ("b", 1.0), ("c", 0.0)]
+    want = {r.modality: r["corr"] for r in corr.modality_corr(spark.createDataFrame(rows, "m string, y double"), "m", "y").collect()}
+    got = {r.modality: r["corr"] for r in corr.modality_corr(spark.createDataFrame([*rows, ("a", float("nan"))], "m string, y double"), "m", "y").collect()}
+    assert got == pytest.approx(want) and None not in want.values()
+
+
+def test_sparse_rows_equal_dense_ones(spark):
+    rows = [(i, float(i % 5), None if i % 7 == 0 else float(i), f"c{i % 11}" if i % 4 else None, f"k{i}", "same") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, ligne string, capitaine string, ciel string").repartition(3)
+    layout = encode.sparse_layout(df, drop=["id"])
+    names = {r.place: r["name"] for r in layout.names().collect()}
+    assert layout.width == 2 + 11 + 59 + 0 and sorted(names) == list(range(layout.width))
+    dense = encode.one_hot(df, encode.fit_vocabulary(df, ["ligne", "ciel", "capitaine"])).drop("id").columns
+    assert sorted(names.values()) == sorted(dense)
+    unknown = spark.createDataFrame([(99, 0.0, float("nan"), "new", None, "same")], df.schema)
+    table = df.unionByName(unknown)
+    entries = {r.id: {names[e.place]: e.value for e in r.entries} for r in layout.entries(table).collect()}
+    vectors = {r.id: {names[i]: x for i, x in enumerate(r.features.toArray()) if x} for r in layout.vectors(table).collect()}
+    assert entries == vectors and entries[99] == {}
+    for i, a, b, ligne, captain, _ in rows:
+        want = {"a": a, "b": b, f"ligne_{'nan' if ligne is None else ligne}": 1.0, f"capitaine_{captain}": 1.0}
+        want = {k: v for k, v in want.items() if v and k in names.values()}  # the first categories have no place
+        assert entries[i] == want
 
 
 def test_target_corr_of_many_columns(spark):
