@@ -87,7 +87,7 @@ class Segments:
     def sizes(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, hash of the bytes, number of bytes) of each segment."""
         _, prefix, offsets = self.bytes(texts)
-        starts, sizes, anchors, _, _ = self.runs(prefix, offsets)
+        starts, sizes, anchors, *_ = self.runs(prefix, offsets)
         lengths = sizes + self.depth - 1
         return np.searchsorted(offsets, starts, side="right") - 1, anchors, POWERS.ranges(prefix, starts, starts + lengths), lengths
 
@@ -99,12 +99,13 @@ class Segments:
         return data, POWERS.prefix(_BYTES[data]), offsets
 
     def runs(self, prefix: np.ndarray, offsets: np.ndarray):
-        """(start, windows, anchor, inner) of each segment and the hashes of all grams; ``inner``: a window may occur in it twice."""
+        """(start, windows, anchor, inner, spot) of each segment and the hashes of all grams; ``inner``: a window may occur in it
+        twice; ``spot``: where the anchor lies in the segment, -1 if that is not the same place for all its windows."""
         size, width = len(prefix) - 1, self.depth - GRAM + 1
         n = size - self.depth + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
-            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
+            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), none, np.zeros(0, np.uint64)
         grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.down[: size - GRAM + 1])
         lows = sliding_min(grams, width)
         valid = np.ones(n, bool)
@@ -118,25 +119,28 @@ class Segments:
         place = index - np.maximum.accumulate(np.where(fresh, index, 0))
         starts = np.flatnonzero(valid & (place % RUN == 0))
         if not len(starts):
-            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), grams
+            return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), none, grams
         sizes = np.add.reduceat(valid, starts, dtype=np.int64)
         # A window that occurs twice in a segment has its anchor both at a start and at an end of windows of the segment.
         first = np.minimum.reduceat(np.where((grams[:n] == lows) & valid, index, size), starts)
         last = np.maximum.reduceat(np.where((grams[width - 1 :] == lows) & valid, index + width - 1, -1), starts)
-        return starts, sizes, lows[starts], (first < size) & (last >= 0) & (first != last), grams
+        spot = starts + sizes - 1
+        spot = spot + np.concatenate([(grams[part[:, None] + np.arange(width)] == lows[part][:, None]).argmax(axis=1) for part in np.array_split(spot, len(spot) // 4096 + 1)])
+        several = ((first < size) & (first != spot)) | ((last >= 0) & (last != spot))
+        return starts, sizes, lows[starts], (first < size) & (last >= 0) & (first != last), np.where(several, -1, spot - starts), grams
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches, SLICE):
             ids, tags = pc.fill_null(table["doc_id"], np.iinfo(np.int64).max).to_numpy(), table["tag"].to_numpy()
             data, prefix, offsets = self.bytes(table["text"])
-            starts, sizes, anchors, inner, grams = self.runs(prefix, offsets)
-            starts, sizes, anchors, inner = self.hot.dealt(prefix, self.depth, grams, starts, sizes, anchors, inner)
+            *runs, inner, spot, grams = self.runs(prefix, offsets)
+            starts, sizes, anchors, inner, spot = self.hot.dealt(prefix, self.depth, grams, *runs, inner, spot)
             if not len(starts):
                 continue
             lengths = sizes + self.depth - 1
             row = np.searchsorted(offsets, starts, side="right") - 1
             sent, counted, twins = self.collapse(data, prefix, starts, lengths, anchors)
-            yield from self.packed(data, offsets, ids, tags, row, starts, sizes, lengths, anchors, inner, sent, counted, twins)
+            yield from self.packed(data, offsets, ids, tags, row, starts, sizes, lengths, anchors, inner, spot, sent, counted, twins)
 
     def collapse(self, data, prefix, starts, lengths, anchors):
         """(sent, copies, known): one of equal segments is sent with their number; all of them are known to occur again."""
@@ -154,7 +158,7 @@ class Segments:
             np.add.at(copies, twin[equal], 1)
         return sent, copies, ~sent | (copies > 1)
 
-    def packed(self, data, offsets, ids, tags, row, starts, sizes, lengths, anchors, inner, sent, copies, known) -> Iterator[pa.RecordBatch]:
+    def packed(self, data, offsets, ids, tags, row, starts, sizes, lengths, anchors, inner, spot, sent, copies, known) -> Iterator[pa.RecordBatch]:
         bucket = (anchors % np.uint64(self.buckets)).astype(np.int64)
         there = np.flatnonzero(sent)
         there = there[np.argsort(bucket[there], kind="stable")]
@@ -170,6 +174,7 @@ class Segments:
                 np.diff(ids[row[t]], prepend=0), tags[row[t]], (starts[t] - offsets[row[t]]).astype(np.int32), sizes[t].astype(np.int32),
                 (anchors[t] >> np.uint64(32)).astype(np.uint32), inner[t], copies[t], data[ragged(starts[t], lengths[t])],
                 np.diff(ids[row[g]], prepend=0), tags[row[g]], (starts[g] - offsets[row[g]]).astype(np.int32), lengths[g].astype(np.int32),
+                spot[t].astype(np.int32),
             ))
         yield pa.RecordBatch.from_arrays([pa.array((names // SUB).astype(np.int32)), pa.array(names), pa.array(values, pa.binary())], ["part", "bucket", "value"])
 
@@ -206,7 +211,7 @@ class Repeated:
             return
         begin = np.cumsum(size + self.depth - 1) - (size + self.depth - 1)
         _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        kept = np.flatnonzero((count[group] > 1) | inner | (copies > 1))
+        kept = np.flatnonzero(((count[group] > 1) & self.beside(data, begin, size, group, inner, column(12, np.int32))) | inner | (copies > 1))
         kept = kept[np.argsort(group[kept], kind="stable")]
         raw = data.tobytes()
         held: dict[bytes, list[tuple[int, int]]] = {}
@@ -227,6 +232,26 @@ class Repeated:
         if held:
             yield from self.block(held, doc, tag, start, copies)
 
+    def beside(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np.ndarray, inner: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """Whether a segment may have a window in common with another one of its anchor.
+
+        A window reaches at least half of what it has besides the anchor to one side of it, so two segments with a
+        common window have the same bytes there, before or behind the anchor. Where an anchor has a segment
+        without a single place for it, all of its segments may.
+        """
+        reach = (self.depth - GRAM) // 2
+        prefix, end, at = POWERS.prefix(_BYTES[data]), begin + size + self.depth - 1, begin + spot
+        whole = np.bincount(group, (spot < 0) | inner, int(group.max()) + 1)[group] > 0
+        out = whole.copy()
+        for start, stop in ((at, at + GRAM + reach), (at - reach, at + GRAM)):
+            there = np.flatnonzero(~whole & (start >= begin) & (stop <= end))
+            if not len(there):
+                continue
+            key = mixed(POWERS.ranges(prefix, start[there], stop[there]) ^ mixed(group[there].astype(np.uint64)))
+            _, of, times = np.unique(key, return_inverse=True, return_counts=True)
+            out[there] |= times[of] > 1
+        return out
+
     def trimmed(self, texts: dict[bytes, list[tuple[int, int]]], copies: np.ndarray) -> dict[bytes, list[tuple[int, int]]]:
         """The texts of a large group without the windows whose hash occurs once: these occur once for certain, the
         suffix array decides about the others. What documents have around a common passage falls away here."""

@@ -49,18 +49,19 @@ class Hot:
         at = np.minimum(np.searchsorted(self.names, keys), len(self.names) - 1)
         return at, self.names[at] == keys
 
-    def dealt(self, prefix: np.ndarray, window: int, grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, inner: np.ndarray | None = None):
-        """(start, windows, key, inner) of the runs, in the order of starts, those of common keys cut into blocks.
+    def dealt(self, prefix: np.ndarray, window: int, grams: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, inner: np.ndarray | None = None, spot: np.ndarray | None = None):
+        """(start, windows, key, inner, spot) of the runs, in the order of starts, those of common keys cut into blocks; ``spot``
+        is where the key's gram lies in the run.
 
         A block has the windows whose key (the first place where its gram occurs in the window) lies in the same
         place, but for ``width`` steps. All of them hold the same core, and equal windows lie in blocks
         with equal cores, so a block goes by its key and the hash of its core. No window occurs twice in a block.
         """
         if not len(self.names) or not len(starts):
-            return starts, sizes, keys, inner
+            return starts, sizes, keys, inner, spot
         at, hot = self.at(keys)
         if not hot.any():
-            return starts, sizes, keys, inner
+            return starts, sizes, keys, inner, spot
         runs = np.flatnonzero(hot)
         begin, of = ragged(starts[runs], sizes[runs]).astype(np.int64), np.repeat(runs, sizes[runs])
         key, width = keys[of], self.widths[at[of]]
@@ -79,7 +80,8 @@ class Hot:
         order = np.argsort(starts, kind="stable")
         if inner is not None:
             inner = np.concatenate([inner[~hot], np.zeros(len(heads), bool)])[order]
-        return starts[order], sizes[order], keys[order], inner
+            spot = np.concatenate([spot[~hot], (place - begin)[heads]])[order]
+        return starts[order], sizes[order], keys[order], inner, spot
 
 
 class KeySizes:
@@ -153,7 +155,7 @@ class SuperKmers:
             flat, offsets = word_lists(table["text"])
             hashes = word_hashes(flat)
             starts, sizes, lows, grams = self.runs(hashes, offsets)
-            starts, sizes, lows, _ = self.hot.dealt(POWERS.prefix(hashes), self.window, grams, starts, sizes, lows)
+            starts, sizes, lows, _, _ = self.hot.dealt(POWERS.prefix(hashes), self.window, grams, starts, sizes, lows)
             lengths = sizes + self.window - 1 if len(sizes) else sizes
             row = np.searchsorted(offsets, starts, side="right") - 1
             tags = table["tag"].to_numpy()

@@ -211,8 +211,9 @@ def test_hot_anchor_is_dealt_over_buckets(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "tag": pa.array([0] * len(rows), pa.int32())})
     most = {}
-    for widths in ((10**6,), (32,), (8,), (1,)):
-        made = suffixdup.Segments(200, 64, suffixdup.hot_keys(suffixdup.tagged(docs), suffixdup.Segments(200, 64).sizes, suffixdup.SLICE, suffixdup.BLOCK, widths))
+    for widths in ((0,), (32,), (8,), (1,)):
+        hot = suffixdup.hot_keys(suffixdup.tagged(docs), suffixdup.Segments(200, 64).sizes, suffixdup.SLICE, suffixdup.BLOCK, widths) if widths[0] else None
+        made = suffixdup.Segments(200, 64, hot)
         held, windows = defaultdict(int), 0
         for batch in made(table.to_batches()):
             for value in batch.column("value"):
@@ -221,8 +222,8 @@ def test_hot_anchor_is_dealt_over_buckets(spark, monkeypatch):
                     held[anchor] += size
                     windows += size
         most[widths[0]] = max(held.values()) / windows  # the largest share of the windows that goes by one key
-    assert most[1] <= most[8] < most[32] < most[10**6] / 3 and most[1] < 0.01
-    assert suffixdup.repeated_spans(docs).count() <= 4 * len(rows)  # runs stay together
+    assert most[1] <= most[8] < most[32] < most[0] / 3 and most[1] < 0.01
+    assert suffixdup.repeated_spans(docs).count() <= 10 * len(rows)  # some 160 windows of each text repeat; runs of them stay together
     got = multiset(suffixdup.suffix_dedup(docs).withColumn("sha", F.sha2("kept_bytes", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "sha")
     assert got == sorted(((d, *x) for (d, _), x in zip(rows, brute.repeated_bytes(rows))), key=repr)
 
