@@ -25,7 +25,7 @@ from seacast.session import scratch_path, stored
 #: bits before each block of 512).
 MAGIC, BLOCK, CHUNK = b"DAC1", 512, 8
 #: Ids of a file (a longer document has a file of its own), and bytes of text encoded at once.
-FILE_IDS, SLICE = 1 << 20, 8 << 20
+FILE_IDS, SLICE = 1 << 20, 12 << 20
 
 
 def encode(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> bytes:

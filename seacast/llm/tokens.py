@@ -1,4 +1,4 @@
-"""Token ids of many texts with the tokenizers library, each distinct piece encoded once per slice."""
+"""Token ids of many texts with the tokenizers library, each distinct piece encoded once per slice, common ones once."""
 
 from __future__ import annotations
 
@@ -17,8 +17,19 @@ _EDGE, _CUT = "([^ \t\n\v\f\r])([ \t\n\v\f\r])", "\\1\x00\\2"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGN = "([" + _LETTER + "])([.,!?;:|#*$%&<>()])"
 _SPECIAL = "<[|](start|end)oftext[|]>"
-#: Characters that the library encodes in one call.
-HELD = 1 << 18
+#: Characters that the library encodes in one call, and common pieces whose ids a process keeps.
+HELD, KEPT = 1 << 18, 300_000
+
+
+_WORKER: dict[tuple[str, bool], Encoder] = {}
+
+
+def shared(path: str, spaces: bool) -> Encoder:
+    """The encoder of this process for a vocabulary; only the last one used is kept."""
+    if (path, spaces) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path, spaces] = Encoder(path, spaces)
+    return _WORKER[path, spaces]
 
 
 class Encoder:
@@ -30,8 +41,13 @@ class Encoder:
     are the words, in ASCII lower case, without the signs that follow a letter.
     """
 
+    def __reduce__(self):
+        """A task gets the encoder of its worker, which has loaded the vocabulary once."""
+        return shared, (self.path, self.spaces)
+
     def __init__(self, path: str, spaces: bool):
         self.path, self.spaces, self.tokenizer = path, spaces, None
+        self.kept = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of the texts, each encoded whole; the library's encodings of at most ``HELD`` characters (or one text) are there at once."""
@@ -86,6 +102,23 @@ class Encoder:
         ids, starts, back = np.concatenate([ids, more]), np.cumsum(counts) - counts, np.argsort(order)
         return ids[ragged(starts[back], counts[back])], np.cumsum(counts[back])
 
+    def known_pieces(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of the distinct pieces. Pieces that a slice has twice are kept for the next slices, up to
+        ``KEPT`` of them, and are not encoded again."""
+        pieces, (kept, ids, ends) = coded.dictionary, self.kept
+        at = pc.fill_null(pc.index_in(pieces, value_set=kept), -1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new, stops = self.encode_pieces(pieces.take(pa.array(fresh)))
+        at[fresh] = len(ends) + np.arange(len(fresh))
+        every, stops = np.concatenate([ids, new]), np.concatenate([ends, len(ids) + stops])
+        sizes = np.diff(stops, prepend=0)
+        if len(kept) < KEPT:
+            often = fresh[np.bincount(coded.indices.to_numpy(), minlength=len(pieces))[fresh] > 1][: KEPT - len(kept)]
+            own = at[often]
+            added = every[ragged(stops[own] - sizes[own], sizes[own])]
+            self.kept = pa.concat_arrays([kept, pieces.take(pa.array(often))]), np.concatenate([ids, added]), np.concatenate([ends, len(ids) + np.cumsum(sizes[own])])
+        return every, (stops - sizes)[at], sizes[at]
+
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of each text and then ``end_id``; a null text has only that."""
         texts = pc.fill_null(texts, "")
@@ -96,10 +129,9 @@ class Encoder:
         else:
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(plain, _SIGN, "\\1 \\2")))
         coded = lists.flatten().dictionary_encode()
-        ids, ends = self.encode_pieces(coded.dictionary)
-        sizes = np.diff(ends, prepend=0)
+        ids, starts, sizes = self.known_pieces(coded)
         at, first = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        piece_ids = ids[ragged((ends - sizes)[at], sizes[at])] if len(at) else ids[:0]
+        piece_ids = ids[ragged(starts[at], sizes[at])] if len(at) else ids[:0]
         offsets = np.concatenate([[0], np.cumsum(sizes[at])])[first]
         rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if len(rest):
