@@ -15,7 +15,7 @@ from seacast.llm.blocks import NO_ID, POWERS, covered, mixed, pack, ragged, slid
 #: Windows of one super-k-mer at most; a longer run goes on in the next one.
 RUN = 64
 #: Bytes of text that a task holds at once, buckets that a task sorts one after the other, and bytes of text for these.
-SLICE, SUB, TASK = 4 << 20, 2, 128 << 20
+SLICE, SUB, TASK = 3 << 20, 2, 128 << 20
 #: Windows in distinct runs of one minimiser above which they go in blocks; one in so many documents is counted, longer texts always.
 HOT, SAMPLE, LONG = 1 << 15, 8, 1 << 16
 SPANS = "doc_id bigint, tag int, start int, size int"
