@@ -1,12 +1,12 @@
 """Exact order statistics and quantiles by narrowing brackets.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here a
-sketch with a guaranteed rank error (one for all wanted ranks of a bracket) proposes two pivots
-on both sides of a wanted rank, a count settles between which of them it lies, and the rows strictly between become the next
-bracket: at most a five-thousandth of the rows before, whatever the distribution. Once a
+sketch (one for all wanted ranks of a bracket, of a sample where the bracket is large) proposes two pivots
+on both sides of a wanted rank, a count over all rows settles between which of them it lies, and the rows strictly between become the next
+bracket: about a hundredth of the rows before, whatever the distribution. Once a
 bracket is small its distinct values are counted. So the number of passes depends on the
-number of rows alone (two for small tables, four up to 10^8 rows), and a repeated value,
-a heavy tail or the full range of doubles does not add any.
+number of rows alone, and a repeated value, a heavy tail or the full range of doubles does not add
+any. The sample only proposes pivots: a rank beside them costs a further pass, never exactness.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seacast.session import stored
 
-#: Accuracy of the sketch, and rows of a bracket whose values are counted one by one.
-ACCURACY, SMALL = 10_000, 20_000
+#: Accuracy of a sketch, rows that it sees of a bracket (about), and rows of a bracket whose values are counted one by one.
+ACCURACY, SAMPLE, SMALL = 2_000, 200_000, 20_000
+#: More than the cells that the pivots of a bracket make.
+CELLS = 1_000_000
 
 
 class Place(NamedTuple):
@@ -64,7 +66,7 @@ def order_statistics(
         if small:
             hits = F.array_compact(F.array(*[F.when(inside(*b), F.struct(F.lit(i).alias("b"), F.col(places[b[0]]).cast(_kind(rows, places)).alias("v"))) for i, b in enumerate(small)]))
             counted: dict[int, list] = {}
-            for r in rows.select(F.explode(hits).alias("r")).groupBy("r.b", "r.v").agg(F.count(F.lit(1)).alias("n")).collect():
+            for r in rows.where(reduce(Column.__or__, [inside(*b) for b in small])).select(F.explode(hits).alias("r")).groupBy("r.b", "r.v").agg(F.count(F.lit(1)).alias("n")).collect():
                 counted.setdefault(r["b"], []).append((r["v"], r["n"]))
             for (name, rank), (low, high, below, size) in list(wanted.items()):
                 if size <= SMALL:
@@ -77,21 +79,41 @@ def order_statistics(
         large = list(wanted.items())
         if not large:
             return found
-        # One sketch and one count of each distinct pivot for all ranks of a bracket.
+        # One sketch of a sample and one count of each distinct pivot for all ranks of a bracket.
         brackets: dict[tuple, list[tuple[str, int]]] = {}
         for key, bracket in large:
             brackets.setdefault((key[0], *bracket), []).append(key)
         sketches = []
         for i, ((name, low, high, below, size), keys) in enumerate(brackets.items()):
-            shares = [(rank - below + 0.5) / size for _, rank in keys]
-            sides = sorted({min(max(share + side / ACCURACY, 0.0), 1.0) for share in shares for side in (-1.5, 1.5)})
-            sketches.append(F.percentile_approx(F.when(inside(name, low, high), F.col(places[name])), sides, ACCURACY).alias(f"p{i}"))
-        pivots = [sorted(set(p)) for p in rows.agg(*sketches).first()]
-        counts = []
-        for (name, low, high, _, _), found_here in zip(brackets, pivots):
-            v, here = F.col(places[name]), inside(name, low, high)
-            counts += [F.count_if(here & test) for pivot in found_here for test in (v < F.lit(pivot), v <= F.lit(pivot))]
-        settled = iter(rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first())
+            part = min(1.0, SAMPLE / size)
+            margin = 1.5 / ACCURACY + (2 / math.sqrt(SAMPLE) if part < 1 else 0)
+            shares = sorted((rank - below + 0.5) / size for _, rank in keys)
+            near = [[shares[0], shares[0]]]
+            for share in shares[1:]:  # ranks side by side have the same pivots
+                if share - near[-1][1] < margin:
+                    near[-1][1] = share
+                else:
+                    near.append([share, share])
+            sides = [min(max(s, 0.0), 1.0) for first, last in near for s in (first - margin, last + margin)]
+            drawn = (F.col("_draw") < part) & inside(name, low, high)
+            sketches.append(F.percentile_approx(F.when(drawn, F.col(places[name])), sides, ACCURACY).alias(f"p{i}"))
+        pivots = [sorted(set(p or [])) for p in rows.withColumn("_draw", F.rand(11)).agg(*sketches).first()]
+        # A value's cell: 2 * i before pivot i (and behind the one before it), 2 * i + 1 at it. One row of counts for each cell.
+        cells = []
+        for i, ((name, low, high, _, _), found_here) in enumerate(zip(brackets, pivots)):
+            v, at = F.col(places[name]), F.lit(2 * len(found_here))
+            for k in reversed(range(len(found_here))):
+                at = F.when(v < F.lit(found_here[k]), 2 * k).when(v == F.lit(found_here[k]), 2 * k + 1).otherwise(at)
+            cells.append(F.when(inside(name, low, high), F.lit(i * CELLS).cast("long") + at))
+        counted_cells = rows.select(F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL").groupBy("cell").count()
+        sizes_of = {r["cell"]: r["count"] for r in counted_cells.collect()}
+        settled = []
+        for i, found_here in enumerate(pivots):
+            upto = 0
+            for k in range(len(found_here)):
+                upto += sizes_of.get(CELLS * i + 2 * k, 0)
+                settled += [upto, upto := upto + sizes_of.get(CELLS * i + 2 * k + 1, 0)]
+        settled = iter(settled)
         for ((name, low, high, below, size), keys), found_here in zip(brackets.items(), pivots):
             edges = [(low, None, 0), *((pivot, next(settled), next(settled)) for pivot in found_here), (high, size, None)]
             for _, rank in keys:
