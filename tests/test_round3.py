@@ -125,3 +125,15 @@ def test_balls_compare_few_rows_and_find_all(spark):
     few = neighbours.knn_pairs(old.limit(3), new, names, "y", "id", 5)[0]
     assert few.count() == 3 * len(q)
     assert neighbours.knn_vote(old, new.limit(0), names, "y", "id").count() == 0
+
+
+def test_searches_weigh_classes_by_fold(spark):
+    df = days(spark, 150)
+    grid = {"regParam": [0.0, 10.0], "class_weight": [None, "balanced"]}
+    found = train.search(df, ["a", "b"], train.LogisticRegression(labelCol="y"), grid, "y", ["id"], "recall", folds=2)
+    scores = {r.params: r.score for r in train.search_scores(spark, found).collect()}
+    assert len(scores) == 4 and scores["class_weight=balanced; regParam=0.0"] < scores["class_weight=None; regParam=0.0"]  # class 1 is the larger one
+    assert found.bestModel.transform(train.assembler(["a", "b"]).transform(df)).count() == 150
+    forests = train.search_forests(df, ["a", "b"], "y", ["id"], {"trees": [3], "depth": [None, 2], "min_split": [2], "min_leaf": [1], "class_weight": [None]}, None, 2)
+    assert {m["maxDepth"] for m in ({p.name: v for p, v in s.items()} for s in forests.getEstimatorParamMaps())} == {30, 2}
+    assert len(train.combinations_of(train.FOREST_GRID, train.FOREST_DRAWS)) == 20
