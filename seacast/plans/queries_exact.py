@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +12,7 @@ from seacast.plans.adapters import adapted, table, with_views
 from seacast.plans.queries import query, r6
 from seacast.plans.queries_model import training_days
 from seacast.schemas import MEASURES
-from seacast.session import scratch_path
+from seacast.session import scratch_path, stored
 from seacast.streaming.jobs import read_requests, score_stream
 
 
@@ -74,21 +73,19 @@ d AS (SELECT w.jour, label FROM weather w JOIN y ON y.jour = w.jour)"""
 def forest_test_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The confusion matrix of a forest holds every test row once."""
     days = training_days(spark, sf).fillna(0)
-    estimator = train.forest("annulation_binary", trees=3, depth=4)
-    _, row = train.train_weather_model(days, ["jour"], features=MEASURES, estimator=estimator)
+    _, row = train.train_weather_model(days, ["jour"], features=MEASURES, estimator=train.forest("annulation_binary"))
     return row.select(sum((F.col(c) for c in ("tn", "fp", "fn", "tp")), F.lit(0)).cast("long").alias("n_test"))
 
 
-def _tree(spark: SparkSession, sf: str):
-    estimator = DecisionTreeClassifier(labelCol="annulation_binary", maxDepth=4, seed=42)
-    return train.fit_model(training_days(spark, sf).fillna(0), MEASURES, estimator)
+def _forest(spark: SparkSession, sf: str):
+    return train.fit_model(stored(training_days(spark, sf).fillna(0), "training"), MEASURES, train.forest("annulation_binary"))
 
 
 @query(with_views(["weather"], "SELECT jour, true AS class_follows, true AS confidence_follows FROM weather"))
 def score_identities(spark: SparkSession, sf: str) -> DataFrame:
     """Every scored day: its class is that of a probability above one half, its confidence the larger probability."""
     p = F.col("annulation_probability")
-    scored = train.score(_tree(spark, sf), adapted(spark, sf, "weather"))
+    scored = train.score(_forest(spark, sf), adapted(spark, sf, "weather"))
     return scored.select(
         "jour", ((p > 0.5).cast("int") == F.col("annulation_predicted")).alias("class_follows"),
         (F.abs(F.greatest(p, 1 - p) - F.col("confidence")) < 1e-12).alias("confidence_follows"),
@@ -98,7 +95,7 @@ def score_identities(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_views(["weather"], "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different FROM weather"))
 def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Requests scored as a stream and as a batch: how many rows, and how many that only one of them has."""
-    model, landing, out = _tree(spark, sf), scratch_path(spark, "requests"), scratch_path(spark, "scored")
+    model, landing, out = _forest(spark, sf), scratch_path(spark, "requests"), scratch_path(spark, "scored")
     adapted(spark, sf, "weather").select(*MEASURES).write.json(landing)
     score_stream(model, read_requests(spark, landing), out, scratch_path(spark, "checkpoint")).awaitTermination()
     streamed = spark.read.parquet(out)

@@ -171,7 +171,7 @@ def rf_crossings(spark: SparkSession, sf: str) -> DataFrame:
     matrix = model_matrix(preprocess_crossings(df), keys=["crossing_id"]).fillna(0)
     weighted = train.balanced_weights(matrix, "annulation")
     features = [c for c in matrix.columns if c not in ("crossing_id", "annulation")]
-    estimator = train.forest("annulation", trees=20, weight="weight")
+    estimator = train.forest("annulation", weight="weight")
     _, row = train.train_weather_model(weighted, ["crossing_id"], "annulation", features, estimator)
     return row
 
@@ -297,7 +297,10 @@ def export_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     with_views(
         ["crossings"],
-        "SELECT 'orders' AS source, count(*) AS input_rows, 18 AS n_input, 18 AS n_numeric, 14 AS n_reduced, 'annulation' AS target_column FROM crossings",
+        # Ten columns that are no categories; the first line and the first sky have no column, a missing sky has one.
+        """SELECT 'orders' AS source, count(*) AS input_rows, 10 + count(DISTINCT ligne) - 1 + count(DISTINCT ciel) - 1 + max(CAST(ciel IS NULL AS INTEGER)) AS n_input,
+  10 + count(DISTINCT ligne) - 1 + count(DISTINCT ciel) - 1 + max(CAST(ciel IS NULL AS INTEGER)) AS n_numeric,
+  10 + count(DISTINCT ligne) - 1 AS n_reduced, 'annulation' AS target_column FROM crossings""",
     )
 )
 def preprocessing_run(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 #: Splits that begin inside a quoted field, up to which tasks hold their names; beyond, lines are joined with them.
 HELD_SPLITS = 10_000
@@ -217,6 +217,21 @@ def header_names(header: str) -> list[str]:
     return [(n or "").strip() for n in cells(header.lstrip("﻿"))]
 
 
+def plain_names(line: str) -> Column:
+    """The names in a header line as an array."""
+    return F.transform(F.split(line, ","), lambda n: F.btrim(n, F.lit('" ﻿\r')))
+
+
+def names_key(line: str, key: str) -> Column:
+    return F.array_contains(plain_names(line), key)
+
+
+def first_headers(lines: DataFrame, key: str) -> DataFrame:
+    """(_file, _header): the first line of each file that names ``key``; a header is one line."""
+    first = F.min_by("value", F.struct("_block", "_row"))
+    return lines.where(names_key("value", key)).groupBy("_file").agg(F.rtrim(first, F.lit("\r")).alias("_header"))
+
+
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, key: str, pattern: str = "*", skip: Sequence[int] = (), held_splits: int = HELD_SPLITS) -> DataFrame:
     """The columns of ``schema``, ``_corrupt_record`` and the order columns of all records below ``path``.
 
@@ -227,12 +242,12 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, key: str,
     repeated headers are left out, and so are the records of each file whose numbers (the first is 0) are in ``skip``.
     There is no limit to the number of files or headers. No header at all is an error.
     """
-    made = records(landed_lines(spark, path, pattern), held_splits)
-    named = F.array_contains(F.transform(F.split("record", ","), lambda n: F.btrim(n, F.lit('" ﻿\r'))), key)
-    headers = made.where(named).groupBy("_file").agg(F.min_by("record", F.struct("_block", "_row")).alias("_header"))
+    lines = landed_lines(spark, path, pattern)
+    headers = first_headers(lines, key)
     if headers.isEmpty():
         raise FileNotFoundError(f"no file with a header that names {key!r} below {path}")
-    rows = made.where(~named & (F.trim("record") != ""))
+    made = records(lines, held_splits)
+    rows = made.where(~names_key("record", key) & (F.trim("record") != ""))
     if skip:
         rows = rows.where(~((F.col("_block") == 0) & F.col("_number").isin(*skip)))
     rows = rows.join(headers, "_file", "left").select("record", "_header", *ORDER)
@@ -258,11 +273,10 @@ def file_report(spark: SparkSession, path: str, schema: T.StructType, key: str,
     """``file, lines, has_header, unknown, missing`` of the files that :func:`read_landed` cannot take whole: those without
     a header, with columns beyond the schema, or without some of it; files that could not be read have no lines."""
     lines = landed_lines(spark, path, pattern)
-    names = F.transform(F.split("value", ","), lambda n: F.btrim(n, F.lit('" ﻿\r')))
-    headers = lines.where(F.array_contains(names, key)).groupBy("_file").agg(F.min_by("value", F.struct("_block", "_row")).alias("_header"))
+    headers = first_headers(lines, key)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("_file"))
     counted = files.join(lines.groupBy("_file").agg(F.count(F.lit(1)).alias("lines")), "_file", "left").join(headers, "_file", "left")
-    given = F.transform(F.split("_header", ","), lambda n: F.btrim(n, F.lit('" ﻿\r')))
+    given = plain_names("_header")
     wanted = F.array(*[F.lit(n) for n in schema.names])
     report = counted.select(
         F.col("_file").alias("file"), F.coalesce("lines", F.lit(0)).alias("lines"), F.col("_header").isNotNull().alias("has_header"),
