@@ -99,10 +99,8 @@ def inversions(rank: np.ndarray, weight: np.ndarray) -> float:
 
 
 class Crossed:
-    """Sorted ranges of weighted points to one row for each pair of columns and point, and one with the inversions of the range.
-
-    ``order`` are the columns that a partition is sorted by after its pair; inversions are those of (y, x) in that order.
-    """
+    """Sorted ranges of weighted points to the same points with the number of the range, as column ``out``. The first point of a
+    pair in a range carries the inversions among its points there: those of (y, x) in the order that they come in."""
 
     def __init__(self, out: str):
         self.out = out
