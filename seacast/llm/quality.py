@@ -148,7 +148,9 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, order: lis
     cases = " ".join(f"WHEN {r.reject.format(**names)} THEN '{r.name}'" for r in order)
     failed = F.expr(f"CASE {cases} END") if order else F.lit(None).cast("string")
     kept = without(docs, "kept", "failed_rule", WORDS)
-    if WORDS in cases:  # split once a document, for all rules that its words decide
-        docs = docs.select(*kept, F.expr(_WORDS).alias(WORDS))
+    if WORDS in cases:
+        # Split once a document, for all rules that its words decide. A one-element inline, because a filter on the
+        # verdict moves below a projection and splits the text anew wherever a rule names the words.
+        docs = docs.select(*kept, F.inline(F.array(F.struct(F.expr(_WORDS).alias(WORDS)))))
     judged = docs.select(*kept, failed.alias("failed_rule"))
     return judged.withColumn("kept", F.col("failed_rule").isNull())
