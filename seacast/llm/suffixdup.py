@@ -16,6 +16,8 @@ from seacast.llm.superkmer import SPANS, TASK, Hot, hot_keys, joined, spans, tag
 GRAM, RUN, SLICE, SUB = 24, 1024, 2 << 20, 2
 #: Bytes of distinct segments after which a suffix array takes no further anchor. An anchor with more bytes than that travels in blocks of windows.
 BLOCK = 1 << 19
+#: Segments whose bytes are hashed at once in a bucket.
+PART = 2_048
 #: A random value for each byte.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -125,7 +127,7 @@ class Segments:
         first = np.minimum.reduceat(np.where((grams[:n] == lows) & valid, index, size), starts)
         last = np.maximum.reduceat(np.where((grams[width - 1 :] == lows) & valid, index + width - 1, -1), starts)
         spot = starts + sizes - 1
-        spot = spot + np.concatenate([(grams[part[:, None] + np.arange(width)] == lows[part][:, None]).argmax(axis=1) for part in np.array_split(spot, len(spot) // 4096 + 1)])
+        spot = spot + np.concatenate([(grams[part[:, None] + np.arange(width)] == lows[part][:, None]).argmax(axis=1) for part in np.array_split(spot, len(spot) // 2048 + 1)])
         several = ((first < size) & (first != spot)) | ((last >= 0) & (last != spot))
         return starts, sizes, lows[starts], (first < size) & (last >= 0) & (first != last), np.where(several, -1, spot - starts), grams
 
@@ -240,16 +242,22 @@ class Repeated:
         without a single place for it, all of its segments may.
         """
         reach = (self.depth - GRAM) // 2
-        prefix, end, at = POWERS.prefix(_BYTES[data]), begin + size + self.depth - 1, begin + spot
+        end, at = begin + size + self.depth - 1, begin + spot
         whole = np.bincount(group, (spot < 0) | inner, int(group.max()) + 1)[group] > 0
         out = whole.copy()
         for start, stop in ((at, at + GRAM + reach), (at - reach, at + GRAM)):
-            there = np.flatnonzero(~whole & (start >= begin) & (stop <= end))
-            if not len(there):
-                continue
-            key = mixed(POWERS.ranges(prefix, start[there], stop[there]) ^ mixed(group[there].astype(np.uint64)))
-            _, of, times = np.unique(key, return_inverse=True, return_counts=True)
-            out[there] |= times[of] > 1
+            there = ~whole & (start >= begin) & (stop <= end)
+            key = np.zeros(len(begin), np.uint64)
+            for first in range(0, len(begin), PART):  # prefix hashes of some segments at a time
+                some = slice(first, first + PART)
+                base = begin[first]
+                mine = first + np.flatnonzero(there[some])
+                prefix = POWERS.prefix(_BYTES[data[base : end[some][-1]]])
+                key[mine] = mixed(POWERS.ranges(prefix, start[mine] - base, stop[mine] - base) ^ mixed(group[mine].astype(np.uint64)))
+            there = np.flatnonzero(there)
+            if len(there):
+                _, of, times = np.unique(key[there], return_inverse=True, return_counts=True)
+                out[there] |= times[of] > 1
         return out
 
     def trimmed(self, texts: dict[bytes, list[tuple[int, int]]], copies: np.ndarray) -> dict[bytes, list[tuple[int, int]]]:
