@@ -41,6 +41,8 @@ def _placed(df: DataFrame, keys: Sequence[str], seed: int, cols: Sequence[str])
 
 #: Bits of the order that one pass over the rows looks at, and rows of a bracket whose texts are counted one by one.
 BITS, STEP, SMALL = 52, 13, 20_000
+#: Cuts that every task may hold at once.
+HELD_CUTS = 40_000
 
 
 def _cut_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def _cut_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     row per part and task in the shuffle.
     """
     at = wanted.select("_class", "_rank", F.lit(0).cast("long").alias("_prefix"), F.col("_rank").alias("_left"))
-    shift = BITS
+    shift, few = BITS, True
 
     def settled(counts: DataFrame, key: str) -> DataFrame:
         """The part of each bracket in which its ranks lie."""
@@ -66,13 +68,18 @@ def _cut_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def inside(shift: int) -> DataFrame:
         some = rows.select("_class", PLACE, TEXT, F.shiftright(PLACE, shift).alias("_prefix"))
-        return some if shift == BITS else some.join(at.select("_class", "_prefix").distinct(), ["_class", "_prefix"], "left_semi")
+        if shift == BITS:
+            return some
+        here = at.select("_class", "_prefix").distinct()
+        return some.join(F.broadcast(here) if few else here, ["_class", "_prefix"], "left_semi")
 
     while shift:
         parts = inside(shift).groupBy("_class", "_prefix", F.shiftright(PLACE, shift - STEP).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
         found = stored(settled(parts, "_part"), "cuts")
         at, shift = found.select("_class", "_rank", F.col("_part").alias("_prefix"), "_left"), shift - STEP
-        if (found.agg(F.max("_n")).first()[0] or 0) <= SMALL:
+        most, size = found.agg(F.max("_n"), F.count(F.lit(1))).first()
+        few = size <= HELD_CUTS
+        if (most or 0) <= SMALL:
             break
     texts = inside(shift).groupBy("_class", "_prefix", TEXT).agg(F.count(F.lit(1)).alias("_n"))
     return settled(texts, TEXT).select("_class", "_rank", F.col(TEXT).alias("_cut"))
@@ -85,6 +92,24 @@ def _cuts(rows: DataFrame, ranks: Sequence[int]) -> dict[int, str | None]:
     return dict.fromkeys(ranks) | {r["_rank"]: r["_cut"] for r in _cut_texts(whole, wanted).collect()}
 
 
+def _of_class(rows: DataFrame, sizes: DataFrame, table: DataFrame, width: int = 1) -> DataFrame:
+    """``rows`` (with _class) and what ``table`` (_class, ``width`` cuts or so) has for their class, null where it has nothing.
+
+    No class with many rows is dealt to one task: tasks hold the table or, if it is large, its part for classes of more than one in
+    ``held`` rows (``sizes`` has _class, _size), of which there are fewer than that. The others' rows meet it by a shuffle.
+    """
+    held = max(HELD_CUTS // max(width, 1), 1)
+    table = stored(table, "by-class")
+    if table.count() <= held:
+        return rows.join(F.broadcast(table), "_class", "left")
+    n = sizes.agg(F.sum("_size")).first()[0]
+    large = sizes.where(F.col("_size") * held > F.lit(n)).select("_class", F.lit(True).alias("_large"))
+    told = rows.join(F.broadcast(large), "_class", "left").withColumn("_large", F.col("_large").isNotNull() | F.col("_class").isNull())
+    of_large = table.join(F.broadcast(large), "_class", "left_semi")
+    near = told.where("_large").drop("_large").join(F.broadcast(of_large), "_class", "left")
+    return near.unionByName(told.where("NOT _large").drop("_large").join(table, "_class", "left"))
+
+
 def _upto(cut: str | None) -> Column:
     return F.lit(False) if cut is None else F.col(TEXT) <= F.lit(cut)
 
@@ -152,7 +177,7 @@ def split_stratified(
     more = shares.orderBy(F.col("_rest").desc(), "_class").limit(total - (shares.agg(F.sum("_share")).first()[0] or 0)).select("_class", F.lit(1).alias("_more"))
     ranks = shares.join(more, "_class", "left").select("_class", (F.col("_share") + F.coalesce("_more", F.lit(0)) - 1).alias("_rank"))
     cuts = _cut_texts(placed, stored(ranks.where("_rank >= 0"), "ranks")).drop("_rank")
-    rows = placed.join(cuts, "_class", "left")
+    rows = _of_class(placed, sizes, cuts)
     return rows.select(*df.columns, F.when(F.col(TEXT) <= F.col("_cut"), F.lit("test")).otherwise(F.lit("train")).alias(out))
 
 
@@ -163,7 +188,7 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int, see
     ranks = sizes.select("_class", F.explode(ends).alias("_rank")).where("_rank >= 0").distinct()
     # Folds that end before the first row have no cut: every row lies above them. Folds may end at the same row.
     lists = _cut_texts(placed, stored(ranks, "ranks")).groupBy("_class").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_cut"))).alias("_cuts"))
-    rows = placed.join(sizes.select("_class", ends.alias("_ends")), "_class").join(lists, "_class", "left")
+    rows = _of_class(placed, sizes, sizes.select("_class", ends.alias("_ends")).join(lists, "_class", "left"), k)
     above = F.filter("_ends", lambda r: (r < 0) | (F.col(TEXT) > F.try_element_at("_cuts", r)))
     return rows.select(*df.columns, F.size(above).cast("int").alias(out))
 
@@ -180,7 +205,8 @@ def sample_exact(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight n / (k * n_class) of each row, joined from the table of class counts; null for a null class."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    counts = stored(df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("_class")).agg(F.count(F.lit(1)).alias("_size")), "classes")
     n, k = counts.agg(F.sum("_size"), F.count(F.lit(1))).first()
     weights = counts.select("_class", (F.lit(n or 0) / (F.lit(k) * F.col("_size"))).alias(out))
-    return df.drop(out).join(weights, F.col(label).cast("string") == F.col("_class"), "left").drop("_class")
+    rows = df.drop(out).withColumn("_class", F.col(label).cast("string"))
+    return _of_class(rows, counts, weights).drop("_class")
