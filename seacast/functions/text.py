@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMERIC_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -28,17 +31,29 @@ ACCENTED, BARE = _latin_table()
 COMBINING = "[\\u0300-\\u036f]"
 
 
+#: Bytes of text that are Python strings at once.
+PIECE = 1 << 20
+
+
 def _strip_marks():
     """Arrow UDF: decompose, then remove the combining marks U+0300 to U+036F.
 
-    Made on demand, so that the function travels with the job and the workers need no package.
+    Texts become Python strings a piece of the batch at a time. Made on demand, so that the function travels with the job and the
+    workers need no package.
     """
-
-    @F.pandas_udf(T.StringType())
-    def strip(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
-
-    return strip
+    piece, marks = PIECE, "[\u0300-\u036f]"
+
+    def strip(values: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // piece)) + 1).tolist()
+        parts = [pa.array([], pa.string())]
+        for a, b in zip([0, *cuts], [*cuts, len(values)]):
+            texts = values.slice(a, b - a).to_pylist()
+            parts.append(pa.array([t if t is None or t.isascii() else re.sub(marks, "", unicodedata.normalize("NFD", t)) for t in texts], pa.string()))
+        return pa.concat_arrays(parts)
+
+    strip.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(strip, T.StringType())
 
 
 def normalize_text(text: Column, full: bool = False) -> Column:
