@@ -19,39 +19,63 @@ from seacast.operators.quantiles import clean_double
 from seacast.session import stored
 
 
+#: Entries of a range, or of a part of rows that are put together; their number grows with the table, not their size.
+RANGE_ROWS = 250_000
+
+
+def parts_of(n: int) -> int:
+    return max(-(-n // RANGE_ROWS), 4)
+
+
+class Within:
+    """A sorted range to its rows with the number of the range and, for each flag, the average rank of the value among the rows of
+    its key in the range for which the flag is 1 (``_mid_<flag>``)."""
+
+    def __init__(self, key: str, value: str, flags: Sequence[str]):
+        self.key, self.value, self.flags = key, value, list(flags)
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        key, value = table[self.key].to_numpy(), table[self.value].to_numpy()
+        other = np.diff(key) != 0
+        keys = np.concatenate([[True], other])
+        first = np.flatnonzero(np.concatenate([[True], other | (np.diff(value) != 0)]))
+        sizes = np.diff(np.append(first, len(key)))
+        begin = np.maximum.accumulate(np.where(keys, np.arange(len(key)), 0))[first]
+        for f in self.flags:
+            upto = np.concatenate([[0], np.cumsum(table[f].to_numpy(), dtype=np.int64)])
+            equal, less = upto[first + sizes] - upto[first], upto[first] - upto[begin]
+            table = table.append_column(f"_mid_{f}", pa.array(np.repeat(less + (equal + 1) / 2.0, sizes)))
+        yield from table.append_column("_range", pa.array(np.full(len(key), TaskContext.get().partitionId(), np.int32))).to_batches()
+
+
 def tied_ranks(rows: DataFrame, key: str, value: str, tie: str, flags: Sequence[str]) -> DataFrame:
     """``rows`` (key, value, tie, flags) with the average rank of the value within its key, for each flag as ``<flag>_rank``:
-    among the rows of the key for which the flag is 1.
+    among the rows of the key for which the flag is 1. Keys and flags are whole numbers, values are neither null nor NaN.
 
-    The rows are dealt once by ranges of (key, value, tie). A range reports its totals and, for its least and
-    greatest value, how many rows have it; running totals of these give every range how many rows come
-    before it and how many equal ones lie in the ranges beside it.
+    The rows are dealt once by ranges of (key, value, tie), as many as their number asks for, and ranked within them. A range reports its
+    totals and, for its least and greatest value, how many rows have it; running totals of these give every range how many rows come
+    before it and how many equal ones lie in the ranges beside it. Tasks hold these reports, a few rows for each range.
     """
-    parts = stored(rows.repartitionByRange(key, value, tie).withColumn("_range", F.spark_partition_id()), "ranks")
+    dealt = rows.repartitionByRange(parts_of(rows.count()), key, value, tie).sortWithinPartitions(key, value)
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`_mid_{f}` double" for f in flags), "_range int"])
+    parts = stored(dealt.mapInArrow(Within(key, value, flags), kinds), "ranks")
     report = parts.groupBy(key, "_range").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), *(F.sum(f).alias(f"_t_{f}") for f in flags))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    report = report.select(key, "_range", "_low", "_high", *(F.coalesce(F.sum(f"_t_{f}").over(before), F.lit(0)).alias(f"_b_{f}") for f in flags))
-    edges = parts.join(report.select(key, "_range", "_low", "_high"), [key, "_range"]).where((F.col(value) == F.col("_low")) | (F.col(value) == F.col("_high")))
+    report = stored(report.select(key, "_range", "_low", "_high", *(F.coalesce(F.sum(f"_t_{f}").over(before), F.lit(0)).alias(f"_b_{f}") for f in flags)), "ranges")
+    edges = parts.join(F.broadcast(report.select(key, "_range", "_low", "_high")), [key, "_range"]).where((F.col(value) == F.col("_low")) | (F.col(value) == F.col("_high")))
     counts = edges.groupBy(key, value, "_range").agg(*(F.sum(f).alias(f) for f in flags))
     sides = [Window.partitionBy(key, value).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("_range"), F.col("_range").desc())]
-    beside = counts.select(
-        key, "_range", F.col(value).alias("_edge"),
-        *(F.coalesce(F.sum(f).over(w), F.lit(0)).alias(f"_{n}_{f}") for f in flags for n, w in zip(("left", "right"), sides)),
-    )
-    own = Window.partitionBy(key, "_range").orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    equal = Window.partitionBy(key, "_range", value)
-    inside = parts.withColumns({f"_u_{f}": F.sum(f).over(own) for f in flags} | {f"_e_{f}": F.sum(f).over(equal) for f in flags})
-    told = inside.join(report, [key, "_range"])
-    names = {f"_{n}_{f}" for f in flags for n in ("left", "right")}
-    kept = beside.where(" OR ".join(f"{n} > 0" for n in sorted(names))).withColumnRenamed(key, "_k").withColumnRenamed("_range", "_r")
-    told = told.join(kept, (F.col(key) == F.col("_k")) & (F.col("_range") == F.col("_r")) & (F.col(value) == F.col("_edge")), "left")
-
-    def rank(f: str):
-        left, right = (F.coalesce(F.col(f"_{n}_{f}"), F.lit(0)) for n in ("left", "right"))
-        less = F.col(f"_b_{f}") + F.col(f"_u_{f}") - F.col(f"_e_{f}") - left
-        return less + (F.col(f"_e_{f}") + left + right + 1) / 2.0
-
-    return told.select(*rows.columns, *(rank(f).alias(f"{f}_rank") for f in flags))
+    left, right = ({f: F.coalesce(F.sum(f).over(w), F.lit(0)) for f in flags} for w in sides)
+    beside = counts.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), F.col(value).alias("_edge"), *((right[f] - left[f]).alias(f"_beside_{f}") for f in flags))
+    kept = stored(beside.where(" OR ".join(f"_beside_{f} <> 0" for f in flags)), "edges")
+    told = parts.join(F.broadcast(report.drop("_low", "_high")), [key, "_range"])
+    told = told.join(F.broadcast(kept), (F.col(key) == F.col("_k")) & (F.col("_range") == F.col("_r")) & (F.col(value) == F.col("_edge")), "left")
+    # Of the rows before the range, the equal ones to the left count by half, and so do those to the right.
+    return told.select(*rows.columns, *((F.col(f"_b_{f}") + F.col(f"_mid_{f}") + F.coalesce(f"_beside_{f}", F.lit(0)) / 2.0).alias(f"{f}_rank") for f in flags))
 
 
 def pair_ranks(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str], list[int], list[int], list[tuple[str, str]]]:
@@ -70,13 +94,13 @@ def pair_ranks(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]
     entries = data.select("_row", *known, F.inline(slots)).where("value IS NOT NULL")
     ranked = tied_ranks(entries.select("variable", "value", "_row", *flags), "variable", "value", "_row", flags)
     names = [f"r{i}_{f}" for i in range(len(cols)) for f in flags]
-    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("variable") == i, F.col(f"{f}_rank"))).alias(f"r{i}_{f}") for i in range(len(cols)) for f in flags])
+    wide = ranked.repartition(parts_of(entries.count()), "_row").groupBy("_row").agg(*[F.max(F.when(F.col("variable") == i, F.col(f"{f}_rank"))).alias(f"r{i}_{f}") for i in range(len(cols)) for f in flags])
 
     def place(of: int, beside: int) -> int:
         return names.index(f"r{of}_{f'k{beside}' if beside in flagged else 'k'}")
 
     both = list(combinations(range(len(cols)), 2))
-    return wide.select(*names), names, [place(a, b) for a, b in both], [place(b, a) for a, b in both], [(cols[a], cols[b]) for a, b in both]
+    return stored(wide.select(*names), "wide-ranks"), names, [place(a, b) for a, b in both], [place(b, a) for a, b in both], [(cols[a], cols[b]) for a, b in both]
 
 
 # --- inversions -------------------------------------------------------------
