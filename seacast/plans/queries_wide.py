@@ -95,18 +95,25 @@ def high_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _land_log(spark: SparkSession, sf: str, root: str) -> None:
-    """The notes as records in two layouts: some notes hold a line break and quotes, every seventh line lacks cells."""
+#: Records of the landed log for each pair of its files.
+LOG_ROWS = 500_000
+
+
+    """The notes as records in two layouts: some notes hold a line break and quotes, every seventh line lacks cells.
+
+    Files hold half of LOG_ROWS records or so, in five files a layout at least, so writing and reading take as many tasks as the table asks for."""
     log = spark.sql("SELECT l_orderkey, l_linenumber, annulation, meteo FROM {raw_notes}", raw_notes=adapted(spark, sf, "raw_notes"))
     line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    files = max(5, -(-log.count() // LOG_ROWS))
     note = F.concat(F.lit('"'), F.regexp_replace(F.coalesce("meteo", F.lit("NA")), " Mer", '\n""Mer""'), F.lit('"'))
     broken = F.concat(F.lit("cut off "), line)
     first = F.when(F.col("l_linenumber") == 7, broken).otherwise(F.concat_ws(",", note, line, F.lit("01/02/2024 08:30"), F.coalesce("annulation", F.lit(""))))
     second = F.when(F.col("l_linenumber") == 7, broken).otherwise(F.concat_ws(",", F.lit("x"), line, F.coalesce("annulation", F.lit("")), note, F.lit("01/02/2024 08:30")))
     for folder, header, record, rest in (("a", "Météo,Ligne,Horaire,Annulation", first, 0), ("b", "more,Ligne,Annulation,Météo,Horaire", second, 1)):
-        file = F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int").alias("file")
+        file = F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).cast("int").alias("file")
         rows = log.where(F.col("l_orderkey") % 2 == rest).select(file, F.lit(1).alias("at"), record.alias("value"))
-        heads = spark.range(5).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(header).alias("value"))
-        rows.unionByName(heads).repartition(5, "file").sortWithinPartitions("file", "at").select("value").write.text(f"{root}/{folder}")
+        heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(header).alias("value"))
+        rows.unionByName(heads).repartition(files, "file").sortWithinPartitions("file", "at").select("value").write.text(f"{root}/{folder}")
 
 
 @query(

@@ -7,6 +7,7 @@ and the few pieces of records that lie across splits are put together by an aggr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -43,39 +44,37 @@ def closing(text: str, at: int) -> int:
             return quote + 1
 
 
+#: The rest of a quoted field with its closing quote, as :func:`closing` finds it; a field that is closed; all fields of a line up to its end.
+_REST = r'(?:[^"\\]++|\\.|"")*+"'
+_FIELD = rf'(?:"{_REST}[^,]*+|(?:[^",][^,]*+)?)'
+_FIELDS = rf"(?:,{_FIELD})*+"
+_CLOSED = re.compile(_FIELD + _FIELDS, re.DOTALL).fullmatch
+_CLOSED_INSIDE = re.compile(f"{_REST}[^,]*+{_FIELDS}", re.DOTALL).fullmatch
+_CELL = re.compile(r'(?:"((?:[^"\\]++|\\.|"")*+)"([^,]*+)|([^",][^,]*+)?)(,|\Z)', re.DOTALL)
+
+
 def open_after(line: str, inside: bool) -> bool:
     """Whether a quoted field is open at the end of a line that begins inside one or at the start of a field."""
-    at = 0
-    while True:
-        if inside or line[at : at + 1] == '"':
-            at = closing(line, at if inside else at + 1)
-            if at < 0:
-                return True
-            inside = False
-        comma = line.find(",", at)
-        if comma < 0:
-            return False
-        at = comma + 1
+    return (_CLOSED_INSIDE if inside else _CLOSED)(line) is None
 
 
 def cells(record: str) -> list[str | None]:
-    """The cells of a record; an empty one without quotes is None. What follows a closing quote belongs to its cell."""
+    """The cells of a record; an empty one without quotes is None. What follows a closing quote belongs to its cell, and a
+    field that is never closed is the last one."""
     if '"' not in record:
         return [c or None for c in record.split(",")]
     out, at = [], 0
-    while True:
-        quoted = record[at : at + 1] == '"'
-        start = at
-        if quoted:
-            end = closing(record, at + 1)
-            at = end if end > 0 else len(record)
-            body = record[start + 1 : at - (end > 0)].replace('""', '"').replace('\\"', '"').replace("\\\\", "\\")
-        comma = record.find(",", at)
-        rest = record[at if quoted else start : comma if comma >= 0 else len(record)]
-        out.append(body + rest if quoted else rest or None)
-        if comma < 0:
+    while found := _CELL.match(record, at):
+        body, rest, plain, end = found.groups()
+        out.append(plain if body is None else (unescaped(body) if '"' in body or "\\" in body else body) + rest)
+        if not end:
             return out
-        at = comma + 1
+        at = found.end()
+    return [*out, unescaped(record[at + 1 :])]
+
+
+def unescaped(body: str) -> str:
+    return body.replace('""', '"').replace('\\"', '"').replace("\\\\", "\\")
 
 
 def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
