@@ -19,6 +19,8 @@ NOMINAL = ["ligne", "bateau", "ciel", "capitaine"]
 REDUCED_PREFIXES = ("ciel_", "bateau_", "capitaine_")
 # Columns of a dense one-hot table at most, by default; :func:`one_hot_sparse` has no such bound.
 DENSE_COLUMNS = 5_000
+#: Categories of a column that every task may hold.
+HELD_CATEGORIES = 20_000
 
 
 def fit_vocabulary(df: DataFrame, cols: Sequence[str], limit: int = DENSE_COLUMNS) -> dict[str, list[str | None]]:
@@ -126,11 +128,12 @@ class SparseLayout:
     def coded(self, df: DataFrame) -> DataFrame:
         """``df`` with the code of each text column as ``_code_<i>``; null for unknown values.
 
-        The tables of categories carry no hint: small ones are broadcast by their measured size, large ones meet by a sort-merge join
-        with skew split.
+        Tasks hold the tables of columns with few categories, so a category with many rows stays where its rows are; large tables carry
+        no hint and meet by a sort-merge join with skew split.
         """
         for i, c in enumerate(self.cols):
             table = self.categories.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias(f"_code_{i}"))
+            table = F.broadcast(table) if self.sizes[c] <= HELD_CATEGORIES else table
             df = df.join(table, F.col(quoted(c)).cast("string").eqNullSafe(F.col("_category")), "left").drop("_category")
         return df
 

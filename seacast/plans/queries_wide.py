@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seacast.functions.direction import weather_ratios
 from seacast.models import kernel, neighbours, runs, train
+from seacast.models.sparsetree import SparseTree
 from seacast.operators import corr, profile
 from seacast.operators.encode import crossing_features, sparse_layout
 from seacast.operators.ordered import running_totals
@@ -18,7 +19,7 @@ from seacast.plans.queries import query, r6
 from seacast.plans.queries_crossing import night_sql
 from seacast.plans.queries_model import run_table, training_days
 from seacast.schemas import MEASURES
-from seacast.session import scratch_path
+from seacast.session import scratch_path, stored
 from seacast.sources.tables import read_raw_crossings, rejected_crossings
 from seacast.streaming.jobs import consolidate_by_state
 
@@ -94,17 +95,17 @@ def high_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 # --- landed records -------------------------------------------------------------
 
 
-def _land_log(spark: SparkSession, sf: str, root: str) -> None:
 #: Records of the landed log for each pair of its files.
 LOG_ROWS = 500_000
 
 
+def _land_log(spark: SparkSession, sf: str, root: str) -> None:
     """The notes as records in two layouts: some notes hold a line break and quotes, every seventh line lacks cells.
 
     Files hold half of LOG_ROWS records or so, in five files a layout at least, so writing and reading take as many tasks as the table asks for."""
     log = spark.sql("SELECT l_orderkey, l_linenumber, annulation, meteo FROM {raw_notes}", raw_notes=adapted(spark, sf, "raw_notes"))
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
     files = max(5, -(-log.count() // LOG_ROWS))
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
     note = F.concat(F.lit('"'), F.regexp_replace(F.coalesce("meteo", F.lit("NA")), " Mer", '\n""Mer""'), F.lit('"'))
     broken = F.concat(F.lit("cut off "), line)
     first = F.when(F.col("l_linenumber") == 7, broken).otherwise(F.concat_ws(",", note, line, F.lit("01/02/2024 08:30"), F.coalesce("annulation", F.lit(""))))
@@ -182,8 +183,10 @@ def sparse_model(spark: SparkSession, sf: str) -> DataFrame:
     """A tree trained on the whole sparse matrix: rows, width of the vectors, and test rows in its confusion matrix."""
     rows = crossing_features(whole_crossings(spark, sf))
     layout = sparse_layout(rows, drop=["crossing_id", "annulation"])
-    parts = split_stratified(layout.vectors(rows).select("crossing_id", "annulation", "features"), "annulation", ["crossing_id"])
-    model = DecisionTreeClassifier(labelCol="annulation", maxDepth=5, maxMemoryInMB=512, seed=42).fit(parts.where("split = 'train'"))
+    # The encoder's names of all places would be part of each file's schema.
+    vectors = layout.vectors(rows).select("crossing_id", "annulation", F.col("features").alias("features", metadata={}))
+    parts = split_stratified(stored(vectors, "vectors"), "annulation", ["crossing_id"])
+    model = SparseTree("annulation", len(layout.numeric), depth=5).fit(parts.where("split = 'train'"))
     scored = model.transform(parts.where("split = 'test'"))
     n_test = train.binary_metrics(scored, "annulation", "prediction").select(sum((F.col(c) for c in ("tn", "fp", "fn", "tp")), F.lit(0)).cast("long").alias("n_test"))
     return n_test.select(F.lit(rows.count()).cast("long").alias("n_rows"), F.lit(model.numFeatures).cast("long").alias("width"), "n_test")
