@@ -76,7 +76,25 @@ def with_ratios(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v for k, v in weather_ratios().items() if k not in df.columns})
 
 
+#: Rows of a forest's training table that one task passes over.
+FOREST_ROWS = 100_000
+
+
+def spread(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``cols`` of a forest's training rows, in partitions of ``FOREST_ROWS`` rows; a table of so many at most stays as it is.
+
+    A narrow table of millions of rows is one small file, so one task would grow all trees. The number of tasks follows
+    from the rows alone and they are in order there, so the sampled rows do not depend on the machines.
+    """
+    rows = train.select(*dict.fromkeys(cols))
+    parts = -(-rows.count() // FOREST_ROWS)
+    return rows.repartition(parts).sortWithinPartitions(*rows.columns) if parts > 1 else rows
+
+
 def fit_model(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
+    if isinstance(estimator, RandomForestClassifier):
+        weight = [estimator.getWeightCol()] if estimator.isDefined(estimator.weightCol) else []
+        train = spread(train, [*features, estimator.getLabelCol(), *weight])
     return Pipeline(stages=[assembler(features), estimator]).fit(train)
 
 

@@ -238,3 +238,29 @@ def test_grid_search_scores_every_parameter_set(spark):
     rows = grid_search(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len({r.params for r in rows}) == 5 * 2 * 2
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+# --- forests over many rows ---
+
+
+def test_forest_rows_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id AS k", "id % 7 AS a", "CAST(id % 3 = 0 AS INT) AS y")
+    monkeypatch.setattr(train, "FOREST_ROWS", 300)
+    dealt = train.spread(rows, ["a", "y", "a"])
+    assert dealt.columns == ["a", "y"] and dealt.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, dealt.collect())) == sorted((i % 7, int(i % 3 == 0)) for i in range(1000))
+    assert dealt.rdd.glom().map(lambda p: p == sorted(p)).collect() == [True] * 4
+    assert max(dealt.rdd.glom().map(len).collect()) == 250
+    monkeypatch.setattr(train, "FOREST_ROWS", 1000)
+    assert train.spread(rows, ["a", "y"]).rdd.getNumPartitions() == 1
+
+
+def test_forests_are_fitted_to_dealt_rows(spark, monkeypatch):
+    seen = []
+    deal = train.spread
+    monkeypatch.setattr(train, "spread", lambda rows, cols: seen.append(list(cols)) or deal(rows, cols))
+    rows = spark.range(60).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "CAST(id % 2 AS INT) AS y", "1.0 AS weight")
+    train.fit_model(rows, ["a"], train.forest("y", trees=2, depth=2, weight="weight"))
+    train.fit_model(rows, ["a"], train.forest("y", trees=2, depth=2))
+    train.fit_model(rows, ["a"], LogisticRegression(labelCol="y", maxIter=2))
+    assert seen == [["a", "y", "weight"], ["a", "y"]]
