@@ -15,7 +15,7 @@ from seacast.llm.tokens import Encoder
 from seacast.session import stored
 
 #: Tokens of a sequence, tokens of a histogram bin, bytes of text encoded at once.
-LENGTH, STEP, SLICE = 2048, 8, 12 << 20
+LENGTH, STEP, SLICE = 2048, 8, 3 << 20
 
 
 def best_pattern(duals: np.ndarray, sizes: np.ndarray, width: int) -> tuple[float, np.ndarray]:
