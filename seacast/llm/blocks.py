@@ -78,25 +78,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base modulo 2 ** 64 and of its inverse, for hashes of ranges from prefix sums."""
+    """Powers of an odd base modulo 2 ** 64 and of its inverse, for hashes of ranges from prefix sums.
 
-    BASE = 0x2545F4914F6CDD1D
+    The power of a place is the product of one of its low ``BITS`` and one of the rest, so tables stay small.
+    """
+
+    BASE, BITS = 0x2545F4914F6CDD1D, 16
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+        self.low = [self.table(self.BASE), self.table(pow(self.BASE, -1, 1 << 64))]
+        self.high = [self.table(pow(int(t[-1]) * int(t[1]), 1, 1 << 64)) for t in self.low]
+
+    def table(self, base: int) -> np.ndarray:
+        steps = np.full(1 << self.BITS, base, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps)
+
+    def down(self, places: np.ndarray) -> np.ndarray:
+        """The inverse's power of each place."""
+        return self.low[1][places & ((1 << self.BITS) - 1)] * self.high[1][places >> self.BITS]
 
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            steps = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), s[1:]])) for s in steps)
+    def parts(self, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(a, b, powers of a..b - 1) of the parts of 0..n - 1."""
+        for a in range(0, n, 1 << self.BITS):
+            b = min(a + (1 << self.BITS), n)
+            yield a, b, self.low[0][: b - a] * self.high[0][a >> self.BITS]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        self.need(len(values) + 1)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[: len(values)], dtype=np.uint64)])
+        out, total = np.zeros(len(values) + 1, np.uint64), np.uint64(0)
+        for a, b, powers in self.parts(len(values)):
+            out[a + 1 : b + 1] = np.cumsum(values[a:b] * powers, dtype=np.uint64) + total
+            total = out[b]
+        return out
+
+    def prefix_at(self, table: np.ndarray, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The prefix sums of ``table[codes]`` at the places (ascending) alone."""
+        out, total, done = np.zeros(len(places), np.uint64), np.uint64(0), int(np.searchsorted(places, 1))
+        for a, b, powers in self.parts(len(codes)):
+            sums = np.cumsum(table[codes[a:b]] * powers, dtype=np.uint64) + total
+            upto = int(np.searchsorted(places, b, side="right"))
+            out[done:upto], done, total = sums[places[done:upto] - a - 1], upto, sums[-1]
+        return out
 
     def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each range start..end - 1; equal ranges of values have equal hashes."""
-        return (prefix[ends] - prefix[starts]) * self.down[starts]
+        out = prefix[ends]
+        out -= prefix[starts]
+        out *= self.down(starts)
+        return out
 
 
 POWERS = Powers()

@@ -50,7 +50,12 @@ class Slice:
         stop = np.cumsum(lengths + 1)
         self.start, self.length = stop - lengths - 1, lengths
         self.bytes = np.full(int(stop[-1]) if len(stop) else 0, 32, np.uint8)
-        self.bytes[ragged(self.start, lengths)] = data[word]
+        for a, b in groups(lengths):
+            here = slice(starts[a], starts[b - 1] + lengths[b - 1])
+            self.bytes[ragged(self.start[a:b], lengths[a:b])] = data[here][word[here]]
+        # Prefix sums where words begin and end, so that a phrase is named by its first and its last word.
+        self.before = POWERS.prefix_at(_BYTES, self.bytes, self.start)
+        self.after = POWERS.prefix_at(_BYTES, self.bytes, self.start + lengths)
 
     def grams(self, n: int) -> np.ndarray:
         """Words that begin an n-gram within a piece."""
@@ -60,29 +65,36 @@ class Slice:
     def size(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         return self.start[at + n - 1] + self.length[at + n - 1] - self.start[at]
 
+    def hashes(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """A hash of the bytes of each phrase of ``n`` words from ``at`` on."""
+        return (self.after[at + n - 1] - self.before[at]) * POWERS.down(self.start[at])
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words ``a`` and ``b``, of one length each, have the same bytes."""
+        out, sizes = np.ones(len(a), bool), self.length[a]
+        for i, j in groups(sizes):
+            differ = self.bytes[ragged(self.start[a[i:j]], sizes[i:j])] != self.bytes[ragged(self.start[b[i:j]], sizes[i:j])]
+            out[i:j] = np.add.reduceat(differ, np.cumsum(sizes[i:j]) - sizes[i:j], dtype=np.int64) == 0
+        return out
+
     def distinct(self, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(fingerprint, first word, words, occurrences) of the distinct n-grams of each language, in the order of fingerprints.
 
         Fingerprints are differences of prefix polynomials; those of one language and size that are equal are
         compared word by word, so an entry never stands for two phrases (a phrase may have two entries).
         """
-        prefix = POWERS.prefix(_BYTES[self.bytes])
         codes, kinds = np.zeros(0, np.int64), np.array([mixed(np.array([hash_name(x)], np.uint64))[0] for x in self.names], np.uint64)
         out = []
         for n in range(1, longest + 1):
             at = self.grams(n)
-            ends = self.start[at] + self.size(at, n)
-            key = mixed(POWERS.ranges(prefix, self.start[at], ends) ^ kinds[self.lang[at]] + np.uint64(n)) >> np.uint64(64 - BITS) if len(at) else np.zeros(0, np.uint64)
+            key = mixed(self.hashes(at, n) ^ kinds[self.lang[at]] + np.uint64(n)) >> np.uint64(64 - BITS) if len(at) else np.zeros(0, np.uint64)
             order = np.argsort(key, kind="stable")
             at, key = at[order], key[order]
             head = np.ones(len(at), bool)
             if n == 1:
                 a, b = at[:-1], at[1:]
                 near = np.flatnonzero((key[1:] == key[:-1]) & (self.length[a] == self.length[b]) & (self.lang[a] == self.lang[b]))
-                sizes = self.length[a[near]]
-                differ = self.bytes[ragged(self.start[a[near]], sizes)] != self.bytes[ragged(self.start[b[near]], sizes)]
-                same = np.add.reduceat(differ, np.cumsum(sizes) - sizes, dtype=np.int64) == 0 if len(near) else np.zeros(0, bool)
-                head[1 + near[same]] = False
+                head[1 + near[self.alike(a[near], b[near])]] = False
                 codes = np.empty(len(self.start), np.int64)
                 codes[at] = np.cumsum(head)
             else:
@@ -102,6 +114,13 @@ class Slice:
         return self.bytes[ragged(self.start[at], sizes)].tobytes(), sizes
 
 
+def groups(sizes: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of the entries whose sizes add up to about ``limit``; one entry may be larger."""
+    if len(sizes):
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1).tolist(), len(sizes)]
+        yield from zip(cuts, cuts[1:])
+
+
 def hash_name(name: str) -> int:
     out = 1469598103934665603
     for byte in name.encode():
@@ -232,8 +251,7 @@ class Materialised:
 
     def slice(self, one: Slice, held: list) -> Iterator[pa.RecordBatch]:
         at, n, count = (np.concatenate([np.frombuffer(p[k], kind) for p in held]).astype(np.int64) for k, kind in enumerate((np.int32, np.int8, np.int32)))
-        prefix = POWERS.prefix(_BYTES[one.bytes])
-        key = mixed(POWERS.ranges(prefix, one.start[at], one.start[at] + one.size(at, n))) >> np.uint64(64 - BITS)
+        key = mixed(one.hashes(at, n)) >> np.uint64(64 - BITS)
         bucket = bucket_of(key, self.buckets)
         order = np.lexsort([key, bucket])
         at, n, count, bucket = at[order], n[order], count[order], bucket[order]

@@ -108,7 +108,7 @@ class Segments:
         none = np.zeros(0, np.int64)
         if n <= 0:
             return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), none, np.zeros(0, np.uint64)
-        grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.down[: size - GRAM + 1])
+        grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.down(np.arange(size - GRAM + 1)))
         lows = sliding_min(grams, width)
         valid = np.ones(n, bool)
         ends, lengths = offsets[1:], np.diff(offsets)
