@@ -18,6 +18,8 @@ RUN = 64
 SLICE, SUB, TASK = 3 << 20, 2, 128 << 20
 #: Windows in distinct runs of one minimiser above which they go in blocks; one in so many documents is counted, longer texts always.
 HOT, SAMPLE, LONG = 1 << 15, 8, 1 << 16
+#: Words of a slice that are joined at once, and bits of a window's hash by which a bucket's windows are sorted in parts.
+WORDS, PART_BITS = 1 << 18, 3
 SPANS = "doc_id bigint, tag int, start int, size int"
 
 
@@ -192,17 +194,21 @@ class SuperKmers:
         gone, home = gone[np.argsort(home, kind="stable")], np.sort(home).astype(np.int64)
         names = np.union1d(bucket[there], home)
         a, b, c, d = (np.searchsorted(x, names, side=s) for x in (bucket[there], home) for s in ("left", "right"))
-        words = flat.take(pa.array(ragged(starts[there], lengths[there])))
         edges = np.concatenate([[0], np.cumsum(lengths[there])])
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([edges[a], edges[-1:]]).astype(np.int32)), words), " ") if len(names) else []
+        groups = np.flatnonzero(np.diff(edges[a] // WORDS, prepend=-1)) if len(names) else a
         values = []
-        for k in range(len(names)):
-            t, g = there[a[k] : b[k]], gone[c[k] : d[k]]
-            values.append(pack(
-                np.diff(ids[row[t]], prepend=0), tags[row[t]], (starts[t] - offsets[row[t]]).astype(np.int32), sizes[t].astype(np.uint8),
-                joined[k].as_buffer().to_pybytes(),
-                np.diff(ids[row[g]], prepend=0), tags[row[g]], (starts[g] - offsets[row[g]]).astype(np.int32), lengths[g].astype(np.uint8),
-            ))
+        for first, last in zip(groups, np.append(groups[1:], len(names))):
+            sent = there[a[first] : b[last - 1]]
+            words = flat.take(pa.array(ragged(starts[sent], lengths[sent])))
+            at = np.append(edges[a[first:last]], edges[b[last - 1]]) - edges[a[first]]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words), " ")
+            for k in range(first, last):
+                t, g = there[a[k] : b[k]], gone[c[k] : d[k]]
+                values.append(pack(
+                    np.diff(ids[row[t]], prepend=0), tags[row[t]], (starts[t] - offsets[row[t]]).astype(np.int32), sizes[t].astype(np.uint8),
+                    joined[k - first].as_buffer().to_pybytes(),
+                    np.diff(ids[row[g]], prepend=0), tags[row[g]], (starts[g] - offsets[row[g]]).astype(np.int32), lengths[g].astype(np.uint8),
+                ))
         if values:
             yield pa.RecordBatch.from_arrays([pa.array((names // SUB).astype(np.int32)), pa.array(names), pa.array(values, pa.binary())], ["part", "bucket", "value"])
 
@@ -257,6 +263,15 @@ class Counted:
         """Whether the window at each place also starts in a smaller document; windows come in document order."""
         prefix = POWERS.prefix(mixed(codes.astype(np.uint64) + np.uint64(1)))
         key = POWERS.ranges(prefix, at, at + self.window)
+        del prefix
+        out, part = np.empty(len(at), bool), (mixed(key) >> np.uint64(64 - PART_BITS)).astype(np.uint8)
+        for k in range(1 << PART_BITS):
+            mine = np.flatnonzero(part == k)
+            out[mine] = self.sorted_windows(codes, at[mine], doc[mine], key[mine])
+        return out
+
+    def sorted_windows(self, codes: np.ndarray, at: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """:meth:`repeated` for windows that have no equal one elsewhere."""
         order = np.argsort(key, kind="stable")
         tie = key[order][1:] == key[order][:-1]
         pair = np.flatnonzero(tie)

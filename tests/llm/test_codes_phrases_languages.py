@@ -3,14 +3,18 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from seacast.llm import charlm, covertree, phrases, queries
+from seacast.llm import charlm, covertree, cutting, phrases, queries, superkmer
+from seacast.llm.blocks import Powers
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +269,59 @@ def test_held_out_accuracy(spark):
 @pytest.mark.parametrize("name", ["op11_cover_tree_codes", "op12_phrases"])
 def test_queries_equal_sql(spark, name):
     assert compare(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLES[name]) is None
+
+
+# --- memory of a slice ---
+
+
+def traced_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_powers_of_places_beyond_the_table():
+    powers, n, rng = Powers(), 200_003, np.random.default_rng(1)
+    values, codes, table = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 256, n).astype(np.uint8), rng.integers(0, 2**63, 256).astype(np.uint64)
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)])) for base in (Powers.BASE, pow(Powers.BASE, -1, 1 << 64)))
+    assert (powers.prefix(values) == np.concatenate([[np.uint64(0)], np.cumsum(values * up[:n], dtype=np.uint64)])).all()
+    assert (powers.down(np.arange(n + 1)) == down).all()
+    places = np.concatenate([[0], np.sort(rng.integers(0, n + 1, 5000)), [n]])
+    whole = np.concatenate([[np.uint64(0)], np.cumsum(table[codes] * up[:n], dtype=np.uint64)])
+    assert (powers.prefix_at(table, codes, places) == whole[places]).all()
+    assert len(powers.prefix_at(table, codes[:0], places[:0])) == 0
+
+
+def test_slice_of_phrases_holds_no_numbers_for_each_byte():
+    words = ["longword%d" % (i * i % 977) for i in range(100_000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    one = lambda: phrases.Slice(data, np.array([len(data)]), np.zeros(1, np.int32), ["en"])
+    assert traced_mb(lambda: one().distinct(1)) < 40
+    key, at, n, count = one().distinct(1)
+    assert sorted(count) == sorted(Counter(words).values()) and {words[i] for i in at} == set(words)
+
+
+def test_windows_of_a_bucket_are_sorted_in_parts():
+    rng = np.random.default_rng(2)
+    codes, doc = rng.integers(0, 3, 300_000).astype(np.int32), np.sort(rng.integers(0, 500, 299_988))
+    at, out = np.arange(len(doc), dtype=np.int32), []
+    assert traced_mb(lambda: out.append(superkmer.Counted(13).repeated(codes, at, doc))) < 15
+    first = {}
+    plain = [first.setdefault(codes[i : i + 13].tobytes(), d) < d for i, d in zip(at.tolist(), doc.tolist())]
+    assert out[0].tolist() == plain
+
+
+def test_packing_encodes_a_few_megabytes_at_a_time():
+    seen = []
+
+    class Encoder:
+        def __call__(self, texts, end_id):
+            seen.append(pc.sum(pc.binary_length(texts)).as_py())
+            return np.full(len(texts), end_id, np.uint32), np.arange(len(texts) + 1)
+
+    rows = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(["x" * 10_000] * 2000)})
+    pieces = list(cutting.Cutter(Encoder(), 1, 2048, False)([rows]))
+    assert sum(p.num_rows for p in pieces) == 2000 and sum(seen) == 20_000_000
+    assert max(seen) < 4 << 20
