@@ -98,6 +98,10 @@ class Powers:
         """The inverse's power of each place."""
         return self.low[1][places & ((1 << self.BITS) - 1)] * self.high[1][places >> self.BITS]
 
+    def downs(self, n: int) -> np.ndarray:
+        """The inverse's powers of 0..n - 1."""
+        return (self.high[1][: -(-n >> self.BITS), None] * self.low[1]).ravel()[:n]
+
     def parts(self, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(a, b, powers of a..b - 1) of the parts of 0..n - 1."""
         for a in range(0, n, 1 << self.BITS):

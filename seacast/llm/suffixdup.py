@@ -33,7 +33,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    end = change[np.searchsorted(change, np.arange(n))]
+    end = np.repeat(change, np.diff(change, prepend=-1))
     small = (end < n - 1) & (text[end] < text[np.minimum(end + 1, n - 1)])
     direct = np.flatnonzero(small)
     raw = text.tobytes()
@@ -57,11 +57,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
                 induced[text[part[0]]].append(part)
 
     for byte in range(256):
-        k = 0
-        while k < len(induced[byte]):  # grows while runs of this byte are induced
-            out.append(induced[byte][k])
-            induce(induced[byte][k])
-            k += 1
+        while induced[byte]:  # again while runs of this byte are induced
+            found = np.concatenate(induced[byte])
+            induced[byte].clear()
+            out.append(found)
+            induce(found)
         own = direct[edges[byte] : edges[byte + 1]]
         out.append(own)
         induce(own)
@@ -108,7 +108,7 @@ class Segments:
         none = np.zeros(0, np.int64)
         if n <= 0:
             return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), none, np.zeros(0, np.uint64)
-        grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.down(np.arange(size - GRAM + 1)))
+        grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * POWERS.downs(size - GRAM + 1))
         lows = sliding_min(grams, width)
         valid = np.ones(n, bool)
         ends, lengths = offsets[1:], np.diff(offsets)
@@ -117,15 +117,19 @@ class Segments:
         valid[ragged(np.minimum(valid_edges, n), short)] = False
         fresh = valid.copy()
         fresh[1:] &= ~valid[:-1] | (lows[1:] != lows[:-1])
-        index = np.arange(n)
-        place = index - np.maximum.accumulate(np.where(fresh, index, 0))
-        starts = np.flatnonzero(valid & (place % RUN == 0))
-        if not len(starts):
+        # Runs of windows with one anchor begin at a fresh one and end before the next or where windows reach into the next text.
+        heads = np.flatnonzero(fresh)
+        if not len(heads):
             return none, none, np.zeros(0, np.uint64), np.zeros(0, bool), none, grams
-        sizes = np.add.reduceat(valid, starts, dtype=np.int64)
+        runs = np.minimum(np.append(heads[1:], n), valid_edges[np.searchsorted(offsets, heads, side="right") - 1]) - heads
+        cuts = -(-runs // RUN)
+        starts = np.repeat(heads, cuts) + RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        sizes = np.minimum(np.repeat(heads + runs, cuts) - starts, RUN)
         # A window that occurs twice in a segment has its anchor both at a start and at an end of windows of the segment.
-        first = np.minimum.reduceat(np.where((grams[:n] == lows) & valid, index, size), starts)
-        last = np.maximum.reduceat(np.where((grams[width - 1 :] == lows) & valid, index + width - 1, -1), starts)
+        first, last = np.full(len(starts), size), np.full(len(starts), -1)
+        begins, ends = (np.flatnonzero((x == lows) & valid) for x in (grams[:n], grams[width - 1 :]))
+        np.minimum.at(first, np.searchsorted(starts, begins, side="right") - 1, begins)
+        np.maximum.at(last, np.searchsorted(starts, ends, side="right") - 1, ends + width - 1)
         spot = starts + sizes - 1
         spot = spot + np.concatenate([(grams[part[:, None] + np.arange(width)] == lows[part][:, None]).argmax(axis=1) for part in np.array_split(spot, len(spot) // 2048 + 1)])
         several = ((first < size) & (first != spot)) | ((last >= 0) & (last != spot))
