@@ -12,13 +12,16 @@ from seacast.llm.blocks import ragged
 
 #: White space outside ASCII, and the mark between pieces: texts with one of these are encoded whole.
 _WHOLE = "[\x00\u0085\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_EDGE, _CUT = "([^ \t\n\v\f\r])([ \t\n\v\f\r])", "\\1\x00\\2"
 #: Letters, in all versions of Unicode, and signs that never belong to the same pre-token as a letter before them.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIGN = "([" + _LETTER + "])([.,!?;:|#*$%&<>()])"
 _SPECIAL = "<[|](start|end)oftext[|]>"
-#: Characters that the library encodes in one call, and common pieces whose ids a process keeps.
+#: Whether a byte is ASCII white space, an ASCII letter, or a sign after which no word goes on and that no special token has.
+_SPACES, _LETTERS, _STOPS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\v\f\r", bytes(range(65, 91)) + bytes(range(97, 123)), b".,!?;:"))
+#: Characters that the library encodes in one call, and common words whose ids a process keeps.
 HELD, KEPT = 1 << 18, 300_000
+#: Pieces with white space whose ids a process keeps, and bytes of the longest of them.
+KEPT_PIECES, LONGEST = 1 << 20, 64
 
 
 _WORKER: dict[tuple[str, bool], Encoder] = {}
@@ -32,11 +35,32 @@ def shared(path: str, spaces: bool) -> Encoder:
     return _WORKER[path, spaces]
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, offsets): the texts cut before white space that follows another character and before a stop that follows a
+    letter, and where each text's pieces begin, with the end. The pieces share the bytes of the texts."""
+    texts = texts.cast(pa.string())
+    _, places, data = texts.buffers()
+    ends = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    head = np.zeros(len(raw) + 1, bool)
+    white = _SPACES[raw]
+    head[1:-1] = white[1:] & ~white[:-1]
+    stops = np.flatnonzero(_STOPS[raw[1:]]) + 1
+    before = raw[stops - 1]
+    # Bytes after 0xC3 are the letters from U+00C0 to U+00FF and two signs.
+    letter = _LETTERS[before] | ((raw[stops - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (stops > 1))
+    head[stops[letter]] = True
+    head[: ends[0]] = False
+    head[ends] = True
+    begins = np.flatnonzero(head).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(begins) - 1, [None, pa.py_buffer(begins), data]), np.searchsorted(begins, ends)
+
+
 class Encoder:
-    """Encodes texts by pieces: a run of ASCII white space and what follows it up to the next.
+    """Encodes texts by pieces: a run of ASCII white space and what follows it up to the next, without the stops after its last letter.
 
     No pre-token of the vocabularies used here spans the place between a character and white space
-    after it, so the ids of a text are those of its pieces one after the other. ``spaces=False`` is for
+    after it or between a letter and a stop, so the ids of a text are those of its pieces one after the other. ``spaces=False`` is for
     vocabularies that drop white space and case and mark the ends of words with ``</w>``: their pieces
     are the words, in ASCII lower case, without the signs that follow a letter.
     """
@@ -103,8 +127,8 @@ class Encoder:
         return ids[ragged(starts[back], counts[back])], np.cumsum(counts[back])
 
     def known_pieces(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, sizes) of the distinct pieces. Pieces that a slice has twice are kept for the next slices, up to
-        ``KEPT`` of them, and are not encoded again."""
+        """(ids, starts, sizes) of the distinct pieces. Words that a slice has twice are kept for the next slices, up to
+        ``KEPT`` of them, and are not encoded again; with white space all short pieces, up to ``KEPT_PIECES``."""
         pieces, (kept, ids, ends) = coded.dictionary, self.kept
         at = pc.fill_null(pc.index_in(pieces, value_set=kept), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(at < 0)
@@ -112,8 +136,13 @@ class Encoder:
         at[fresh] = len(ends) + np.arange(len(fresh))
         every, stops = np.concatenate([ids, new]), np.concatenate([ends, len(ids) + stops])
         sizes = np.diff(stops, prepend=0)
-        if len(kept) < KEPT:
-            often = fresh[np.bincount(coded.indices.to_numpy(), minlength=len(pieces))[fresh] > 1][: KEPT - len(kept)]
+        most = KEPT_PIECES if self.spaces else KEPT
+        if len(kept) < most:
+            if self.spaces:
+                again = pc.binary_length(pieces).to_numpy() <= LONGEST
+            else:
+                again = np.bincount(coded.indices.to_numpy(), minlength=len(pieces)) > 1
+            often = fresh[again[fresh]][: most - len(kept)]
             own = at[often]
             added = every[ragged(stops[own] - sizes[own], sizes[own])]
             self.kept = pa.concat_arrays([kept, pieces.take(pa.array(often))]), np.concatenate([ids, added]), np.concatenate([ends, len(ids) + np.cumsum(sizes[own])])
@@ -125,12 +154,13 @@ class Encoder:
         whole = pc.match_substring_regex(texts, _WHOLE if self.spaces else f"{_WHOLE}|{_SPECIAL}")
         plain = pc.if_else(whole, "", texts)
         if self.spaces:
-            lists = pc.split_pattern(pc.replace_substring_regex(plain, _EDGE, _CUT), "\x00")
+            pieces, first = cut(plain)
         else:
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(plain, _SIGN, "\\1 \\2")))
-        coded = lists.flatten().dictionary_encode()
+            pieces, first = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = pieces.dictionary_encode()
         ids, starts, sizes = self.known_pieces(coded)
-        at, first = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        at = coded.indices.to_numpy()
         piece_ids = ids[ragged(starts[at], sizes[at])] if len(at) else ids[:0]
         offsets = np.concatenate([[0], np.cumsum(sizes[at])])[first]
         rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
