@@ -15,7 +15,7 @@ from seacast.llm.tokens import Encoder
 from seacast.session import stored
 
 #: Tokens of a sequence, tokens of a histogram bin, bytes of text encoded at once.
-LENGTH, STEP, SLICE = 2048, 8, 3 << 20
+LENGTH, STEP, SLICE = 2048, 8, 1 << 20
 
 
 def best_pattern(duals: np.ndarray, sizes: np.ndarray, width: int) -> tuple[float, np.ndarray]:
@@ -153,7 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, spaces: bool, end_id: int, length: int
             ranks[b] += a * times
             slot += a
         sequences += times
-    table = spark.createDataFrame(dealt, "_b int, _lo bigint, _hi bigint, _each bigint, _base bigint, _slot bigint")
+    # As an Arrow table it is part of the plan: rows given as a list would start more Python workers on every executor.
+    kinds = {"_b": pa.int32()} | dict.fromkeys(["_lo", "_hi", "_each", "_base", "_slot"], pa.int64())
+    table = spark.createDataFrame(pa.table({c: pa.array([d[i] for d in dealt], kinds[c]) for i, c in enumerate(kinds)}))
     order = ["length", "doc_id", "start", "ids_crc32"]
     ranked = prefix_sums(rests, ["_bin"], order, "_one", "_rank")
     # As many rows as patterns have bins: a bound by length / step, whatever the number of documents.

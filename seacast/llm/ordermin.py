@@ -22,7 +22,7 @@ SHINGLE, SKETCHES, SIMILARITY = 5, 14, 0.8
 FIRST, REACH, WHOLE = 5, 2, 1000
 #: Texts, and shingles, of one slice of a bucket that is finished exactly.
 ROWS, MANY = 512, 1 << 19
-SLICE = 8 << 20
+SLICE = 2 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
