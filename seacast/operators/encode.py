@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from seacast.functions.direction import compass_degrees, direction_parts, mistral, sea_ordinal
 from seacast.functions.solar import day_night_minutes
@@ -147,19 +148,26 @@ class SparseLayout:
         return coded.select(*[quoted(c) for c in df.columns], F.array_compact(F.array(*cells)).alias(out))
 
     def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
-        """``df`` with its row of the matrix as one vector, for MLlib: the encoder's sparse vectors behind the numbers."""
-        coded, wide = self.coded(df), [(i, c) for i, c in enumerate(self.cols) if self.sizes[c] > 1]
-        numbers = [f"_number_{i}" for i in range(len(self.numeric))]
-        coded = coded.withColumns({n: F.coalesce(clean_double(quoted(c)), F.lit(0.0)) for n, c in zip(numbers, self.numeric)})
-        # The encoder leaves out its last number: there go the first category and unknown values.
-        places = {f"_place_{i}": F.when(F.col(f"_code_{i}") > 0, F.col(f"_code_{i}") - 1).otherwise(self.sizes[c] - 1).cast("double") for i, c in wide}
-        hot = [f"_hot_{i}" for i, _ in wide]
-        if wide:
-            last = df.sparkSession.range(1).select(*[F.lit(float(self.sizes[c] - 1)).alias(f"_place_{i}") for i, c in wide])
-            encoder = OneHotEncoder(inputCols=list(places), outputCols=hot, dropLast=True).fit(last)
-            coded = encoder.transform(coded.withColumns(places))
-        made = VectorAssembler(inputCols=[*numbers, *hot], outputCol=out).transform(coded)
-        return made.select(*[quoted(c) for c in df.columns], out)
+        """``df`` with its row of the matrix as one vector, for MLlib; sparse or dense, whichever is smaller.
+
+        The column's metadata holds the number of places alone: MLlib's encoder and assembler would keep a name for each on the driver.
+        """
+        cells = F.col("_entries")
+        sparse = F.struct(F.lit(0).alias("type"), F.lit(self.width).alias("size"), cells["place"].alias("indices"), cells["value"].alias("values"))
+        parts = sparse
+        if self.width <= self.sparse_from(len(self.numeric) + len(self.cols)):
+            value = F.map_from_entries(cells)
+            row = F.array(*[F.coalesce(F.try_element_at(value, F.lit(i)), F.lit(0.0)) for i in range(self.width)]).cast("array<double>")
+            dense = F.struct(F.lit(1).alias("type"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<int>").alias("indices"), row.alias("values"))
+            parts = F.when(self.sparse_from(F.size(cells)) < self.width, sparse).otherwise(dense)
+        # No expression makes a vector of its parts, but a schema may name vectors.
+        vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"]
+        return self.entries(df, "_entries").select(*[quoted(c) for c in df.columns], vector.alias(out, metadata={"ml_attr": {"num_attrs": self.width}}))
+
+    @staticmethod
+    def sparse_from(cells):
+        """The width above which MLlib's assembler makes a vector with so many cells a sparse one."""
+        return cells * 1.5 + 2.0
 
 
 def sparse_layout(df: DataFrame, numeric: Sequence[str] | None = None, cols: Sequence[str] | None = None, drop: Sequence[str] = ()) -> SparseLayout:

@@ -183,8 +183,7 @@ def sparse_model(spark: SparkSession, sf: str) -> DataFrame:
     """A tree trained on the whole sparse matrix: rows, width of the vectors, and test rows in its confusion matrix."""
     rows = crossing_features(whole_crossings(spark, sf))
     layout = sparse_layout(rows, drop=["crossing_id", "annulation"])
-    # The encoder's names of all places would be part of each file's schema.
-    vectors = layout.vectors(rows).select("crossing_id", "annulation", F.col("features").alias("features", metadata={}))
+    vectors = layout.vectors(rows).select("crossing_id", "annulation", "features")
     parts = split_stratified(stored(vectors, "vectors"), "annulation", ["crossing_id"])
     model = SparseTree("annulation", len(layout.numeric), depth=5).fit(parts.where("split = 'train'"))
     scored = model.transform(parts.where("split = 'test'"))
