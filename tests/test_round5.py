@@ -20,7 +20,7 @@ def test_vectors_hold_no_names_of_places(spark):
 
 
 def test_vectors_are_those_of_the_library(spark):
-    rows = [(i, None if i % 5 == 0 else i / 7, math.inf if i % 9 == 0 else -0.0, None if i % 8 == 0 else f"l{i % 4}", f"s{i % 3}") for i in range(40)]
+    rows = [(i, None if i % 5 == 0 else i / 7, math.inf if i % 7 == 0 else -0.0, None if i % 8 == 0 else f"l{i % 4}", f"s{i // 3 % 3}") for i in range(40)]
     df = spark.createDataFrame(rows, "id int, `a.b` double, c double, ligne string, ciel string")
     layout = encode.sparse_layout(df, drop=["id"])
     cells = {r.id: {e.place: e.value for e in r.entries} for r in layout.entries(df).collect()}
