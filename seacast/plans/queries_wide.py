@@ -20,7 +20,7 @@ from seacast.plans.queries_crossing import night_sql
 from seacast.plans.queries_model import run_table, training_days
 from seacast.schemas import MEASURES
 from seacast.session import scratch_path, stored
-from seacast.sources.tables import read_raw_crossings, rejected_crossings
+from seacast.sources.tables import landed_crossings, read_raw_crossings, rejected_crossings
 from seacast.streaming.jobs import consolidate_by_state
 
 # --- correlations of all measures, with their holes ---------------------------
@@ -106,15 +106,18 @@ def _land_log(spark: SparkSession, sf: str, root: str) -> None:
     log = spark.sql("SELECT l_orderkey, l_linenumber, annulation, meteo FROM {raw_notes}", raw_notes=adapted(spark, sf, "raw_notes"))
     files = max(5, -(-log.count() // LOG_ROWS))
     line = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    note = F.concat(F.lit('"'), F.regexp_replace(F.coalesce("meteo", F.lit("NA")), " Mer", '\n""Mer""'), F.lit('"'))
+    note = F.concat(F.lit('"'), F.replace(F.coalesce("meteo", F.lit("NA")), F.lit(" Mer"), F.lit('\n""Mer""')), F.lit('"'))
     broken = F.concat(F.lit("cut off "), line)
     first = F.when(F.col("l_linenumber") == 7, broken).otherwise(F.concat_ws(",", note, line, F.lit("01/02/2024 08:30"), F.coalesce("annulation", F.lit(""))))
     second = F.when(F.col("l_linenumber") == 7, broken).otherwise(F.concat_ws(",", F.lit("x"), line, F.coalesce("annulation", F.lit("")), note, F.lit("01/02/2024 08:30")))
     for folder, header, record, rest in (("a", "Météo,Ligne,Horaire,Annulation", first, 0), ("b", "more,Ligne,Annulation,Météo,Horaire", second, 1)):
+        # A file's header comes with one of its rows, the first to arrive at its task.
         file = F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).cast("int").alias("file")
-        rows = log.where(F.col("l_orderkey") % 2 == rest).select(file, F.lit(1).alias("at"), record.alias("value"))
-        heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("at"), F.lit(header).alias("value"))
-        rows.unionByName(heads).repartition(files, "file").sortWithinPartitions("file", "at").select("value").write.text(f"{root}/{folder}")
+        rows = log.where(F.col("l_orderkey") % 2 == rest).select(file, record.alias("value"))
+        heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(None).cast("string").alias("value"))
+        dealt = rows.unionByName(heads).repartitionById(files, "file").select("value", F.monotonically_increasing_id().alias("at"))
+        begin = F.when(F.shiftleft("at", 31) == 0, F.lit(header + "\n")).otherwise(F.lit(""))
+        dealt.where((F.shiftleft("at", 31) == 0) | F.col("value").isNotNull()).select(F.concat(begin, F.coalesce("value", F.lit(""))).alias("value")).write.text(f"{root}/{folder}")
 
 
 @query(
@@ -129,9 +132,10 @@ def landed_records(spark: SparkSession, sf: str) -> DataFrame:
     """Logs in two layouts whose notes hold line breaks and quotes: the good records, and the text of the rejected ones."""
     root = scratch_path(spark, "log")
     _land_log(spark, sf, root)
-    good = read_raw_crossings(spark, root).select("ligne", "annulation", "meteo", F.lit(None).cast("string").alias("rejected"))
+    log = landed_crossings(spark, root)
+    good = read_raw_crossings(spark, root, landed=log).select("ligne", "annulation", "meteo", F.lit(None).cast("string").alias("rejected"))
     none = F.lit(None).cast("string")
-    bad = rejected_crossings(spark, root).select(none.alias("ligne"), none.alias("annulation"), none.alias("meteo"), F.col("_corrupt_record").alias("rejected"))
+    bad = rejected_crossings(spark, root, landed=log).select(none.alias("ligne"), none.alias("annulation"), none.alias("meteo"), F.col("_corrupt_record").alias("rejected"))
     return good.unionByName(bad)
 
 

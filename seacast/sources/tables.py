@@ -26,19 +26,25 @@ def na_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NA_TEXTS), F.col(c)) for c in text})
 
 
-def read_raw_crossings(spark: SparkSession, path: str, skip: Sequence[int] = ()) -> DataFrame:
+def landed_crossings(spark: SparkSession, path: str, skip: Sequence[int] = ()) -> DataFrame:
+    """All records of the landed crossing log, for :func:`read_raw_crossings` and :func:`rejected_crossings` of the same log."""
+    return read_landed(spark, path, RAW_CROSSINGS, RAW_CROSSINGS.names[0], skip=skip)
+
+
+def read_raw_crossings(spark: SparkSession, path: str, skip: Sequence[int] = (), landed: DataFrame | None = None) -> DataFrame:
     """The landed crossing log (CSV with header, columns found by name), canonical names, missing texts as null.
 
     Fields may hold line breaks. Records that are not whole are left out; :func:`rejected_crossings` gives them.
     ``skip`` are record numbers to leave out of each file (a log exported from the sheet has one below its header: 1).
+    ``landed`` is what :func:`landed_crossings` gave for this log, where both functions are called.
     """
-    df = read_landed(spark, path, RAW_CROSSINGS, RAW_CROSSINGS.names[0], skip=skip)
+    df = landed_crossings(spark, path, skip) if landed is None else landed
     return na_to_null(df.where(F.col(CORRUPT).isNull()).drop(CORRUPT, *ORDER)).withColumnsRenamed(SOURCE_NAMES)
 
 
-def rejected_crossings(spark: SparkSession, path: str, skip: Sequence[int] = ()) -> DataFrame:
+def rejected_crossings(spark: SparkSession, path: str, skip: Sequence[int] = (), landed: DataFrame | None = None) -> DataFrame:
     """File, place and text of the records that :func:`read_raw_crossings` leaves out."""
-    return rejected(read_landed(spark, path, RAW_CROSSINGS, RAW_CROSSINGS.names[0], skip=skip))
+    return rejected(landed_crossings(spark, path, skip) if landed is None else landed)
 
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CLEAN_CROSSINGS) -> DataFrame:
