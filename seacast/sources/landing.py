@@ -21,6 +21,8 @@ from seacast.session import stored
 
 #: Splits where a field stays open or closes again, and headers, up to which tasks hold them; beyond, lines are joined with them.
 HELD_SPLITS = 10_000
+#: Text that is cut at once; the masks over it take some fifteen times as much.
+PART_BYTES = 4_000_000
 ORDER = ["_file", "_block", "_row"]
 CORRUPT = "_corrupt_record"
 #: Parts of records: all of one, the end of one, the begin of one, a split in the midst of one.
@@ -82,7 +84,7 @@ def unescaped(body: str) -> str:
 
 
 def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-    """Parts of batches whose lines come from one split."""
+    """Parts of batches whose lines come from one split, of PART_BYTES or so."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,7 +92,10 @@ def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Rec
         codes = file.dictionary_encode().indices.to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(block) != 0)]))
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], batch.num_rows).tolist()):
-            yield file[a].as_py(), int(block[a]), batch.slice(a, b - a)
+            part = batch.slice(a, b - a)
+            step = -(-part.num_rows // -(-max(part.column("value").nbytes, 1) // PART_BYTES))
+            for at in range(0, part.num_rows, step):
+                yield file[a].as_py(), int(block[a]), part.slice(at, step)
 
 
 def after(lines: Sequence[str]) -> list[bool]:
